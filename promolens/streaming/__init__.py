@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The source project is batch SQL over fixed tables: it has no streams,
+watermarks, windows over event time or stateful operators (sessions arrive
+already built). Nothing is built here so as not to add behaviour the source
+does not have; the batch builders in :mod:`promolens.operators` are what a
+scheduled job runs.
+"""
