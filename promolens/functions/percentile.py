@@ -13,8 +13,8 @@ Two strategies:
 * :func:`large_percentiles` - exact selection by radix refinement, for groups
   that grow with the data (all items of a category, all sessions of a type).
   Values are encoded as an order-preserving ``long`` (cents, microseconds).
-  Four rounds each fix 16 more bits of the wanted keys: count rows per
-  (group, next 16-bit digit) among the rows that still match the known prefix,
+  Each round fixes 16 more bits of the wanted keys: count rows per (group,
+  next 16-bit digit) among the rows that still match the known prefix,
   locate the wanted rank in those counts with a running sum, descend. Every
   round is a partial aggregate plus a window over at most 65,536 digit counts
   per group, so no task ever holds a whole group, however skewed.
@@ -55,59 +55,71 @@ def large_percentiles(df: DataFrame, by: Sequence[str], key: str, ps: dict[str,
     done on decoded doubles. ``weight`` is an optional long frequency column
     (each row counts ``weight`` times).
 
-    The per-group target tables are broadcast: they hold at most
-    ``2 * len(ps)`` rows per group, and this function is meant for few, large
-    groups.
+    Runs eagerly: the distinct (group, key, count) table and each round's
+    small result are written under the checkpoint folder, so every round is a
+    shallow plan over stored data. Keys are shifted by the global minimum and
+    only as many 16-bit rounds run as the key range needs (two for amounts in
+    cents below 2^32, three for session lengths in microseconds). The wanted
+    ranks are broadcast: at most ``2 * len(ps)`` rows per group, and this
+    function is meant for few, large groups.
     """
+    from ..plans.materialize import materialize
+
     by = list(by)
     # All rounds are keyed by one struct column: a struct with NULL fields is
     # itself non-NULL and equal to its copy, so NULL group keys survive joins.
-    gk = F.struct(*[F.col(b) for b in by]) if by else F.struct(F.lit(0).alias(_G))
+    gk = F.struct(*[F.col(b) for b in by]) if by else F.struct(F.lit(0).alias("_g0"))
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     # Distinct keys with their multiplicity: duplicates collapse map-side.
-    vc = (df.where(F.col(key).isNotNull())
-            .groupBy(gk.alias(_G), F.col(key).cast("long").alias("_k"))
-            .agg(F.sum(w).alias("_c")))
+    vc = materialize(df.where(F.col(key).isNotNull())
+                       .groupBy(gk.alias(_G), F.col(key).cast("long").alias("_k"))
+                       .agg(F.sum(w).alias("_c")), "pct-keys")
+    lo_hi = vc.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
+    if lo_hi["lo"] is None:
+        return df.select(*by, *[F.lit(None).cast("double").alias(n) for n in ps]).where(F.lit(False))
+    kmin = lo_hi["lo"]
+    bits = max(1, (lo_hi["hi"] - kmin).bit_length())
+    rounds = -(-bits // DIGIT_BITS)
+    off = F.col("_k") - F.lit(kmin)
     g = [_G]
 
-    # Round 0 histogram over the top 16 bits; also yields the group sizes.
-    top_shift = 64 - DIGIT_BITS
-    h0 = vc.groupBy(_G, F.shiftright("_k", top_shift).alias("_d")).agg(F.sum("_c").alias("_cnt"))
-    h0 = h0.withColumn("_n", F.sum("_cnt").over(Window.partitionBy(_G)))
+    # Round 0 histogram over the top digit; it also yields the group sizes.
+    shift = DIGIT_BITS * (rounds - 1)
+    h0 = vc.groupBy(_G, F.shiftright(off, shift).alias("_d")).agg(F.sum("_c").alias("_cnt"))
+    h0 = materialize(h0.withColumn("_n", F.sum("_cnt").over(Window.partitionBy(_G))), "pct-h0")
 
-    # Targets: for each p, the ranks floor(pos) and ceil(pos).
-    tot = h0.select(_G, "_n").distinct()
+    # Targets: for each p, the ranks floor(pos) and ceil(pos), pos = (n - 1) * p.
     pos_cols = []
     for i, p in enumerate(ps.values()):
         pos = (F.col("_n") - 1).cast("double") * F.lit(float(p))
         pos_cols.append(F.struct(F.lit(i).alias("_pi"), pos.alias("_pos")))
-    targets = (tot.select(_G, F.explode(F.array(*pos_cols)).alias("_t"))
-                  .select(_G, "_t._pi", "_t._pos",
-                          F.floor("_t._pos").cast("long").alias("_rlo"),
-                          F.ceil("_t._pos").cast("long").alias("_rhi")))
-    ranks = (targets.select(_G, F.explode(F.array("_rlo", "_rhi")).alias("_rank"))
-                    .distinct())
-
-    # Walk down the digits. ``_pre`` is key >> shift for the rows still in play,
-    # ``_rem`` the rank left to find among them.
-    found = _pick(h0, F.broadcast(ranks.withColumn("_rem", F.col("_rank"))), g, [], "_d")
-    found = found.withColumnRenamed("_d", "_pre")
-    shift = top_shift
+    targets = (h0.select(_G, "_n").distinct()
+                 .select(_G, F.explode(F.array(*pos_cols)).alias("_t"))
+                 .select(_G, "_t._pi", "_t._pos",
+                         F.floor("_t._pos").cast("long").alias("_rlo"),
+                         F.ceil("_t._pos").cast("long").alias("_rhi")))
+    ranks = (targets.select(_G, F.explode(F.array("_rlo", "_rhi")).alias("_rank")).distinct()
+                    .withColumn("_rem", F.col("_rank")))
+
+    # Walk down the digits. ``_pre`` is offset >> shift for the rows still in
+    # play, ``_rem`` the rank left to find among them.
+    found = materialize(_pick(h0, F.broadcast(ranks), g, [], "_d")
+                        .withColumnRenamed("_d", "_pre"), "pct-r0")
     while shift > 0:
-        shift -= DIGIT_BITS
-        prev_shift = shift + DIGIT_BITS
+        prev_shift, shift = shift, shift - DIGIT_BITS
         live = F.broadcast(found.select(_G, "_pre").distinct())
-        sel = (vc.withColumn("_pre", F.shiftright("_k", prev_shift))
+        sel = (vc.withColumn("_pre", F.shiftright(off, prev_shift))
                  .join(live, [_G, "_pre"], "left_semi"))
-        digit = F.shiftright("_k", shift).bitwiseAND(F.lit(DIGIT_MASK))
+        digit = F.shiftright(off, shift).bitwiseAND(F.lit(DIGIT_MASK))
         h = sel.groupBy(_G, "_pre", digit.alias("_d")).agg(F.sum("_c").alias("_cnt"))
         nxt = _pick(h, F.broadcast(found), g, ["_pre"], "_d")
-        found = nxt.select(_G, "_rank", "_rem",
-                           F.shiftleft("_pre", DIGIT_BITS).bitwiseOR(F.col("_d")).alias("_pre"))
-    keys = found.select(_G, "_rank", F.col("_pre").alias("_key"))
+        found = materialize(nxt.select(
+            _G, "_rank", "_rem",
+            F.shiftleft("_pre", DIGIT_BITS).bitwiseOR(F.col("_d")).alias("_pre")), "pct-r")
+    keys = found.select(_G, "_rank", decode(F.col("_pre") + F.lit(kmin)).alias("_v"))
 
-    lo = keys.select(_G, F.col("_rank").alias("_rlo"), decode(F.col("_key")).alias("_vlo"))
-    hi = keys.select(_G, F.col("_rank").alias("_rhi"), decode(F.col("_key")).alias("_vhi"))
+    lo = keys.select(_G, F.col("_rank").alias("_rlo"), F.col("_v").alias("_vlo"))
+    hi = keys.select(_G, F.col("_rank").alias("_rhi"), F.col("_v").alias("_vhi"))
     vals = (targets.join(F.broadcast(lo), [_G, "_rlo"]).join(F.broadcast(hi), [_G, "_rhi"])
                    .withColumn("_frac", F.col("_pos") - F.col("_rlo").cast("double"))
                    .withColumn("_v", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))))

@@ -34,11 +34,15 @@ def local_session(master: str = "local[*]", app: str = "promolens", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the configured checkpoint folder, setting a scratch one only if unset."""
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    path = configured or tempfile.mkdtemp(prefix="promolens-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    """Return the session's checkpoint folder, setting a scratch one only if none is set.
+
+    The cluster's ``spark.checkpoint.dir`` wins; a machine-local temporary
+    folder is used only when nothing is configured (tests, laptop runs).
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="promolens-ckpt-"))
+    return sc.getCheckpointDir()
