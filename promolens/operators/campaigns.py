@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import asc, desc
 from ..functions.exprs import (MIN_DAILY_ITEMS, avg_exact, completed_amount, dbl, exact_div,
                                inclusive_days, leaked_in_amount, median_out, pct)
 from ..plans.joins import join_null_safe, spread_null_keys
@@ -85,7 +86,8 @@ def campaign_lift(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS,
 def lift_by_campaign(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) -> DataFrame:
     """GMV lift of each campaign over the median non-campaign day."""
     return campaign_lift(t, min_daily_items).select(
-        "campaign_name", "campaign_type", "campaign_year", F.col("lift").alias("gmv_lift"))
+        "campaign_name", "campaign_type", "campaign_year", F.col("lift").alias("gmv_lift")
+    ).orderBy(asc("campaign_type"), desc("gmv_lift"))
 
 
 def lift_by_campaign_type(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) -> DataFrame:
@@ -96,7 +98,7 @@ def lift_by_campaign_type(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) ->
         dbl(avg_exact(lift.cast("decimal(20,2)"), 2), 2).alias("mean_lift"),
         median_out(F.percentile(lift, F.lit(0.5))).alias("median_lift"),
         dbl(F.min(lift), 2).alias("min_lift"),
-        dbl(F.max(lift), 2).alias("max_lift")))
+        dbl(F.max(lift), 2).alias("max_lift"))).orderBy(desc("median_lift"))
 
 
 def threshold_sensitivity(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) -> DataFrame:
@@ -169,7 +171,8 @@ def campaign_cvr_and_lift(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) ->
         pct("converted_sessions", "total_sessions", 2).alias("cvr_pct"),
         dbl("gmv", 0).alias("total_gmv"),
         dbl("rev", 0).alias("platform_revenue"),
-        F.round(F.col("gmv") / inclusive_days() / base.scalar(), 2).alias("corrected_lift"))
+        F.round(F.col("gmv") / inclusive_days() / base.scalar(), 2).alias("corrected_lift")
+    ).orderBy(asc("campaign_name"))
 
 
 def campaign_cvr(t: Tables) -> DataFrame:
@@ -203,7 +206,7 @@ def yearly_revenue_growth(t: Tables) -> DataFrame:
         dbl("campaign_revenue").alias("campaign_revenue"),
         dbl("total_platform_revenue").alias("total_platform_revenue"),
         pct(F.col("campaign_revenue") - F.col("prev_year_rev"), "prev_year_rev", 1)
-        .alias("yoy_revenue_growth_pct"))
+        .alias("yoy_revenue_growth_pct")).orderBy(asc("year"))
 
 
 def programme_growth(t: Tables) -> DataFrame:
@@ -276,7 +279,7 @@ def campaign_leakage_detail(t: Tables) -> DataFrame:
         dbl("realized", 0).alias("realized_gmv"),
         dbl("leaked", 0).alias("leaked_gmv"),
         pct("leaked", "gmv", 2, 2, 2).alias("leakage_pct"),
-        dbl("rev", 0).alias("platform_revenue"))
+        dbl("rev", 0).alias("platform_revenue")).orderBy(asc("campaign_year"), asc("campaign_name"))
 
 
 def leakage_sensitivity(t: Tables) -> DataFrame:

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import desc
 from ..functions.exprs import (avg_exact, cents, completed_amount, dbl, exact_div,
                                leaked_in_amount, median_out, pct)
 from ..functions.percentile import large_percentiles
@@ -57,7 +58,7 @@ def category_order_value(t: Tables) -> DataFrame:
                     dbl("mean", 0).alias("mean_order_value"),
                     median_out("median").alias("median_order_value"),
                     median_out("p90").alias("p90_order_value"),
-                    dbl("mx", 0).alias("max_order_value"))
+                    dbl("mx", 0).alias("max_order_value")).orderBy(desc("median_order_value"))
 
 
 def _category_totals(t: Tables) -> DataFrame:
@@ -88,7 +89,7 @@ def category_share(t: Tables) -> DataFrame:
         pct("gmv", "all_gmv", 1, 2, 2).alias("gmv_pct"),
         pct("realized", "all_gmv", 1, 2, 2).alias("realized_gmv_pct"),
         median_out("median_item_value").alias("median_item_value"),
-        dbl("comm", 2).alias("commission_per_item"))
+        dbl("comm", 2).alias("commission_per_item")).orderBy(desc("total_gmv"))
 
 
 def category_concentration(t: Tables, top_n: int = TOP_CATEGORIES) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import asc, desc
 from ..functions.exprs import CAMPAIGN, NON_CAMPAIGN, avg_exact, dbl, median_out
 from ..sources.tables import Tables
 
@@ -48,7 +49,7 @@ def new_buyers_by_day_type(t: Tables) -> DataFrame:
         F.count_distinct("customer_id").alias("new_buyers"),
         F.max("campaign_id").alias("mc"))
     daily = daily.withColumn("period_type", F.when(F.col("mc").isNotNull(), CAMPAIGN).otherwise(NON_CAMPAIGN))
-    return _per_year(daily)
+    return _per_year(daily).orderBy(asc("order_year"), desc("period_type"))
 
 
 def fact_new_buyers(t: Tables) -> DataFrame:

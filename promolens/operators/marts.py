@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import asc
 from ..functions.exprs import (MIN_DAILY_ITEMS, avg_exact, completed_amount, dbl, exact_div,
                                inclusive_days, leaked_in_amount, pct)
 from ..sources.tables import Tables
@@ -110,7 +111,8 @@ def monthly_gmv_trend(t: Tables) -> DataFrame:
     m = _monthly(t)
     return m.select("order_year", "order_month", "total_orders",
                     dbl("gmv", 0).alias("total_gmv"),
-                    dbl(exact_div("gmv", "days_in_month", 2, 0), 0).alias("avg_daily_gmv"))
+                    dbl(exact_div("gmv", "days_in_month", 2, 0), 0).alias("avg_daily_gmv")
+                    ).orderBy(asc("order_year"), asc("order_month"))
 
 
 def fact_monthly_gmv(t: Tables) -> DataFrame:
@@ -147,3 +149,14 @@ def write_marts(t: Tables, out_dir: str, mode: str = "overwrite") -> dict[str, s
         df.write.mode(mode).parquet(path)
         paths[name] = path
     return paths
+
+
+def save_marts(t: Tables, database: str | None = None, mode: str = "overwrite") -> list[str]:
+    """``CREATE TABLE ... AS SELECT`` for the eight derived tables, as catalog tables."""
+    from ..sources.raw import use_schema
+
+    if database:
+        use_schema(t.spark, database, create=True)
+    for name, df in build_marts(t).items():
+        df.write.mode(mode).saveAsTable(name)
+    return list(MART_BUILDERS)

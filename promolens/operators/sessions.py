@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import desc
 from ..functions.exprs import (CAMPAIGN, FUNNEL_STAGES, MICROS_PER_MINUTE, NON_CAMPAIGN, dbl,
                                exact_div, median_out, micros_between, pct, session_type, stage_flag)
 from ..functions.percentile import large_percentiles
@@ -58,7 +59,7 @@ def funnel_dropoff(t: Tables) -> DataFrame:
     g = ff.groupBy(session_type().alias("session_type")).agg(
         F.count(F.lit(1)).alias("sessions"),
         *[F.sum(name).alias(f"s_{name}") for name, _ in FUNNEL_STAGES])
-    return g.select("session_type", "sessions", *_funnel_columns("sessions"))
+    return g.select("session_type", "sessions", *_funnel_columns("sessions")).orderBy(desc("session_type"))
 
 
 def funnel_stage_gap(t: Tables) -> DataFrame:
@@ -90,7 +91,7 @@ def session_duration(t: Tables) -> DataFrame:
                     dbl(exact_div("sum_us", F.col("n_us") * MICROS_PER_MINUTE), 1).alias("mean_minutes"),
                     median_out("median_minutes").alias("median_minutes"),
                     median_out("p25_minutes").alias("p25_minutes"),
-                    median_out("p75_minutes").alias("p75_minutes"))
+                    median_out("p75_minutes").alias("p75_minutes")).orderBy(desc("session_type"))
 
 
 def fact_funnel(t: Tables) -> DataFrame:

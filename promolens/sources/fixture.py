@@ -14,6 +14,7 @@ shuffled a second time.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,8 +121,12 @@ def map_product_campaign(products: DataFrame, campaigns: DataFrame) -> DataFrame
 
 
 def map_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame,
-              product_campaign: DataFrame) -> DataFrame:
-    """Order items, still carrying the order columns (NULL for orphans)."""
+              product_campaign: DataFrame, persist: bool = False) -> DataFrame:
+    """Order items, still carrying the order columns (NULL for orphans).
+
+    ``persist`` keeps the item x order join (memory, spilling to disk) so
+    that writing several outputs from it runs the join once.
+    """
     li = lineitem.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
         F.col("l_orderkey").alias("order_id"),
@@ -155,6 +160,8 @@ def map_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame,
         "item_status", "is_campaign",
         "order_date", "customer_id", "campaign_id", "_has_order",
     )
+    if persist:
+        items = items.persist(StorageLevel.MEMORY_AND_DISK)
     # Enrolment lookup only for campaign items; the rest keep a NULL id.
     pc = product_campaign.select("product_id", "campaign_id", "product_campaign_id")
     camp = items.where(F.col("campaign_id").isNotNull()).join(
@@ -210,8 +217,12 @@ def _session_id(user, day) -> F.Column:
     return F.concat(F.lit("W"), user.cast("string"), F.lit("-"), F.date_format(day, "yyyy-MM-dd"))
 
 
-def load(spark: SparkSession, sf_dir: str) -> Tables:
-    """The raw tables, mapped from the driver tables under ``sf_dir``."""
+def load(spark: SparkSession, sf_dir: str, persist: bool = False) -> Tables:
+    """The raw tables, mapped from the driver tables under ``sf_dir``.
+
+    With ``persist`` the mapped items are kept while several outputs are
+    written from them; call ``Tables.release()`` afterwards.
+    """
     d = read_driver_tables(spark, sf_dir)
     campaigns_full = campaigns_from_orders(d["orders"])
     # The only eager step: the number of campaigns (one aggregate over the
@@ -220,13 +231,13 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     orders = map_orders(d["orders"], campaigns_full)
     products = map_products(d["part"])
     pc = map_product_campaign(products, campaigns_full)
-    items = map_items(d["lineitem"], orders, products, pc)
+    items = map_items(d["lineitem"], orders, products, pc, persist=persist)
     sessions = map_sessions(d["events"], campaigns_full, n_campaigns)
     activities = map_activities(d["events"])
     item_orders = (items.where(F.col("_has_order"))
                         .select(*S.conform_columns(items, S.ORDER_ITEMS),
                                 "order_date", "customer_id", "campaign_id"))
-    return Tables(
+    t = Tables(
         orders=S.conform(orders, S.ORDERS),
         order_items=S.conform(items, S.ORDER_ITEMS),
         campaigns=S.conform(campaigns_full, S.CAMPAIGNS),
@@ -237,3 +248,17 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         item_orders_df=item_orders,
         campaign_rows_bound=CAMPAIGN_ROWS_BOUND,
     )
+    if persist:
+        t.hold(items)
+    return t
+
+
+def write_raw_tables(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Load step: map the driver tables once and store the raw layout under ``root``."""
+    from .raw import write_raw
+
+    t = load(spark, sf_dir, persist=True)
+    try:
+        write_raw(t, root)
+    finally:
+        t.release()

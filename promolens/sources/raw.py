@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas as S
 from .tables import ORDER_COLUMNS, Tables
@@ -49,9 +50,8 @@ def read_raw(spark: SparkSession, root: str, with_item_orders: bool = True) -> T
               for attr, name in _FIELDS.items()}
     item_orders = None
     if with_item_orders:
-        schema = S.ORDER_ITEMS
-        for c in ORDER_COLUMNS:
-            schema = schema.add(S.ORDERS[c].name, S.ORDERS[c].dataType, True)
+        schema = T.StructType(S.ORDER_ITEMS.fields
+                              + [T.StructField(c, S.ORDERS[c].dataType, True) for c in ORDER_COLUMNS])
         try:
             item_orders = spark.read.schema(schema).parquet(_path(root, ITEM_ORDERS))
         except Exception:  # folder absent: metrics build the join themselves
@@ -75,3 +75,27 @@ def read_csv_export(spark: SparkSession, root: str, header: bool = True) -> Tabl
         cleaned = clean_export(text, EXPORT_DATE_COLUMNS.get(name, ()))
         frames[attr] = S.conform(cleaned, S.RAW_SCHEMAS[name])
     return Tables(**frames)
+
+
+def use_schema(spark: SparkSession, database: str, create: bool = False) -> None:
+    """``SET search_path TO database``: make ``database`` the current catalog database."""
+    if create:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    spark.catalog.setCurrentDatabase(database)
+
+
+def save_raw_tables(t: Tables, database: str | None = None, mode: str = "overwrite") -> None:
+    """Store the raw tables as catalog tables (in ``database`` if given)."""
+    spark = t.spark
+    if database:
+        use_schema(spark, database, create=True)
+    for attr, name in _FIELDS.items():
+        getattr(t, attr).write.mode(mode).saveAsTable(name)
+
+
+def read_catalog(spark: SparkSession, database: str | None = None) -> Tables:
+    """The raw tables from the catalog (``spark.table``), typed to the raw schemas."""
+    if database:
+        use_schema(spark, database)
+    frames = {attr: S.conform(spark.table(name), S.RAW_SCHEMAS[name]) for attr, name in _FIELDS.items()}
+    return Tables(**frames)

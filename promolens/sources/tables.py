@@ -59,6 +59,14 @@ class Tables:
             self._cache[key] = bounded_broadcast(df)
         return self._cache[key]
 
+    def hold(self, df: DataFrame) -> None:
+        """Register a persisted frame that ``release`` unpersists."""
+        self._cache.setdefault("held", []).append(df)
+
+    def release(self) -> None:
+        for df in self._cache.pop("held", []):
+            df.unpersist()
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {
             "raw_orders": self.orders,

@@ -22,6 +22,7 @@ def spark():
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.adaptive.enabled", "true")
              .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="promolens-test-ckpt-"))
+             .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="promolens-test-wh-"))
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
