@@ -29,6 +29,9 @@ from pyspark.sql import functions as F
 
 DIGIT_BITS = 16
 DIGIT_MASK = (1 << DIGIT_BITS) - 1
+# At most this many distinct (group, key) pairs go through ``F.percentile``
+# (value -> count maps of a few tens of MB); larger inputs take the radix rounds.
+MAP_MAX_KEYS = 1_000_000
 _G = "_pgrp"   # struct column holding the group key
 
 
@@ -46,7 +49,7 @@ def small_percentiles(value: Column | str, ps: dict[str, float],
 
 def large_percentiles(df: DataFrame, by: Sequence[str], key: str, ps: dict[str, float],
                       decode: Callable[[Column], Column],
-                      weight: str | None = None) -> DataFrame:
+                      weight: str | None = None, map_max_keys: int | None = None) -> DataFrame:
     """Exact PERCENTILE_CONT per group over a long ``key`` column.
 
     Returns one row per group that has at least one non-NULL key, with the
@@ -55,13 +58,16 @@ def large_percentiles(df: DataFrame, by: Sequence[str], key: str, ps: dict[str,
     done on decoded doubles. ``weight`` is an optional long frequency column
     (each row counts ``weight`` times).
 
-    Runs eagerly: the distinct (group, key, count) table and each round's
-    small result are written under the checkpoint folder, so every round is a
-    shallow plan over stored data. Keys are shifted by the global minimum and
-    only as many 16-bit rounds run as the key range needs (two for amounts in
-    cents below 2^32, three for session lengths in microseconds). The wanted
-    ranks are broadcast: at most ``2 * len(ps)`` rows per group, and this
-    function is meant for few, large groups.
+    Runs eagerly. The distinct (group, key, count) table is written under the
+    checkpoint folder first. If it has at most ``map_max_keys`` rows (default
+    ``MAP_MAX_KEYS``) the percentiles are one ``F.percentile`` aggregate with
+    the counts as frequencies. Otherwise the radix rounds run, each over stored
+    data with its small result written too, so every round is a shallow plan.
+    Keys are shifted by the global minimum and only as many 16-bit rounds run
+    as the key range needs (two for amounts in cents below 2^32, three for
+    session lengths in microseconds). Round results hold at most
+    ``2 * len(ps)`` rows per group; the planner broadcasts them by their
+    file size.
     """
     from ..plans.materialize import materialize
 
@@ -74,9 +80,14 @@ def large_percentiles(df: DataFrame, by: Sequence[str], key: str, ps: dict[str,
     vc = materialize(df.where(F.col(key).isNotNull())
                        .groupBy(gk.alias(_G), F.col(key).cast("long").alias("_k"))
                        .agg(F.sum(w).alias("_c")), "pct-keys")
-    lo_hi = vc.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
+    lo_hi = vc.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if lo_hi["lo"] is None:
         return df.select(*by, *[F.lit(None).cast("double").alias(n) for n in ps]).where(F.lit(False))
+    if lo_hi["n"] <= (MAP_MAX_KEYS if map_max_keys is None else map_max_keys):
+        v = decode(F.col("_k"))
+        out = vc.groupBy(_G).agg(*[F.percentile(v, F.lit(float(p)), F.col("_c")).alias(name)
+                                   for name, p in ps.items()])
+        return out.select(*[F.col(f"{_G}.{b}").alias(b) for b in by], *ps.keys())
     kmin = lo_hi["lo"]
     bits = max(1, (lo_hi["hi"] - kmin).bit_length())
     rounds = -(-bits // DIGIT_BITS)
@@ -103,16 +114,16 @@ def large_percentiles(df: DataFrame, by: Sequence[str], key: str, ps: dict[str,
 
     # Walk down the digits. ``_pre`` is offset >> shift for the rows still in
     # play, ``_rem`` the rank left to find among them.
-    found = materialize(_pick(h0, F.broadcast(ranks), g, [], "_d")
+    found = materialize(_pick(h0, ranks, g, [], "_d")
                         .withColumnRenamed("_d", "_pre"), "pct-r0")
     while shift > 0:
         prev_shift, shift = shift, shift - DIGIT_BITS
-        live = F.broadcast(found.select(_G, "_pre").distinct())
+        live = found.select(_G, "_pre").distinct()
         sel = (vc.withColumn("_pre", F.shiftright(off, prev_shift))
                  .join(live, [_G, "_pre"], "left_semi"))
         digit = F.shiftright(off, shift).bitwiseAND(F.lit(DIGIT_MASK))
         h = sel.groupBy(_G, "_pre", digit.alias("_d")).agg(F.sum("_c").alias("_cnt"))
-        nxt = _pick(h, F.broadcast(found), g, ["_pre"], "_d")
+        nxt = _pick(h, found, g, ["_pre"], "_d")
         found = materialize(nxt.select(
             _G, "_rank", "_rem",
             F.shiftleft("_pre", DIGIT_BITS).bitwiseOR(F.col("_d")).alias("_pre")), "pct-r")
@@ -120,7 +131,7 @@ def large_percentiles(df: DataFrame, by: Sequence[str], key: str, ps: dict[str,
 
     lo = keys.select(_G, F.col("_rank").alias("_rlo"), F.col("_v").alias("_vlo"))
     hi = keys.select(_G, F.col("_rank").alias("_rhi"), F.col("_v").alias("_vhi"))
-    vals = (targets.join(F.broadcast(lo), [_G, "_rlo"]).join(F.broadcast(hi), [_G, "_rhi"])
+    vals = (targets.join(lo, [_G, "_rlo"]).join(hi, [_G, "_rhi"])
                    .withColumn("_frac", F.col("_pos") - F.col("_rlo").cast("double"))
                    .withColumn("_v", F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))))
     out = vals.groupBy(_G).agg(*[

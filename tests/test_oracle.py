@@ -42,3 +42,12 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert df.columns[:3] == ["campaign_id", "campaign_name", "campaign_year"]
+
+
+@pytest.mark.parametrize("name", ["category_order_value", "category_share", "fact_category_performance",
+                                  "session_duration", "fact_funnel"])
+def test_radix_path_matches_oracle(spark, con01, name, monkeypatch):
+    from promolens.functions import percentile
+    monkeypatch.setattr(percentile, "MAP_MAX_KEYS", 0)
+    r = compare(E.queries()[name](spark, SF01), con01, E.oracle_sql()[name])
+    assert r["match"], r

@@ -23,7 +23,8 @@ def run(spark, rows, ps, weight=False):
     schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("k", T.LongType()),
                            T.StructField("w", T.LongType())])
     df = spark.createDataFrame(rows, schema)
-    out = large_percentiles(df, ["g"], "k", ps, lambda c: c.cast("double"), weight="w" if weight else None)
+    out = large_percentiles(df, ["g"], "k", ps, lambda c: c.cast("double"), weight="w" if weight else None,
+                            map_max_keys=0)
     return {r["g"]: r for r in out.collect()}
 
 
@@ -60,3 +61,19 @@ def test_small_percentile_with_frequency_equals_fan_out(spark):
     b = w.agg(F.percentile("v", F.lit(0.9), F.col("c")).alias("p")).first()["p"]
     plain = w.agg(F.percentile("v", F.lit(0.9)).alias("p")).first()["p"]
     assert a == pytest.approx(b) and a != pytest.approx(plain)
+
+
+@pytest.mark.parametrize("limit", [0, None])
+def test_both_strategies_agree(spark, limit):
+    rnd = random.Random(7)
+    rows = [(g, rnd.randint(0, 10**7), 1) for g in ("a", "b") for _ in range(400)]
+    schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("k", T.LongType()),
+                           T.StructField("w", T.LongType())])
+    df = spark.createDataFrame(rows, schema)
+    out = large_percentiles(df, ["g"], "k", {"m": 0.5, "p9": 0.9}, lambda c: c.cast("double") / 100.0,
+                            map_max_keys=limit)
+    got = {r["g"]: r for r in out.collect()}
+    for g in ("a", "b"):
+        vals = [k / 100.0 for gg, k, _ in rows if gg == g]
+        assert got[g]["m"] == pytest.approx(brute(vals, [1] * len(vals), 0.5), rel=1e-12)
+        assert got[g]["p9"] == pytest.approx(brute(vals, [1] * len(vals), 0.9), rel=1e-12)
