@@ -45,10 +45,13 @@ def _per_year(daily: DataFrame) -> DataFrame:
 def new_buyers_by_day_type(t: Tables) -> DataFrame:
     """New buyers per day, days typed by MAX(campaign_id), then per year and type."""
     f = first_order_rows(t)
+    # MAX(campaign_id) IS NOT NULL == some first order that day has a campaign;
+    # an int flag keeps the aggregate hash-based (a string MAX sorts).
     daily = f.groupBy("order_date").agg(
         F.count_distinct("customer_id").alias("new_buyers"),
-        F.max("campaign_id").alias("mc"))
-    daily = daily.withColumn("period_type", F.when(F.col("mc").isNotNull(), CAMPAIGN).otherwise(NON_CAMPAIGN))
+        F.max(F.col("campaign_id").isNotNull().cast("int")).alias("any_campaign"))
+    daily = daily.withColumn("period_type",
+                             F.when(F.col("any_campaign") == 1, CAMPAIGN).otherwise(NON_CAMPAIGN))
     return _per_year(daily).orderBy(asc("order_year"), desc("period_type"))
 
 

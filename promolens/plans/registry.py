@@ -82,12 +82,12 @@ SOURCE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_clean": lambda spark, sf_dir: Q.load_clean_orders(spark.read.parquet(f"{sf_dir}/orders.parquet")),
 }
 
-_TABLES: dict[tuple[str, str], Tables] = {}
+_TABLES: dict[tuple[str, int, str], Tables] = {}
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     """The mapped raw tables for ``sf_dir`` (built once per session and folder)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _TABLES:
         _TABLES[key] = fixture.load(spark, sf_dir)
     return _TABLES[key]
