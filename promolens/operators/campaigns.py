@@ -22,6 +22,7 @@ from ..functions.order import asc, desc
 from ..functions.exprs import (MIN_DAILY_ITEMS, avg_exact, completed_amount, dbl, exact_div,
                                inclusive_days, leaked_in_amount, median_out, pct)
 from ..plans.joins import join_null_safe, spread_null_keys
+from ..plans.materialize import materialize
 from ..sources.tables import Tables
 from .daily import baseline_median_gmv, daily_non_campaign
 
@@ -36,7 +37,29 @@ def revenue_expr() -> F.Column:
 def campaign_items(t: Tables) -> DataFrame:
     """Items of campaign orders with their campaign's attributes (inner join)."""
     c = t.campaigns_small().select(*CAMPAIGN_COLS)
-    return t.item_orders().where(F.col("campaign_id").isNotNull()).join(c, "campaign_id")
+    return t.item_orders(campaign=True).join(c, "campaign_id")
+
+
+def campaign_summary(t: Tables) -> DataFrame:
+    """One row per campaign with the additive item totals and distinct counts.
+
+    Built once per table bundle and stored (lift, leakage, the main mart,
+    the yearly and per-event rollups all read it). Sums stay exact decimals.
+    """
+    def build() -> DataFrame:
+        g = campaign_items(t).groupBy(*CAMPAIGN_COLS).agg(
+            F.sum("line_total").alias("gmv"),
+            F.sum(completed_amount()).alias("realized"),
+            F.sum(leaked_in_amount()).alias("leaked"),
+            F.sum("commission_amount").alias("comm"),
+            F.sum("maintenance_amount").alias("maint"),
+            F.sum(revenue_expr()).alias("rev"),
+            F.count_distinct("order_id").alias("total_orders"),
+            F.count_distinct("customer_id").alias("unique_buyers"),
+            F.sum("discount_percent").alias("disc_sum"),
+            F.count("discount_percent").alias("disc_n"))
+        return materialize(g, "campaign-summary")
+    return t.shared("campaign_summary", build)
 
 
 def campaign_year(col: str = "start_date") -> F.Column:
@@ -77,8 +100,7 @@ def campaign_lift(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS,
     """
     base_col = "daily_gmv" if measure == "gmv" else "daily_realized_gmv"
     base = baseline_median_gmv(t, min_daily_items, base_col)
-    amount = F.col("line_total") if measure == "gmv" else completed_amount()
-    g = campaign_items(t).groupBy(*CAMPAIGN_COLS).agg(F.sum(amount).alias("amount"))
+    g = campaign_summary(t).withColumn("amount", F.col("gmv" if measure == "gmv" else "realized"))
     lift = F.round(F.col("amount") / inclusive_days() / base.scalar(), 2)
     return g.select(*CAMPAIGN_COLS, campaign_year().alias("campaign_year"), lift.alias("lift"))
 
@@ -227,11 +249,8 @@ def programme_growth(t: Tables) -> DataFrame:
 # --- leakage: M11, M12, M13, N05, N09 ------------------------------------------------
 
 def _leakage_per_campaign(t: Tables) -> DataFrame:
-    return campaign_items(t).groupBy("campaign_id", "campaign_name", "campaign_type", "start_date").agg(
-        F.sum("line_total").alias("gmv"),
-        F.sum(completed_amount()).alias("realized"),
-        F.sum(leaked_in_amount()).alias("leaked"),
-        F.sum(revenue_expr()).alias("rev"))
+    return campaign_summary(t).select("campaign_id", "campaign_name", "campaign_type", "start_date",
+                                      "gmv", "realized", "leaked", "rev")
 
 
 def leakage_vs_baseline(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) -> DataFrame:
@@ -262,7 +281,7 @@ def leakage_vs_baseline(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) -> Da
 
 def campaign_gmv_totals(t: Tables) -> DataFrame:
     """Total, realized, leaked (total - completed) GMV and revenue of campaign orders."""
-    io = t.item_orders().where(F.col("campaign_id").isNotNull())
+    io = t.item_orders(campaign=True)
     a = io.agg(F.sum("line_total").alias("gmv"), F.sum(completed_amount()).alias("realized"),
                F.sum(revenue_expr()).alias("rev"))
     return a.select(dbl("gmv", 0).alias("total_campaign_gmv"),
@@ -284,7 +303,7 @@ def campaign_leakage_detail(t: Tables) -> DataFrame:
 
 def leakage_sensitivity(t: Tables) -> DataFrame:
     """Campaign GMV and the GMV that one point of leakage is worth."""
-    io = t.item_orders().where(F.col("campaign_id").isNotNull())
+    io = t.item_orders(campaign=True)
     a = io.agg(F.sum("line_total").alias("gmv"))
     return a.select(dbl("gmv", 0).alias("total_campaign_gmv"),
                     dbl(F.col("gmv") * F.lit(0.01).cast("decimal(3,2)"), 0).alias("gmv_per_point"))
@@ -292,8 +311,8 @@ def leakage_sensitivity(t: Tables) -> DataFrame:
 
 def leaked_gmv_by_year(t: Tables) -> DataFrame:
     """Leaked campaign GMV (Cancelled/Refunded) and its rate per campaign year."""
-    g = campaign_items(t).groupBy(campaign_year().alias("campaign_year")).agg(
-        F.sum(leaked_in_amount()).alias("leaked"), F.sum("line_total").alias("gmv"))
+    g = campaign_summary(t).groupBy(campaign_year().alias("campaign_year")).agg(
+        F.sum("leaked").alias("leaked"), F.sum("gmv").alias("gmv"))
     return g.select("campaign_year", dbl("leaked", 0).alias("leaked_gmv"),
                     pct("leaked", "gmv", 2, 2, 2).alias("leakage_pct"))
 
@@ -314,8 +333,7 @@ def typical_day_multiple(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) -> D
     orders. The other side is the baseline days. Each day row is counted in
     two scopes ('all' and its year), so one aggregate covers both.
     """
-    cd = (t.item_orders().where(F.col("campaign_id").isNotNull())
-            .groupBy("order_date").agg(F.sum("line_total").alias("c")))
+    cd = t.item_orders(campaign=True).groupBy("order_date").agg(F.sum("line_total").alias("c"))
     nd = daily_non_campaign(t, min_daily_items).select("order_date", F.col("daily_gmv").alias("n"))
     days = (cd.select("order_date", "c", F.lit(None).cast(cd.schema["c"].dataType).alias("n"))
               .unionByName(nd.select("order_date", F.lit(None).cast(nd.schema["n"].dataType).alias("c"), "n")))
@@ -333,7 +351,7 @@ def event_ranking(t: Tables) -> DataFrame:
     dims = t.campaigns.groupBy("campaign_name").agg(
         F.count_distinct(F.year("start_date")).alias("n_years"),
         F.sum(inclusive_days()).cast("long").alias("total_days"))
-    rev = campaign_items(t).groupBy("campaign_name").agg(F.sum(revenue_expr()).alias("rev"))
+    rev = campaign_summary(t).groupBy("campaign_name").agg(F.sum("rev").alias("rev"))
     j = dims.join(rev, "campaign_name", "left").withColumn("platform_revenue", dbl("rev", 0))
     # One row per event name: the global ranking window is bounded by the names.
     return j.select("campaign_name", "n_years", "total_days", "platform_revenue",

@@ -31,7 +31,7 @@ def _from_cents(c: F.Column) -> F.Column:
 
 def _campaign_items_with_category(t: Tables) -> DataFrame:
     p = t.products_small("product_id", "category")
-    return t.item_orders().where(F.col("campaign_id").isNotNull()).join(p, "product_id")
+    return t.item_orders(campaign=True).join(p, "product_id")
 
 
 def category_order_value(t: Tables) -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.order import asc
 from ..functions.exprs import (MIN_DAILY_ITEMS, avg_exact, completed_amount, dbl, exact_div,
-                               inclusive_days, leaked_in_amount, pct)
+                               inclusive_days, pct)
 from ..sources.tables import Tables
-from .campaigns import CAMPAIGN_COLS, campaign_cvr, campaign_items, campaign_year
+from .campaigns import CAMPAIGN_COLS, campaign_cvr, campaign_summary, campaign_year
 from .categories import fact_category_performance
 from .customers import fact_new_buyers
 from .daily import baseline_median_gmv, fact_daily_baseline
@@ -61,15 +61,7 @@ def fact_campaign_performance(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS)
     missing year is not seen (the previous available year is used).
     """
     base = baseline_median_gmv(t, min_daily_items)
-    ca = campaign_items(t).groupBy("campaign_id", "campaign_name", "start_date", "end_date").agg(
-        F.count_distinct("order_id").alias("total_orders"),
-        F.count_distinct("customer_id").alias("unique_buyers"),
-        F.sum("line_total").alias("gmv"),
-        F.sum(completed_amount()).alias("realized"),
-        F.sum(leaked_in_amount()).alias("leaked"),
-        F.sum("commission_amount").alias("comm"),
-        F.sum("maintenance_amount").alias("maint"),
-        avg_exact("discount_percent", 2).alias("disc"))
+    ca = campaign_summary(t).withColumn("disc", exact_div("disc_sum", "disc_n", 2, 0))
     days = inclusive_days()
     ca = ca.select(
         "campaign_id", "campaign_name", campaign_year().alias("campaign_year"),

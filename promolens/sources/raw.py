@@ -1,7 +1,8 @@
 """Read and write the seven raw tables in their own layout.
 
 ``read_raw`` reads one folder per table (Parquet, explicit schema, no
-inference); ``read_csv_export`` reads a CSV export and applies the two load
+inference); the item x order fact is stored partitioned by the campaign
+flag, so campaign metrics read only the campaign directory; ``read_csv_export`` reads a CSV export and applies the two load
 fixes of the source DDL (date text ending in ``00:00:00`` becomes DATE, the
 redundant ``order_day`` / ``year_month`` columns are dropped); ``write_raw``
 stores a bundle, optionally with the pre-joined item x order fact so later
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schemas as S
-from .tables import ORDER_COLUMNS, Tables
+from .tables import CAMPAIGN_FLAG, ORDER_COLUMNS, Tables
 
 ITEM_ORDERS = "item_orders"
 _FIELDS = {
@@ -42,7 +43,8 @@ def write_raw(t: Tables, root: str, with_item_orders: bool = True, mode: str = "
     for attr, name in _FIELDS.items():
         getattr(t, attr).write.mode(mode).parquet(_path(root, name))
     if with_item_orders:
-        t.item_orders().write.mode(mode).parquet(_path(root, ITEM_ORDERS))
+        io = t.item_orders().withColumn(CAMPAIGN_FLAG, F.col("campaign_id").isNotNull())
+        io.write.mode(mode).partitionBy(CAMPAIGN_FLAG).parquet(_path(root, ITEM_ORDERS))
 
 
 def read_raw(spark: SparkSession, root: str, with_item_orders: bool = True) -> Tables:
@@ -51,7 +53,8 @@ def read_raw(spark: SparkSession, root: str, with_item_orders: bool = True) -> T
     item_orders = None
     if with_item_orders:
         schema = T.StructType(S.ORDER_ITEMS.fields
-                              + [T.StructField(c, S.ORDERS[c].dataType, True) for c in ORDER_COLUMNS])
+                              + [T.StructField(c, S.ORDERS[c].dataType, True) for c in ORDER_COLUMNS]
+                              + [T.StructField(CAMPAIGN_FLAG, T.BooleanType(), True)])
         try:
             item_orders = spark.read.schema(schema).parquet(_path(root, ITEM_ORDERS))
         except Exception:  # folder absent: metrics build the join themselves

@@ -46,10 +46,17 @@ def test_column_pruning_on_items(spark, stored):
 
 
 def test_campaigns_are_broadcast(spark, stored):
-    p = plan(REGISTRY["campaign_leakage_detail"](stored))
+    from promolens.operators.campaigns import campaign_items
+    p = plan(campaign_items(stored))
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
 
 
+def test_campaign_scans_prune_the_partition(spark, stored):
+    from promolens.operators.campaigns import campaign_items
+    p = plan(campaign_items(stored))
+    assert "PartitionFilters: [isnotnull(campaign_order#" in p and "(campaign_order#" in p
+
+
 def test_session_order_join_spreads_null_keys(spark):
     p = plan(run(spark, SF01, "campaign_cvr_and_lift"))
     assert "pmod(hash(session_id" in p
