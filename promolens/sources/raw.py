@@ -11,6 +11,8 @@ jobs skip the largest join.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +41,26 @@ def _path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def write_raw(t: Tables, root: str, with_item_orders: bool = True, mode: str = "overwrite") -> None:
-    for attr, name in _FIELDS.items():
-        getattr(t, attr).write.mode(mode).parquet(_path(root, name))
+def write_raw(t: Tables, root: str, with_item_orders: bool = True, mode: str = "overwrite",
+              parallel: int = 4) -> None:
+    """Store the raw tables (and the item x order fact) under ``root``.
+
+    The writes are independent jobs; up to ``parallel`` of them are submitted
+    at once from driver threads so small tables do not wait behind large ones.
+    """
+    writes = [(getattr(t, attr), _path(root, name), None) for attr, name in _FIELDS.items()]
     if with_item_orders:
         io = t.item_orders().withColumn(CAMPAIGN_FLAG, F.col("campaign_id").isNotNull())
-        io.write.mode(mode).partitionBy(CAMPAIGN_FLAG).parquet(_path(root, ITEM_ORDERS))
+        writes.insert(0, (io, _path(root, ITEM_ORDERS), CAMPAIGN_FLAG))
+
+    def one(job) -> None:
+        df, path, part = job
+        w = df.write.mode(mode)
+        (w.partitionBy(part) if part else w).parquet(path)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        for f in [pool.submit(one, job) for job in writes]:
+            f.result()
 
 
 def read_raw(spark: SparkSession, root: str, with_item_orders: bool = True) -> Tables:

@@ -41,16 +41,23 @@ def _rows(cols, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "DoubleType()": "DOUBLE", "StringType()": "VARCHAR",
+                 "DateType()": "DATE", "BooleanType()": "BOOLEAN", "IntegerType()": "INTEGER"}
+
+
 def compare(spark_df, con, sql):
     s_cols = spark_df.columns
+    s_types = {f.name: SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType)) for f in spark_df.schema.fields}
     s_rows = [tuple(r) for r in spark_df.collect()]
-    res = con.execute(sql)
-    d_cols = [d[0] for d in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(sql)
+    d_cols = list(rel.columns)
+    d_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    d_rows = rel.fetchall()
     out = {"spark_rows": len(s_rows), "oracle_rows": len(d_rows),
-           "columns_match": sorted(s_cols) == sorted(d_cols)}
-    if not out["columns_match"]:
-        out["detail"] = f"spark {sorted(s_cols)} vs oracle {sorted(d_cols)}"
+           "columns_match": sorted(s_cols) == sorted(d_cols),
+           "types_match": s_types == d_types}
+    if not (out["columns_match"] and out["types_match"]):
+        out["detail"] = f"spark {sorted(s_types.items())} vs oracle {sorted(d_types.items())}"
         out["match"] = False
         return out
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
