@@ -221,13 +221,13 @@ def yearly_revenue_growth(t: Tables) -> DataFrame:
         F.round(F.sum(revenue_expr()), 0).alias("total_platform_revenue"))
     # One row per year: a single-partition window is bounded by the calendar.
     co = _campaign_year_revenue(t).withColumn(
-        "prev_year_rev", F.lag("campaign_revenue").over(Window.orderBy("year")))
+        "rev_before", F.lag("campaign_revenue").over(Window.orderBy("year")))
     j = co.join(ao, "year")
     return j.select(
         "year", "campaigns", "unique_buyers",
         dbl("campaign_revenue").alias("campaign_revenue"),
         dbl("total_platform_revenue").alias("total_platform_revenue"),
-        pct(F.col("campaign_revenue") - F.col("prev_year_rev"), "prev_year_rev", 1)
+        pct(F.col("campaign_revenue") - F.col("rev_before"), "rev_before", 1)
         .alias("yoy_revenue_growth_pct")).orderBy(asc("year"))
 
 
@@ -263,13 +263,13 @@ def leakage_vs_baseline(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) -> Da
         F.percentile("daily_leakage", F.lit(0.5)).alias("b"))
     cl = _leakage_per_campaign(t).select(
         F.round(exact_div("leaked", "gmv", 2, 2, mult=100), 2).alias("leakage_pct"),
-        F.round(F.col("gmv") - F.col("realized"), 0).alias("leaked_gmv_thb"))
+        F.round(F.col("gmv") - F.col("realized"), 0).alias("leaked_amt"))
     lp = F.col("leakage_pct")
     g = cl.withColumn("b", base.scalar()).groupBy("b").agg(
         avg_exact(lp, 2).alias("mean"),
         F.percentile(lp, F.lit(0.5)).alias("med"),
         F.min(lp).alias("mn"), F.max(lp).alias("mx"),
-        F.sum("leaked_gmv_thb").alias("total"))
+        F.sum("leaked_amt").alias("total"))
     return g.select(
         dbl("mean", 2).alias("campaign_mean_leakage"),
         median_out("med").alias("campaign_median_leakage"),

@@ -59,8 +59,7 @@ def baseline_median_gmv(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS,
 def threshold_diagnostics(t: Tables) -> DataFrame:
     """Candidate minimum-volume cuts over daily item counts (no cut applied)."""
     d = daily_non_campaign(t, min_daily_items=0)
-    x = F.col("daily_line_items")
-    d = d.select(F.col("daily_items").alias("daily_line_items"))
+    x = F.col("daily_items")
     q = d.agg(
         *small_percentiles(x, {"p5": 0.05, "q1": 0.25, "median": 0.5, "q3": 0.75}),
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
