@@ -90,6 +90,8 @@ def large_percentiles(df: DataFrame, by: Sequence[str], key: str, ps: dict[str,
         return out.select(*[F.col(f"{_G}.{b}").alias(b) for b in by], *ps.keys())
     kmin = lo_hi["lo"]
     bits = max(1, (lo_hi["hi"] - kmin).bit_length())
+    if bits > 63:
+        raise ValueError("key range exceeds 63 bits; encode the value with a coarser unit")
     rounds = -(-bits // DIGIT_BITS)
     off = F.col("_k") - F.lit(kmin)
     g = [_G]
