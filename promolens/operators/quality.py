@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DOCUMENTED_STATUSES, pct
@@ -27,10 +27,11 @@ NULLABLE_PROFILE = {
     "raw_products": ("category",),
     "raw_website_sessions": ("session_end_time", "utm_source", "campaign_id", "device_type", "order_id"),
 }
-# Categorical columns whose value shares are profiled (Q06).
+# Columns whose value shares are profiled (Q06); product_name is a label with
+# few distinct values per many rows, not a key.
 CATEGORICAL_PROFILE = {
     "raw_website_sessions": ("device_type",),
-    "raw_products": ("category",),
+    "raw_products": ("category", "product_name"),
     "raw_campaigns": ("campaign_type",),
 }
 
@@ -110,9 +111,11 @@ def distinct_profile(t: Tables) -> DataFrame:
             frames.append(d[name].groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
                           .select(F.lit(f"{name}.{c}").alias("column_name"), "value", "n"))
     x = _stack(frames)
-    # One row per distinct value: the per-column total window is bounded.
-    total = F.sum("n").over(Window.partitionBy("column_name"))
-    return x.select("column_name", "value", "n", pct(F.col("n"), total, 2).alias("pct"))
+    # Per-column totals: one row per profiled column (a fixed list), so the
+    # join is a broadcast and no column's values meet in one task.
+    totals = F.broadcast(x.groupBy("column_name").agg(F.sum("n").alias("_total")))
+    return x.join(totals, "column_name").select("column_name", "value", "n",
+                                                pct("n", "_total", 2).alias("pct"))
 
 
 def name_type_drift(t: Tables) -> DataFrame:
