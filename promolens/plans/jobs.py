@@ -22,6 +22,7 @@ from pyspark.sql import SparkSession
 from ..operators.marts import save_marts, write_marts
 from ..sources import fixture, raw
 from .registry import REGISTRY
+from .tuning import apply_where_unset, scale_conf
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -32,9 +33,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--database", help="write the derived tables as catalog tables in this database")
     ap.add_argument("--reports", help="output folder for every registered query")
     ap.add_argument("--only", nargs="*", help="subset of query keys for --reports")
+    ap.add_argument("--input-gb", type=float, help="raw input volume, to size shuffle partitions")
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName("promolens").getOrCreate()
+    if args.input_gb:
+        cores = spark.sparkContext.defaultParallelism
+        apply_where_unset(spark, scale_conf(int(args.input_gb * 1024 ** 3), cores))
     if args.load_fixture:
         fixture.write_raw_tables(spark, args.load_fixture, args.raw)
     t = raw.read_raw(spark, args.raw)

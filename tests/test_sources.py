@@ -51,3 +51,10 @@ def test_catalog_tables_and_marts(spark):
     assert set(saved) <= {x.name for x in spark.catalog.listTables("shop_marts")}
     assert _rows(spark.table("shop_marts.fact_daily_baseline")) == _rows(REGISTRY["fact_daily_baseline"](t))
     spark.catalog.setCurrentDatabase("default")
+
+
+def test_scale_conf_sizes_partitions_from_input():
+    from promolens.plans.tuning import scale_conf
+    big = scale_conf(100 * 1024 ** 4, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(10 ** 6, 8)["spark.sql.shuffle.partitions"]) == 16
