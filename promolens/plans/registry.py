@@ -7,6 +7,7 @@ builder to the driver's test tables under ``sf_dir``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from ..operators import daily as D
 from ..operators import marts as M
 from ..operators import quality as Q
 from ..operators import sessions as S
-from ..sources import fixture
+from ..session import ensure_checkpoint_dir
+from ..sources import fixture, raw
 from ..sources.tables import Tables
 
 Builder = Callable[[Tables], DataFrame]
@@ -86,10 +88,17 @@ _TABLES: dict[tuple[str, int, str], Tables] = {}
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
-    """The mapped raw tables for ``sf_dir`` (built once per session and folder)."""
+    """The raw tables for the driver tables under ``sf_dir``, loaded once per session.
+
+    The load step maps the test tables and stores the raw layout (with the
+    campaign-partitioned item x order fact) under the checkpoint folder;
+    every query then reads the stored tables, as a production job would.
+    """
     key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _TABLES:
-        _TABLES[key] = fixture.load(spark, sf_dir)
+        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/promolens-raw/{uuid.uuid4().hex}"
+        fixture.write_raw_tables(spark, sf_dir, root)
+        _TABLES[key] = raw.read_raw(spark, root)
     return _TABLES[key]
 
 
