@@ -90,6 +90,12 @@ class Tables:
         for df in self._cache.pop("held", []):
             df.unpersist()
 
+    def register_views(self) -> list[str]:
+        """Register the raw tables as temp views (``raw_orders`` ...) for Spark SQL users."""
+        for name, df in self.as_dict().items():
+            df.createOrReplaceTempView(name)
+        return list(self.as_dict())
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {
             "raw_orders": self.orders,
