@@ -28,6 +28,10 @@ def _minutes(c: F.Column) -> F.Column:
     return c.cast("double") / MICROS_PER_MINUTE
 
 
+# Microsecond totals are summed as decimals: 10^10 sessions of a quarter hour
+# already pass the range of a long.
+
+
 def overall_cvr(t: Tables) -> DataFrame:
     """Share of sessions with an order, campaign vs non-campaign."""
     g = t.website_sessions.groupBy(session_type().alias("session_type")).agg(
@@ -83,12 +87,12 @@ def session_duration(t: Tables) -> DataFrame:
           .select(session_type().alias("session_type"),
                   micros_between("session_start_time", "session_end_time").alias("us")))
     g = ws.groupBy("session_type").agg(F.count(F.lit(1)).alias("sessions"),
-                                       F.sum("us").alias("sum_us"), F.count("us").alias("n_us"))
+                                       F.sum(F.col("us").cast("decimal(38,0)")).alias("sum_us"), F.count("us").alias("n_us"))
     q = large_percentiles(ws, ["session_type"], "us",
                           {"median_minutes": 0.5, "p25_minutes": 0.25, "p75_minutes": 0.75}, _minutes)
     j = g.join(q, "session_type", "left")
     return j.select("session_type", "sessions",
-                    dbl(exact_div("sum_us", F.col("n_us") * MICROS_PER_MINUTE), 1).alias("mean_minutes"),
+                    dbl(exact_div("sum_us", F.col("n_us").cast("decimal(38,0)") * MICROS_PER_MINUTE), 1).alias("mean_minutes"),
                     median_out("median_minutes").alias("median_minutes"),
                     median_out("p25_minutes").alias("p25_minutes"),
                     median_out("p75_minutes").alias("p75_minutes")).orderBy(desc("session_type"))
@@ -107,10 +111,10 @@ def fact_funnel(t: Tables) -> DataFrame:
     g = j.groupBy("session_type").agg(
         F.count(F.lit(1)).alias("total_sessions"),
         *[F.sum(name).alias(f"s_{name}") for name, _ in FUNNEL_STAGES],
-        F.sum("us").alias("sum_us"), F.count("us").alias("n_us"))
+        F.sum(F.col("us").cast("decimal(38,0)")).alias("sum_us"), F.count("us").alias("n_us"))
     q = large_percentiles(j, ["session_type"], "us", {"median_session_minutes": 0.5}, _minutes)
     out = g.join(q, "session_type", "left")
     return out.select(
         "session_type", "total_sessions", *_funnel_columns("total_sessions"),
-        dbl(exact_div("sum_us", F.col("n_us") * MICROS_PER_MINUTE), 1).alias("mean_session_minutes"),
+        dbl(exact_div("sum_us", F.col("n_us").cast("decimal(38,0)") * MICROS_PER_MINUTE), 1).alias("mean_session_minutes"),
         median_out("median_session_minutes").alias("median_session_minutes"))
