@@ -199,3 +199,22 @@ def test_load_clean_parses_midnight_suffix(spark):
                                "order_id long, order_date string, order_day string, year_month string")
     out = Q.load_clean(df)
     assert out.columns == ["order_id", "order_date"] and out.first()["order_date"] == D("2023-05-06")
+
+
+def test_descending_report_order_puts_nulls_first(spark):
+    """Trap T9: PostgreSQL sorts NULL first in DESC (Spark's default is last)."""
+    camps, orders, items = [], [], []
+    base_orders, base_items = baseline_days([20])
+    for i, (ctype, amt) in enumerate([("bundle", 4000), ("voucher", 2000)]):
+        cid = f"T{i}"
+        camps.append({"campaign_id": cid, "campaign_name": "9.9 Sale", "campaign_type": ctype,
+                      "start_date": D(f"202{i}-09-09"), "end_date": D(f"202{i}-09-09")})
+        o, its = day_of_items(i + 1, f"202{i}-09-09", 1, amount=amt, campaign=cid)
+        orders.append(o)
+        items += its
+    t = tables(spark, base_orders + orders, base_items + items, campaigns=camps)
+    assert [r["median_lift"] for r in C.lift_by_campaign_type(t).collect()] == [2.0, 1.0]
+    t0 = tables(spark, orders, items, campaigns=camps)            # no baseline day: NULL lifts
+    rows = C.lift_by_campaign(t0).collect()
+    assert [r["campaign_type"] for r in rows] == ["bundle", "voucher"]
+    assert all(r["gmv_lift"] is None for r in rows)
