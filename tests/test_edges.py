@@ -218,3 +218,10 @@ def test_descending_report_order_puts_nulls_first(spark):
     rows = C.lift_by_campaign(t0).collect()
     assert [r["campaign_type"] for r in rows] == ["bundle", "voucher"]
     assert all(r["gmv_lift"] is None for r in rows)
+
+
+def test_order_helpers_follow_postgres(spark):
+    from promolens.functions.order import asc, desc
+    df = spark.createDataFrame([(1.0,), (None,), (2.0,)], "x double")
+    assert [r["x"] for r in df.orderBy(desc("x")).collect()] == [None, 2.0, 1.0]
+    assert [r["x"] for r in df.orderBy(asc("x")).collect()] == [1.0, 2.0, None]
