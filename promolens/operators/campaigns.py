@@ -217,8 +217,10 @@ def _campaign_year_revenue(t: Tables) -> DataFrame:
 
 def yearly_revenue_growth(t: Tables) -> DataFrame:
     """Campaign revenue and buyers per campaign year beside all revenue of that year."""
-    ao = t.item_orders().groupBy(F.year("order_date").cast("long").alias("year")).agg(
-        F.round(F.sum(revenue_expr()), 0).alias("total_platform_revenue"))
+    from .marts import monthly_summary      # months roll up exactly into years
+
+    ao = monthly_summary(t).groupBy(F.col("order_year").alias("year")).agg(
+        F.round(F.sum("rev"), 0).alias("total_platform_revenue"))
     # One row per year: a single-partition window is bounded by the calendar.
     co = _campaign_year_revenue(t).withColumn(
         "rev_before", F.lag("campaign_revenue").over(Window.orderBy("year")))

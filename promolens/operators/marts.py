@@ -16,7 +16,8 @@ from ..functions.order import asc
 from ..functions.exprs import (MIN_DAILY_ITEMS, avg_exact, completed_amount, dbl, exact_div,
                                inclusive_days, pct)
 from ..sources.tables import Tables
-from .campaigns import CAMPAIGN_COLS, campaign_cvr, campaign_summary, campaign_year
+from ..plans.materialize import materialize
+from .campaigns import CAMPAIGN_COLS, campaign_cvr, campaign_summary, campaign_year, revenue_expr
 from .categories import fact_category_performance
 from .customers import fact_new_buyers
 from .daily import baseline_median_gmv, fact_daily_baseline
@@ -88,14 +89,27 @@ def fact_campaign_performance(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS)
         pct(F.col("total_orders") - prev_orders, prev_orders, 1).alias("yoy_orders_growth_pct"))
 
 
-def _monthly(t: Tables) -> DataFrame:
-    io = t.item_orders()
-    return io.groupBy(F.year("order_date").cast("long").alias("order_year"),
-                      F.month("order_date").cast("long").alias("order_month")).agg(
-        F.count_distinct("order_id").alias("total_orders"),
-        F.sum("line_total").alias("gmv"),
-        F.sum(completed_amount()).alias("realized"),
-        F.count_distinct("order_date").alias("days_in_month"))
+def monthly_summary(t: Tables) -> DataFrame:
+    """One row per calendar month of all orders: orders, active days, GMV, realized, revenue.
+
+    A full scan of the item fact, so it is built once per table bundle and
+    stored; the monthly trend, the monthly mart and the yearly platform
+    revenue (an additive rollup of the months) read it.
+    """
+    def build() -> DataFrame:
+        io = t.item_orders()
+        g = io.groupBy(F.year("order_date").cast("long").alias("order_year"),
+                       F.month("order_date").cast("long").alias("order_month")).agg(
+            F.count_distinct("order_id").alias("total_orders"),
+            F.sum("line_total").alias("gmv"),
+            F.sum(completed_amount()).alias("realized"),
+            F.sum(revenue_expr()).alias("rev"),
+            F.count_distinct("order_date").alias("days_in_month"))
+        return materialize(g, "monthly-summary")
+    return t.shared("monthly_summary", build)
+
+
+_monthly = monthly_summary
 
 
 def monthly_gmv_trend(t: Tables) -> DataFrame:
