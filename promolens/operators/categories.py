@@ -19,6 +19,7 @@ from ..functions.exprs import (avg_exact, cents, completed_amount, dbl, exact_di
                                leaked_in_amount, median_out, pct)
 from ..functions.percentile import large_percentiles
 from ..plans.joins import bounded_broadcast, join_null_safe
+from ..plans.materialize import materialize
 from ..sources.tables import Tables
 from .campaigns import campaign_items, campaign_year
 
@@ -62,12 +63,15 @@ def category_order_value(t: Tables) -> DataFrame:
 
 
 def _category_totals(t: Tables) -> DataFrame:
-    x = _campaign_items_with_category(t)
-    return x.groupBy("category").agg(
-        F.count_distinct("order_id").alias("total_orders"),
-        F.sum("line_total").alias("gmv"),
-        F.sum(completed_amount()).alias("realized"),
-        avg_exact("commission_amount", 2).alias("comm"))
+    """Campaign orders per category: orders, GMV, realized GMV, mean commission (stored once)."""
+    def build() -> DataFrame:
+        x = _campaign_items_with_category(t)
+        return materialize(x.groupBy("category").agg(
+            F.count_distinct("order_id").alias("total_orders"),
+            F.sum("line_total").alias("gmv"),
+            F.sum(completed_amount()).alias("realized"),
+            avg_exact("commission_amount", 2).alias("comm")), "category-totals")
+    return t.shared("category_totals", build)
 
 
 def category_share(t: Tables) -> DataFrame:
@@ -108,7 +112,9 @@ def category_discount_return(t: Tables) -> DataFrame:
     p = t.products.select("product_id", "category")
     d = (t.product_campaign.join(p, "product_id")
          .groupBy("category").agg(avg_exact("discount_percent", 2).alias("disc")))
-    share = category_share(t).select("category", "gmv_pct")
+    everything = Window.partitionBy()      # one row per category: bounded
+    share = (_category_totals(t).withColumn("all_gmv", F.sum("gmv").over(everything))
+             .select("category", pct("gmv", "all_gmv", 1, 2, 2).alias("gmv_pct")))
     return (join_null_safe(d, share, ["category"], "left")
              .select("category", dbl("disc", 2).alias("avg_offered_discount_pct"), "gmv_pct"))
 
