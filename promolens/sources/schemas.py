@@ -3,7 +3,7 @@
 Column names, order and types follow the input contract of the campaign
 analytics project (orders, campaigns, order items, enrolments, products,
 website sessions, session activities). Keys are widened to ``long`` so that
-both the reference layout (INT) and the test tables (bigint) fit.
+both the source layout (INT) and the test tables (bigint) fit.
 Primary keys, foreign keys and NOT NULL are not enforced by Spark; they are
 checked by the jobs in :mod:`promolens.operators.quality`.
 """
