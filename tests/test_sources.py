@@ -73,3 +73,15 @@ def test_sql_over_registered_views(spark):
     df = run(spark, SF001, "campaign_gmv_totals").first()
     assert float(sql["total_campaign_gmv"]) == df["total_campaign_gmv"]
     assert float(sql["realized_gmv"]) == df["realized_gmv"]
+
+
+def test_batch_job_writes_marts_and_reports(spark):
+    from promolens.plans import jobs
+    root = tempfile.mkdtemp(prefix="promolens-job-")
+    jobs.main(["--raw", f"{root}/raw", "--load-fixture", SF001, "--marts", f"{root}/marts",
+               "--reports", f"{root}/reports", "--only", "fact_daily_baseline", "overall_cvr"])
+    assert sorted(os.listdir(f"{root}/marts")) == sorted(marts.MART_BUILDERS)
+    got = spark.read.parquet(f"{root}/reports/overall_cvr")
+    assert got.count() == 2
+    stored = spark.read.parquet(f"{root}/marts/fact_daily_baseline").collect()
+    assert _rows(spark.createDataFrame(stored)) == _rows(REGISTRY["fact_daily_baseline"](fixture.load(spark, SF001)))
