@@ -171,8 +171,12 @@ def map_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame,
     return camp.unionByName(rest)
 
 
-def map_sessions(events: DataFrame, campaigns: DataFrame, n_campaigns: int) -> DataFrame:
-    """One session per (user, day) of events."""
+def map_sessions(events: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """One session per (user, day) of events.
+
+    The campaign slot is ``k % (2 * number of campaigns)``; the count enters
+    as a scalar subquery, so building the plan runs no job.
+    """
     ev = events.select("event_id", "ts", "user_id", "event_type",
                        F.to_date("ts").alias("session_date"))
     s = ev.groupBy("user_id", "session_date").agg(
@@ -181,7 +185,8 @@ def map_sessions(events: DataFrame, campaigns: DataFrame, n_campaigns: int) -> D
         F.min(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("oid"),
     )
     k = F.col("user_id") * 31 + F.dayofmonth("session_date")
-    s = s.withColumn("k", k).withColumn("slot", F.pmod("k", F.lit(2 * n_campaigns)))
+    modulus = campaigns.agg((F.count(F.lit(1)) * 2).alias("m")).scalar()
+    s = s.withColumn("k", k).withColumn("slot", F.pmod("k", modulus))
     c = F.broadcast(campaigns.select("campaign_id", F.col("campaign_idx").alias("slot")))
     devices = F.array(*[F.lit(d) for d in DEVICE_TYPES])
     return s.join(c, "slot", "left").select(
@@ -225,14 +230,11 @@ def load(spark: SparkSession, sf_dir: str, persist: bool = False) -> Tables:
     """
     d = read_driver_tables(spark, sf_dir)
     campaigns_full = campaigns_from_orders(d["orders"])
-    # The only eager step: the number of campaigns (one aggregate over the
-    # order dates) fixes the session -> campaign slot modulus.
-    n_campaigns = campaigns_full.count()
     orders = map_orders(d["orders"], campaigns_full)
     products = map_products(d["part"])
     pc = map_product_campaign(products, campaigns_full)
     items = map_items(d["lineitem"], orders, products, pc, persist=persist)
-    sessions = map_sessions(d["events"], campaigns_full, n_campaigns)
+    sessions = map_sessions(d["events"], campaigns_full)
     activities = map_activities(d["events"])
     item_orders = (items.where(F.col("_has_order"))
                         .select(*S.conform_columns(items, S.ORDER_ITEMS),
