@@ -56,7 +56,7 @@ def baseline_median_gmv(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS,
     return d.agg(F.percentile(measure, F.lit(0.5)).alias("median_gmv"))
 
 
-def threshold_diagnostics(t: Tables) -> DataFrame:
+def threshold_diagnostics(t: Tables, iqr_k: float = IQR_K) -> DataFrame:
     """Candidate minimum-volume cuts over daily item counts (no cut applied)."""
     d = daily_non_campaign(t, min_daily_items=0)
     x = F.col("daily_items")
@@ -68,7 +68,7 @@ def threshold_diagnostics(t: Tables) -> DataFrame:
         avg_exact(x, 0).alias("mean_exact"))
     return q.select(
         median_out("p5").alias("p5_threshold"),
-        median_out(F.col("q1") - IQR_K * (F.col("q3") - F.col("q1"))).alias("iqr_lower_fence"),
+        median_out(F.col("q1") - F.lit(iqr_k) * (F.col("q3") - F.col("q1"))).alias("iqr_lower_fence"),
         dbl(F.col("mean") - 2 * F.col("sd"), 0).alias("mean_minus_2sd"),
         "total_days", "min_daily_items",
         dbl("mean_exact", 1).alias("mean_daily_items"),

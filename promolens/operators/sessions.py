@@ -41,10 +41,14 @@ def overall_cvr(t: Tables) -> DataFrame:
                     pct("converted", "total_sessions", 2).alias("cvr_pct"))
 
 
-def session_flags(t: Tables) -> DataFrame:
-    """One row per (session_id, campaign_id) that has activities, with six 0/1 stage flags."""
+def session_flags(t: Tables, stages=FUNNEL_STAGES) -> DataFrame:
+    """One row per (session_id, campaign_id) that has activities, with a 0/1 flag per stage.
+
+    ``stages`` is a sequence of (name, lower-case URL fragment); the default
+    is the six-stage funnel of the source.
+    """
     flags = t.session_activities.groupBy("session_id").agg(
-        *[stage_flag(pattern).alias(name) for name, pattern in FUNNEL_STAGES])
+        *[stage_flag(pattern).alias(name) for name, pattern in stages])
     pairs = t.website_sessions.select("session_id", "campaign_id").distinct()
     return pairs.join(flags, "session_id")
 
