@@ -149,8 +149,12 @@ def distinct_on(df: DataFrame, keys: list[str], order_by: list[str], cols: list[
 
     A ``min`` over a struct led by the ordering columns: a partial aggregate,
     so a key with a huge number of rows never lands whole in one task (a
-    ``row_number`` window would put it there). Ordering columns are taken as
-    non-NULL; ties on them go to the smaller remaining columns.
+    ``row_number`` window would put it there). Spark runs it as a sort-based
+    aggregate (struct buffers are not hash-aggregatable), but each map task
+    still emits one row per key before the single shuffle; a hash-only form
+    (min per key, join back, min again) would shuffle the whole table for
+    the join. Ordering columns are taken as non-NULL; ties on them go to the
+    smaller remaining columns.
     """
     rest = [c for c in cols if c not in keys and c not in order_by]
     first = F.min(F.struct(*[F.col(c) for c in order_by + rest])).alias("_first")
