@@ -103,9 +103,9 @@ def rate_flag(cond: Column) -> Column:
     return F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def stage_flag(pattern: str, url="page_url") -> Column:
-    """MAX(CASE WHEN LOWER(url) LIKE '%pattern%' THEN 1 ELSE 0 END)."""
-    return F.max(F.when(F.lower(col(url)).contains(pattern), 1).otherwise(0))
+def stage_flag(pattern: str, lowered_url="url_lower") -> Column:
+    """MAX(CASE WHEN LOWER(url) LIKE '%pattern%' THEN 1 ELSE 0 END), over an already lower-cased URL."""
+    return F.max(F.when(col(lowered_url).contains(pattern), 1).otherwise(0))
 
 
 def cents(c) -> Column:

@@ -47,8 +47,9 @@ def session_flags(t: Tables, stages=FUNNEL_STAGES) -> DataFrame:
     ``stages`` is a sequence of (name, lower-case URL fragment); the default
     is the six-stage funnel of the source.
     """
-    flags = t.session_activities.groupBy("session_id").agg(
-        *[stage_flag(pattern).alias(name) for name, pattern in stages])
+    # Lower-case each URL once, then test every stage fragment on it.
+    acts = t.session_activities.select("session_id", F.lower("page_url").alias("url_lower"))
+    flags = acts.groupBy("session_id").agg(*[stage_flag(pattern).alias(name) for name, pattern in stages])
     pairs = t.website_sessions.select("session_id", "campaign_id").distinct()
     return pairs.join(flags, "session_id")
 
