@@ -66,3 +66,37 @@ def compare(spark_df, con, sql):
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
         out["detail"] = f"first diffs: {diff}" if diff else "row counts differ"
     return out
+
+
+def main(argv=None) -> int:
+    """``python tests/oracle_harness.py [sf_dir] [key ...]``: compare queries with their oracle."""
+    import os
+    import sys
+    import time
+
+    argv = sys.argv[1:] if argv is None else argv
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sys.path.insert(0, root)
+    import __spark_entry__ as E
+    from promolens.session import local_session
+
+    sf = argv[0] if argv else "/root/testdata/sf0.01"
+    only = set(argv[1:])
+    spark = local_session("local[8]")
+    con = duck(sf)
+    bad = 0
+    for name, fn in E.queries().items():
+        if only and name not in only:
+            continue
+        t0 = time.time()
+        r = compare(fn(spark, sf), con, E.oracle_sql()[name])
+        bad += not r["match"]
+        print(f"{'OK ' if r['match'] else 'BAD'} {name:28s} {time.time() - t0:5.1f}s "
+              f"rows={r['spark_rows']}/{r['oracle_rows']} {r.get('detail', '') if not r['match'] else ''}",
+              flush=True)
+    print("mismatches:", bad)
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())
