@@ -48,15 +48,22 @@ def write_raw(t: Tables, root: str, with_item_orders: bool = True, mode: str = "
     The writes are independent jobs; up to ``parallel`` of them are submitted
     at once from driver threads so small tables do not wait behind large ones.
     """
-    writes = [(getattr(t, attr), _path(root, name), None) for attr, name in _FIELDS.items()]
+    writes = [(getattr(t, attr), _path(root, name)) for attr, name in _FIELDS.items()]
     if with_item_orders:
-        io = t.item_orders().withColumn(CAMPAIGN_FLAG, F.col("campaign_id").isNotNull())
-        writes.insert(0, (io, _path(root, ITEM_ORDERS), CAMPAIGN_FLAG))
+        # Hive-style partition folders by the campaign flag. Campaign rows are
+        # a few percent of every task's input, so writing them straight from
+        # each task would leave one tiny file per task; a rebalance lets AQE
+        # size those files (and split a hot partition) first.
+        io = t.item_orders()
+        io = io.drop(CAMPAIGN_FLAG) if CAMPAIGN_FLAG in io.columns else io
+        base = _path(root, ITEM_ORDERS)
+        cid = F.col("campaign_id")
+        writes[:0] = [(io.where(cid.isNotNull()).hint("rebalance"), f"{base}/{CAMPAIGN_FLAG}=true"),
+                      (io.where(cid.isNull()), f"{base}/{CAMPAIGN_FLAG}=false")]
 
     def one(job) -> None:
-        df, path, part = job
-        w = df.write.mode(mode)
-        (w.partitionBy(part) if part else w).parquet(path)
+        df, path = job
+        df.write.mode(mode).parquet(path)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         for f in [pool.submit(one, job) for job in writes]:
