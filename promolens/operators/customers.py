@@ -17,14 +17,20 @@ from pyspark.sql import functions as F
 
 from ..functions.order import asc, desc
 from ..functions.exprs import CAMPAIGN, NON_CAMPAIGN, avg_exact, dbl, median_out
+from ..plans.materialize import materialize
 from ..sources.tables import Tables
 
 
 def first_order_rows(t: Tables) -> DataFrame:
-    """Distinct (customer_id, order_date, campaign_id) on each customer's first order date."""
-    cd = t.orders.select("customer_id", "order_date", "campaign_id").distinct()
-    first = F.min("order_date").over(Window.partitionBy("customer_id"))
-    return cd.withColumn("first_order_date", first).where(F.col("order_date") == F.col("first_order_date"))
+    """Distinct (customer_id, order_date, campaign_id) on each customer's first order date.
+
+    Built once per bundle and stored (both new-buyer metrics read it).
+    """
+    def build() -> DataFrame:
+        cd = t.orders.select("customer_id", "order_date", "campaign_id").distinct()
+        first = F.min("order_date").over(Window.partitionBy("customer_id"))
+        return cd.withColumn("first_order_date", first).where(F.col("order_date") == F.col("first_order_date"))
+    return t.shared("first_order_rows", lambda: materialize(build(), "first-orders"))
 
 
 def _per_year(daily: DataFrame) -> DataFrame:

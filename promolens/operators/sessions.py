@@ -19,6 +19,7 @@ from ..functions.order import desc
 from ..functions.exprs import (CAMPAIGN, FUNNEL_STAGES, MICROS_PER_MINUTE, NON_CAMPAIGN, dbl,
                                exact_div, median_out, micros_between, pct, session_type, stage_flag)
 from ..functions.percentile import large_percentiles
+from ..plans.materialize import materialize
 from ..sources.tables import Tables
 
 STEP_RATIOS = [f"{a}_to_{b}" for (a, _), (b, _) in zip(FUNNEL_STAGES, FUNNEL_STAGES[1:])]
@@ -45,13 +46,19 @@ def session_flags(t: Tables, stages=FUNNEL_STAGES) -> DataFrame:
     """One row per (session_id, campaign_id) that has activities, with a 0/1 flag per stage.
 
     ``stages`` is a sequence of (name, lower-case URL fragment); the default
-    is the six-stage funnel of the source.
+    is the six-stage funnel of the source. The default table is built once
+    per bundle and stored: the two funnel reports and the funnel mart read
+    it, and building it scans the activities, the largest input.
     """
-    # Lower-case each URL once, then test every stage fragment on it.
-    acts = t.session_activities.select("session_id", F.lower("page_url").alias("url_lower"))
-    flags = acts.groupBy("session_id").agg(*[stage_flag(pattern).alias(name) for name, pattern in stages])
-    pairs = t.website_sessions.select("session_id", "campaign_id").distinct()
-    return pairs.join(flags, "session_id")
+    def build() -> DataFrame:
+        # Lower-case each URL once, then test every stage fragment on it.
+        acts = t.session_activities.select("session_id", F.lower("page_url").alias("url_lower"))
+        flags = acts.groupBy("session_id").agg(*[stage_flag(pattern).alias(name) for name, pattern in stages])
+        pairs = t.website_sessions.select("session_id", "campaign_id").distinct()
+        return pairs.join(flags, "session_id")
+    if tuple(stages) != tuple(FUNNEL_STAGES):
+        return build()
+    return t.shared("session_flags", lambda: materialize(build(), "session-flags"))
 
 
 def _funnel_columns(n_col: str) -> list[F.Column]:
