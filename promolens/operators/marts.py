@@ -109,12 +109,10 @@ def monthly_summary(t: Tables) -> DataFrame:
     return t.shared("monthly_summary", build)
 
 
-_monthly = monthly_summary
-
 
 def monthly_gmv_trend(t: Tables) -> DataFrame:
     """Orders, GMV and GMV per active day, per month."""
-    m = _monthly(t)
+    m = monthly_summary(t)
     return m.select("order_year", "order_month", "total_orders",
                     dbl("gmv", 0).alias("total_gmv"),
                     dbl(exact_div("gmv", "days_in_month", 2, 0), 0).alias("avg_daily_gmv")
@@ -123,7 +121,7 @@ def monthly_gmv_trend(t: Tables) -> DataFrame:
 
 def fact_monthly_gmv(t: Tables) -> DataFrame:
     """M08 plus realized GMV and the number of active days."""
-    m = _monthly(t)
+    m = monthly_summary(t)
     return m.select("order_year", "order_month", "total_orders",
                     dbl("gmv", 0).alias("total_gmv"),
                     dbl("realized", 0).alias("realized_gmv"),
