@@ -110,13 +110,34 @@ def use_schema(spark: SparkSession, database: str, create: bool = False) -> None
     spark.catalog.setCurrentDatabase(database)
 
 
-def save_raw_tables(t: Tables, database: str | None = None, mode: str = "overwrite") -> None:
-    """Store the raw tables as catalog tables (in ``database`` if given)."""
+# Bucketing keys of the catalog layout: tables joined or grouped on the same
+# key share it, so those joins and aggregates need no shuffle.
+BUCKET_KEYS = {
+    "raw_orders": "order_id",
+    "raw_order_items": "order_id",
+    "raw_website_sessions": "session_id",
+    "raw_session_activities": "session_id",
+}
+
+
+def save_raw_tables(t: Tables, database: str | None = None, mode: str = "overwrite",
+                    buckets: int | None = None) -> None:
+    """Store the raw tables as catalog tables (in ``database`` if given).
+
+    With ``buckets``, orders and order items are bucketed (and sorted) by
+    ``order_id`` and sessions and activities by ``session_id`` into the same
+    number of buckets: the item -> order join, the per-order aggregates, the
+    activity -> session aggregation and join then run without an exchange.
+    Size ``buckets`` to the data (e.g. a few thousand for 100 TB).
+    """
     spark = t.spark
     if database:
         use_schema(spark, database, create=True)
     for attr, name in _FIELDS.items():
-        getattr(t, attr).write.mode(mode).saveAsTable(name)
+        w = getattr(t, attr).write.mode(mode)
+        if buckets and name in BUCKET_KEYS:
+            w = w.bucketBy(buckets, BUCKET_KEYS[name]).sortBy(BUCKET_KEYS[name])
+        w.saveAsTable(name)
 
 
 def read_catalog(spark: SparkSession, database: str | None = None) -> Tables:

@@ -60,3 +60,20 @@ def test_campaign_scans_prune_the_partition(spark, stored):
 def test_session_order_join_spreads_null_keys(spark):
     p = plan(run(spark, SF01, "campaign_cvr_and_lift"))
     assert "pmod(hash(session_id" in p
+
+
+def test_bucketed_catalog_joins_without_exchange(spark):
+    """Items and orders bucketed by order_id: the item -> order join has no exchange."""
+    t = fixture.load(spark, SF01)
+    raw.save_raw_tables(t, "bucketed_raw", buckets=8)
+    c = raw.read_catalog(spark, "bucketed_raw")
+    spark.catalog.setCurrentDatabase("default")
+    joined = c.item_orders().groupBy("order_id").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")     # the shape at scale
+    try:
+        p = plan(joined).split("\n\n")[0]
+        n = joined.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in p and "Exchange" not in p
+    assert n == t.item_orders().select("order_id").distinct().count()
