@@ -3,7 +3,8 @@
 Three steps, each optional:
 
 * ``--load-fixture DIR``: map the driver's test tables under DIR to the raw layout
-  and store it under ``--raw`` (the load step);
+  and store it under ``--raw`` (the load step); with ``--raw-database`` and
+  ``--bucket-raw N`` also as catalog tables bucketed by order / session key;
 * ``--marts OUT``: build the eight derived tables from ``--raw`` and write them
   as Parquet under OUT (or as catalog tables with ``--database``);
 * ``--reports OUT``: run every registered report / quality query and write each
@@ -27,7 +28,10 @@ from .tuning import apply_where_unset, scale_conf
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="promolens")
-    ap.add_argument("--raw", required=True, help="folder of the raw tables (Parquet layout)")
+    ap.add_argument("--raw", help="folder of the raw tables (Parquet layout)")
+    ap.add_argument("--raw-database", help="read the raw tables from this catalog database instead")
+    ap.add_argument("--bucket-raw", type=int, metavar="N",
+                    help="after loading, also store the raw tables in --raw-database, bucketed into N")
     ap.add_argument("--load-fixture", help="driver test-table folder to map into --raw first")
     ap.add_argument("--marts", help="output folder for the derived tables")
     ap.add_argument("--database", help="write the derived tables as catalog tables in this database")
@@ -40,9 +44,14 @@ def main(argv: list[str] | None = None) -> None:
     if args.input_gb:
         cores = spark.sparkContext.defaultParallelism
         apply_where_unset(spark, scale_conf(int(args.input_gb * 1024 ** 3), cores))
+    if not (args.raw or args.raw_database):
+        ap.error("one of --raw or --raw-database is required")
     if args.load_fixture:
         fixture.write_raw_tables(spark, args.load_fixture, args.raw)
-    t = raw.read_raw(spark, args.raw)
+        if args.raw_database and args.bucket_raw:
+            raw.save_raw_tables(raw.read_raw(spark, args.raw, with_item_orders=False),
+                                args.raw_database, buckets=args.bucket_raw)
+    t = raw.read_catalog(spark, args.raw_database) if args.raw_database else raw.read_raw(spark, args.raw)
     if args.database:
         save_marts(t, args.database)
     elif args.marts:

@@ -85,3 +85,15 @@ def test_batch_job_writes_marts_and_reports(spark):
     assert got.count() == 2
     stored = spark.read.parquet(f"{root}/marts/fact_daily_baseline").collect()
     assert _rows(spark.createDataFrame(stored)) == _rows(REGISTRY["fact_daily_baseline"](fixture.load(spark, SF001)))
+
+
+def test_batch_job_bucketed_catalog(spark):
+    from promolens.plans import jobs
+    root = tempfile.mkdtemp(prefix="promolens-job-")
+    jobs.main(["--raw", f"{root}/raw", "--load-fixture", SF001, "--raw-database", "job_raw_db",
+               "--bucket-raw", "4", "--reports", f"{root}/reports", "--only", "fact_daily_baseline"])
+    spark.catalog.setCurrentDatabase("default")
+    got = spark.read.parquet(f"{root}/reports/fact_daily_baseline")
+    assert _rows(got) == _rows(REGISTRY["fact_daily_baseline"](fixture.load(spark, SF001)))
+    detail = spark.sql("DESCRIBE EXTENDED job_raw_db.raw_order_items").collect()
+    assert any(r["col_name"] == "Num Buckets" and r["data_type"] == "4" for r in detail)
