@@ -19,7 +19,7 @@ from ..operators import daily as D
 from ..operators import marts as M
 from ..operators import quality as Q
 from ..operators import sessions as S
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, session_key
 from ..sources import fixture, raw
 from ..sources.tables import Tables
 
@@ -94,7 +94,7 @@ def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     campaign-partitioned item x order fact) under the checkpoint folder;
     every query then reads the stored tables, as a production job would.
     """
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    key = (session_key(spark), id(spark), sf_dir)
     if key not in _TABLES:
         root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/promolens-raw/{uuid.uuid4().hex}"
         fixture.write_raw_tables(spark, sf_dir, root)

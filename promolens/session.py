@@ -33,16 +33,37 @@ def local_session(master: str = "local[*]", app: str = "promolens", **conf: str)
     return spark
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a scratch one only if none is set.
 
-    The cluster's ``spark.checkpoint.dir`` wins; a machine-local temporary
-    folder is used only when nothing is configured (tests, laptop runs).
+    The cluster's ``spark.checkpoint.dir`` wins (read from the session, so it
+    also works over Spark Connect); then a folder set on the SparkContext; a
+    machine-local temporary folder only when nothing is configured (tests,
+    laptop runs).
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="promolens-ckpt-"))
-    return sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    try:
+        sc = spark.sparkContext
+    except Exception:          # Spark Connect: no SparkContext on the client
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    app = session_key(spark)
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="promolens-ckpt-")
+        if sc is not None:
+            sc.setCheckpointDir(_SCRATCH[app])
+    return sc.getCheckpointDir() if sc is not None else _SCRATCH[app]
+
+
+def session_key(spark: SparkSession) -> str:
+    """An identifier of the running application (classic or Connect)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
