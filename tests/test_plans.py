@@ -77,3 +77,32 @@ def test_bucketed_catalog_joins_without_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in p and "Exchange" not in p
     assert n == t.item_orders().select("order_id").distinct().count()
+
+
+def test_bounded_broadcast_falls_back_beyond_the_bound(spark):
+    from promolens.plans.joins import bounded_broadcast
+    a, b = spark.range(100), spark.range(10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = plan(a.join(bounded_broadcast(b, max_rows=50), "id"))
+        large = plan(a.join(bounded_broadcast(b, max_rows=5), "id"))
+        known = plan(a.join(bounded_broadcast(b, max_rows=5, known_max_rows=3), "id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in small and "BroadcastHashJoin" in known
+    assert "SortMergeJoin" in large and "BroadcastHashJoin" not in large
+
+
+def test_tuning_sets_only_unset_keys(spark):
+    from promolens.plans.tuning import apply_where_unset
+    conf = {"spark.sql.shuffle.partitions": "999", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "7"}
+    before = spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionFactor", None)
+    applied = apply_where_unset(spark, conf)
+    try:
+        assert "spark.sql.shuffle.partitions" not in applied            # set by the test session
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+        if before is None:
+            assert applied == {"spark.sql.adaptive.skewJoin.skewedPartitionFactor": "7"}
+    finally:
+        for k in applied:
+            spark.conf.unset(k)
