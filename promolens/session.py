@@ -41,8 +41,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster's ``spark.checkpoint.dir`` wins (read from the session, so it
     also works over Spark Connect); then a folder set on the SparkContext; a
-    machine-local temporary folder only when nothing is configured (tests,
-    laptop runs).
+    machine-local temporary folder only for a local master with nothing
+    configured (tests, laptop runs). On a cluster without a configured
+    folder this raises rather than write where executors cannot read.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -53,6 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if sc is not None and sc.getCheckpointDir():
         return sc.getCheckpointDir()
+    master = spark.conf.get("spark.master", None) or ""
+    if master and not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder: written tables must be "
+                           "readable by every executor")
     app = session_key(spark)
     if app not in _SCRATCH:
         _SCRATCH[app] = tempfile.mkdtemp(prefix="promolens-ckpt-")
