@@ -26,9 +26,12 @@ DEFAULT_BROADCAST_ROWS = 200_000
 NULL_SPREAD = 4096
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
                       known_max_rows: int | None = None) -> DataFrame:
-    """Return ``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows."""
+    """Return ``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows
+    (default ``DEFAULT_BROADCAST_ROWS``)."""
+    if max_rows is None:
+        max_rows = DEFAULT_BROADCAST_ROWS
     if known_max_rows is not None and known_max_rows <= max_rows:
         return F.broadcast(df)
     n = df.limit(max_rows + 1).count()

@@ -51,3 +51,19 @@ def test_radix_path_matches_oracle(spark, con01, name, monkeypatch):
     monkeypatch.setattr(percentile, "MAP_MAX_KEYS", 0)
     r = compare(E.queries()[name](spark, SF01), con01, E.oracle_sql()[name])
     assert r["match"], r
+
+
+@pytest.mark.parametrize("name", ["campaign_cvr_and_lift", "category_order_value", "category_share",
+                                  "funnel_dropoff", "fact_funnel", "fk_orphans", "dim_campaign"])
+def test_sort_merge_join_paths_match_oracle(spark, con01, name, monkeypatch):
+    """The large-input plan shape (no broadcast of products, sessions or aggregates) gives the same rows."""
+    from promolens.plans import joins
+    from promolens.plans.registry import REGISTRY
+    from promolens.sources import fixture
+    monkeypatch.setattr(joins, "DEFAULT_BROADCAST_ROWS", 100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = compare(REGISTRY[name](fixture.load(spark, SF01)), con01, E.oracle_sql()[name])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert r["match"], r
