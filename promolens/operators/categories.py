@@ -1,6 +1,6 @@
 """Category metrics of campaign orders: order values, shares, item values.
 
-Item-level medians use the radix percentile (groups grow with the data);
+Item-level medians use ``large_percentiles`` (groups grow with the data);
 shares of a grand total are windows over the already aggregated
 one-row-per-category result.
 

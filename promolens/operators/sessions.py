@@ -3,7 +3,7 @@
 Funnel flags are computed on activities alone (one partial aggregate keyed
 by session) and only then joined to the (session, campaign) pairs; this is
 the same as grouping the session x activity join, without materializing it.
-Session-length percentiles use the radix percentile on microseconds: a
+Session-length percentiles use ``large_percentiles`` on microseconds: a
 session type holds about half of all sessions.
 
 Keys: M16 overall_cvr, M17 funnel_dropoff, M18 session_duration,
