@@ -59,7 +59,8 @@ def fact_campaign_performance(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS)
     """The main mart, one row per campaign, with YoY by event name.
 
     LAG runs over the rounded totals and by name only, so a type change or a
-    missing year is not seen (the previous available year is used).
+    missing year is not seen (the previous available year is used). Within a
+    name and year, campaign_id orders the rows (the source leaves it open).
     """
     base = baseline_median_gmv(t, min_daily_items)
     ca = campaign_summary(t).withColumn("disc", exact_div("disc_sum", "disc_n", 2, 0))
@@ -77,7 +78,9 @@ def fact_campaign_performance(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS)
         dbl("disc", 2).alias("avg_discount_pct"))
     j = ca.join(campaign_cvr(t), "campaign_id", "left")
     # One row per campaign: the window per event name is bounded by the years.
-    w = Window.partitionBy("campaign_name").orderBy("campaign_year")
+    # Two campaigns of one name in one year would leave the order undefined;
+    # campaign_id breaks that tie so the result is deterministic.
+    w = Window.partitionBy("campaign_name").orderBy("campaign_year", "campaign_id")
     prev_gmv = F.lag("total_gmv_d").over(w)
     prev_orders = F.lag("total_orders").over(w)
     return j.select(
