@@ -33,7 +33,8 @@ def money(rnd, hi=500_000, null_share=0.03):
     return None if rnd.random() < null_share else Decimal(rnd.randint(0, hi)) / 100
 
 
-def generate(seed: int) -> dict[str, list[dict]]:
+def generate(seed: int, campaign_share: float = 0.35, n_sessions: int = 45,
+             n_activities: int = 140) -> dict[str, list[dict]]:
     rnd = random.Random(seed)
     camps = []
     for i in range(6):
@@ -50,7 +51,7 @@ def generate(seed: int) -> dict[str, list[dict]]:
     base_days = [dt.date(2022 + rnd.randint(0, 2), rnd.randint(1, 12), rnd.randint(1, 28)) for _ in range(6)]
     orders = []
     for i in range(70):
-        if rnd.random() < 0.35:
+        if rnd.random() < campaign_share:
             c = rnd.choice(camps)
             cid = c["campaign_id"] if rnd.random() < 0.9 else "CX"
             day = c["start_date"]
@@ -68,7 +69,7 @@ def generate(seed: int) -> dict[str, list[dict]]:
                       "is_campaign": rnd.choice([0, 1]), "product_campaign_id": rnd.choice([None, None, "E1"])})
     sessions, acts = [], []
     base = dt.datetime(2023, 5, 1, 9, 0, 0)
-    for i in range(45):
+    for i in range(n_sessions):
         start = base + dt.timedelta(minutes=rnd.randint(0, 10_000))
         end = rnd.choice([None, start, start - dt.timedelta(seconds=90),
                           start + dt.timedelta(microseconds=rnd.randint(1, 4_000_000_000))])
@@ -78,7 +79,7 @@ def generate(seed: int) -> dict[str, list[dict]]:
                          "device_type": rnd.choice(["Mobile", "Desktop", None]),
                          "order_id": rnd.choice([None, None, str(rnd.randint(0, 80)), "x12", " 7"])})
     urls = ["/Home", "/product/9", "/CART", "/checkout", "/Billing", "/thank-you", "/product/cart-cover", "/other"]
-    for i in range(140):
+    for i in range(n_activities):
         acts.append({"activity_id": i, "session_id": f"S{rnd.randint(0, 50)}", "page_url": rnd.choice(urls)})
     return {"orders": orders, "items": items, "campaigns": camps, "products": products, "enrol": enrol,
             "sessions": sessions, "activities": acts}
@@ -97,13 +98,15 @@ def duck_tables(data) -> duckdb.DuckDBPyConnection:
         cols = ", ".join(f"{f.name} {duck_type(f.dataType)}" for f in schema.fields)
         con.execute(f"CREATE TABLE {name} ({cols})")
         rows = [tuple(r.get(f.name) for f in schema.fields) for r in data[key]]
-        con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(schema.fields))})", rows)
+        if rows:
+            con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(schema.fields))})", rows)
     return con
 
 
-@pytest.fixture(scope="module", params=[1, 2, 3, 4])
+@pytest.fixture(scope="module", params=[1, 2, 3, 4, "empty"])
 def fuzz(spark, request):
-    data = generate(request.param)
+    # "empty": no campaign orders, no sessions, no activities (degenerate groups).
+    data = generate(5, 0.0, 0, 0) if request.param == "empty" else generate(request.param)
     t = tables(spark, orders=data["orders"], items=data["items"], campaigns=data["campaigns"],
                products=data["products"], enrol=data["enrol"], sessions=data["sessions"],
                activities=data["activities"])
