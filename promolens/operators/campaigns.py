@@ -68,18 +68,30 @@ def campaign_year(col: str = "start_date") -> F.Column:
 
 # --- M04, N08 ---------------------------------------------------------------
 
-def attribution_audit(t: Tables) -> DataFrame:
-    """Flagged items by how far they can be traced to a campaign."""
-    io = t.item_orders()
+ATTRIBUTION_COLS = ("fully_attributed", "partial", "unattributable", "total_flagged")
+
+
+def attribution_counts() -> list[F.Column]:
+    """Flagged items by how far they trace to a campaign (aggregate columns)."""
     flag = F.col("is_campaign") == 1
     camp = F.col("campaign_id").isNotNull()
     enrolled = F.col("product_campaign_id").isNotNull()
-    return io.agg(
-        F.count(F.when(flag & camp & enrolled, 1)).alias("fully_attributed"),
-        F.count(F.when(flag & camp & ~enrolled, 1)).alias("partial"),
-        F.count(F.when(flag & ~camp, 1)).alias("unattributable"),
-        F.count(F.when(flag, 1)).alias("total_flagged"),
-    )
+    return [F.count(F.when(flag & camp & enrolled, 1)).alias("fully_attributed"),
+            F.count(F.when(flag & camp & ~enrolled, 1)).alias("partial"),
+            F.count(F.when(flag & ~camp, 1)).alias("unattributable"),
+            F.count(F.when(flag, 1)).alias("total_flagged")]
+
+
+def attribution_audit(t: Tables) -> DataFrame:
+    """Flagged items by how far they can be traced to a campaign.
+
+    The counts are additive, so they are summed from the shared monthly
+    summary (one scan of the item fact for several metrics).
+    """
+    from .marts import monthly_summary
+
+    m = monthly_summary(t)
+    return m.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ATTRIBUTION_COLS])
 
 
 def attribution_share(t: Tables) -> DataFrame:

@@ -17,7 +17,8 @@ from ..functions.exprs import (MIN_DAILY_ITEMS, avg_exact, completed_amount, dbl
                                inclusive_days, pct)
 from ..sources.tables import Tables
 from ..plans.materialize import materialize
-from .campaigns import CAMPAIGN_COLS, campaign_cvr, campaign_summary, campaign_year, revenue_expr
+from .campaigns import (CAMPAIGN_COLS, attribution_counts, campaign_cvr, campaign_summary, campaign_year,
+                        revenue_expr)
 from .categories import fact_category_performance
 from .customers import fact_new_buyers
 from .daily import baseline_median_gmv, fact_daily_baseline
@@ -93,11 +94,12 @@ def fact_campaign_performance(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS)
 
 
 def monthly_summary(t: Tables) -> DataFrame:
-    """One row per calendar month of all orders: orders, active days, GMV, realized, revenue.
+    """One row per calendar month of all orders: orders, active days, GMV, realized, revenue,
+    and the item counts of the attribution audit.
 
     A full scan of the item fact, so it is built once per table bundle and
-    stored; the monthly trend, the monthly mart and the yearly platform
-    revenue (an additive rollup of the months) read it.
+    stored; the monthly trend, the monthly mart, the yearly platform revenue
+    and the attribution audit (additive rollups of the months) read it.
     """
     def build() -> DataFrame:
         io = t.item_orders()
@@ -107,7 +109,8 @@ def monthly_summary(t: Tables) -> DataFrame:
             F.sum("line_total").alias("gmv"),
             F.sum(completed_amount()).alias("realized"),
             F.sum(revenue_expr()).alias("rev"),
-            F.count_distinct("order_date").alias("days_in_month"))
+            F.count_distinct("order_date").alias("days_in_month"),
+            *attribution_counts())
         return materialize(g, "monthly-summary")
     return t.shared("monthly_summary", build)
 
