@@ -1,7 +1,8 @@
 """Cut lineage by writing a table under the session's checkpoint folder.
 
 Iterative jobs (the radix percentile) reuse the result of one step in the
-next; left lazy, every step would re-plan (and re-run) all earlier ones.
+next, and several metrics share one expensive scan (the daily series, the
+campaign summary, ...); left lazy, every use would re-plan and re-run it.
 ``materialize`` writes the frame as Parquet under ``spark.checkpoint.dir``
 (a shared folder on a cluster, so the result survives executor loss) and
 reads it back: one job, a shallow plan, and file statistics the planner can

@@ -72,7 +72,6 @@ def campaigns_from_orders(orders: DataFrame) -> DataFrame:
         F.date_add(start, F.col("len") - 1).alias("end_date"),
         F.element_at(types, F.pmod(F.col("y") + F.col("e"), F.lit(4)) + 1).alias("campaign_type"),
         ((F.col("y") - F.col("y0")) * len(EVENTS) + F.col("e") - 1).cast("long").alias("campaign_idx"),
-        ((F.col("y1") - F.col("y0") + 1) * len(EVENTS)).cast("long").alias("n_campaigns"),
     )
 
 
