@@ -151,3 +151,20 @@ def test_random_rows_stored_layout_match_oracle(fuzz_stored, name):
     t, con = fuzz_stored
     r = compare(REGISTRY[name](t), con, Q[name])
     assert r["match"], r
+
+
+@pytest.mark.parametrize("name", list(REGISTRY))
+def test_random_rows_sort_merge_joins_match_oracle(spark, name, monkeypatch):
+    """Random rows with every unbounded join as a sort-merge join (NULL keys travel through shuffles)."""
+    from promolens.plans import joins
+    monkeypatch.setattr(joins, "DEFAULT_BROADCAST_ROWS", 3)
+    data = generate(7)
+    t = tables(spark, orders=data["orders"], items=data["items"], campaigns=data["campaigns"],
+               products=data["products"], enrol=data["enrol"], sessions=data["sessions"],
+               activities=data["activities"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        r = compare(REGISTRY[name](t), duck_tables(data), Q[name])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert r["match"], r
