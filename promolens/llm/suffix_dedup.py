@@ -40,7 +40,9 @@ from .common import drop_stored, pack, store, text_bytes, unpack
 
 K = 20
 #: Bytes of text for which one hash range, and one group of documents, is made.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
+#: Bytes of text whose anchors a task holds at a time (or one document's).
+UNIT_BYTES = 4 << 20
 #: Windows handled at a time when anchors are computed.
 BLOCK = 1 << 17
 #: A piece with more contexts than this sends its windows one by one (an exact split of hot keys).
@@ -126,9 +128,19 @@ def _span_batch(rows: list[tuple[int, int, int, bytes]]) -> dict:
             "n": pa.array(n, pa.int64()), "body": pa.array(body, pa.binary())}
 
 
+def _units(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about ``UNIT_BYTES`` of text together."""
+    _, off = _texts(batch.column(1))
+    first = 0
+    while first < len(batch):
+        last = max(first + 1, int(np.searchsorted(off, off[first] + UNIT_BYTES, "right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _map_anchors(window: int, ranges: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (u for b in batches for u in _units(b)):
             buf, off = _texts(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             tags = np.fromiter((zlib.crc32(buf[s:e]) for s, e in zip(off[:-1], off[1:], strict=True)), np.int64, len(ids))
