@@ -15,6 +15,17 @@ from ..session import ensure_checkpoint_dir
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of one Arrow batch between the JVM and Python; Spark's own default is for narrow rows, not documents.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS``, unless it was set to something else than the default."""
+    if int(spark.conf.get(_BATCH)) == 10_000:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` below the session's shared checkpoint folder and read it back (cuts the lineage)."""
     spark = df.sparkSession

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TRAIN_PAGES = 400
 EPOCHS = 6
 RATE = 0.5
@@ -185,6 +187,8 @@ def learn(pages: DataFrame, most: int = TRAIN_PAGES) -> dict[str, float]:
 
 def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     """page_id, url, text for every row of ``pages``."""
+    small_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([extract(x.as_py(), weights) for x in b.column(2)], pa.string())], names=["page_id", "url", "text"])

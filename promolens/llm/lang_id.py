@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, slices
+from .common import few, slices, small_batches
 from .pieces import MODEL, SPACE, load_pieces
 
 TRAIN_DOCS = 600
@@ -180,6 +180,7 @@ class Scorer:
 
 def predict(docs: DataFrame, langs: list[str], pieces: list[str], probs: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     bound = docs.sparkSession.sparkContext.broadcast((pieces, probs)) if langs else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few
+from .common import few, small_batches
 from .pieces import MODEL, SPACE, load_pieces
 
 UNKNOWN = 0
@@ -183,6 +183,7 @@ def _codec(plain, byte, key: str) -> Codec:
 
 def encode(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>), round_trip: whether decoding gave the text back."""
+    small_batches(docs.sparkSession)
     plain, byte = load_pieces(model)
     sent = docs.sparkSession.sparkContext.broadcast((plain, byte))
 
@@ -203,6 +204,7 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFrame
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, text from doc_id, ids."""
+    small_batches(tokens.sparkSession)
     plain, byte = load_pieces(model)
     sent = tokens.sparkSession.sparkContext.broadcast((plain, byte))
 

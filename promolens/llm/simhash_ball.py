@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
 from .components import connected
 
 SHINGLE = 3
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
         for b in batches:
             fp = np.array([fingerprint(x.as_py(), words) for x in b.column(2)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["doc_id", "text_hash", "fp"])
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
             .mapInArrow(run, "doc_id long, text_hash long, fp long"))

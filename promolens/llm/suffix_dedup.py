@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import RangeHash, kmer_hashes, sliding_leftmost_min
-from .common import drop_stored, pack, store, text_bytes, unpack
+from .common import drop_stored, pack, small_batches, store, text_bytes, unpack
 
 K = 20
 #: Bytes of text for which one hash range, and one group of documents, is made.
@@ -347,6 +347,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, g
 
     ``window`` is at least ``K``. The last four set how the work is dealt out, not what results.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = text_bytes(docs) // group_bytes + 1
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window))

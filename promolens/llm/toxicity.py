@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import RangeHash, mix
-from .common import slices
+from .common import slices, small_batches
 from .suffix_dedup import _texts
 
 BITS = 20
@@ -101,6 +101,7 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: i
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = TRAIN_DOCS, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Weights and bias from the labelled rows (doc_id, toxic) that are ``usable``."""
+    small_batches(docs.sparkSession)
     known = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")             # at most ``most`` rows
@@ -132,6 +133,7 @@ def _score_texts(text: pa.Array, dense: np.ndarray, bias: float, ranges: RangeHa
 
 
 def _scorer(docs: DataFrame, weights: np.ndarray, bias: float, bits: int):
+    small_batches(docs.sparkSession)
     used = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((used.astype(np.int32), weights[used].astype(np.float32), bias))
 
