@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import RangeHash, kmer_hashes, sliding_leftmost_min
+from .bytehash import RangeHash, kmer_hashes, mix, sliding_leftmost_min
 from .common import drop_stored, pack, small_batches, store, text_bytes, unpack
 
 K = 20
@@ -87,7 +87,8 @@ def anchors(buf: np.ndarray, off: np.ndarray, window: int, block: int = BLOCK) -
         n = np.diff(np.append(start, len(pos)))
         start, n = start[ok[start]], n[ok[start]]
         ranges.load(b)
-        parts.append((h[pos[start]], ranges.get(start, start + n - 1 + window), start + s, n))
+        # Smallest hashes are small: mixed again, they spread evenly over the hash ranges.
+        parts.append((mix(h[pos[start]] ^ np.uint64(0xA5A5A5A5A5A5A5A5)), ranges.get(start, start + n - 1 + window), start + s, n))
     if not parts:
         return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
