@@ -59,6 +59,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """One column ``row`` with all of a frame's columns, so that no name clashes with those an operator adds."""
+    return df.select(F.struct("*").alias("row"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,6 +31,8 @@ from .common import small_batches
 TRAIN_PAGES = 400
 EPOCHS = 6
 RATE = 0.5
+#: By how much the marked stretch has to win, per tag and word.
+MARGIN = 0.5
 #: Where weights start: a word, and a tag that was never seen.
 WORD, TAG = 1.0, -1.0
 
@@ -118,10 +120,11 @@ def best_stretch(scores: np.ndarray) -> tuple[int, int]:
     return span
 
 
-def score(toks, weights: dict[str, float]) -> np.ndarray:
+def score(toks, out: np.ndarray, weights: dict[str, float]) -> np.ndarray:
+    """The score of each token; what is never content (``out``) neither adds nor takes."""
     word = weights.get("", WORD)
     sizes = _sizes(toks)
-    return np.array([sizes[i] * word if f == "" else 0.0 if f is None else weights.get(f, TAG) for i, f in enumerate(_names(toks))])
+    return np.array([0.0 if f is None or out[i] else sizes[i] * word if f == "" else weights.get(f, TAG) for i, f in enumerate(_names(toks))])
 
 
 def train(pages: list[str], epochs: int = EPOCHS) -> dict[str, float]:
@@ -132,17 +135,21 @@ def train(pages: list[str], epochs: int = EPOCHS) -> dict[str, float]:
         opens = [i for i, (k, v, _) in enumerate(toks) if (k, v) == ("open", "article")]
         closes = [i for i, (k, v, _) in enumerate(toks) if (k, v) == ("close", "article")]
         if len(opens) == len(closes) == 1 and opens[0] < closes[0]:
-            known.append((toks, opens[0] + 1, closes[0]))
+            known.append((toks, skipped(toks), opens[0] + 1, closes[0]))
     w: dict[str, float] = {"": WORD}
     for _ in range(epochs):
         wrong = 0
-        for toks, a, b in known:
-            s, e = best_stretch(score(toks, w))
+        for toks, out, a, b in known:
+            # With a margin: tags inside cost more and words outside earn more than they will.
+            inside = np.zeros(len(toks), bool)
+            inside[a:b] = True
+            words = np.where(out, 0, _sizes(toks))
+            s, e = best_stretch(score(toks, out, w) - MARGIN * (inside & (words == 0) & ~out) + MARGIN * np.where(inside, 0, words))
             names, sizes = _names(toks), _sizes(toks)
             change: dict[str, float] = {}
             for i in range(min(a, s), max(b, e)):
                 sign = (a <= i < b) - (s <= i < e)
-                if sign and names[i] is not None:
+                if sign and names[i] is not None and not out[i]:
                     change[names[i]] = change.get(names[i], 0.0) + sign * (float(sizes[i]) if names[i] == "" else 1.0)
             # Blank text and tags at the edges make no difference to the words found.
             if change.get("", 0.0) == 0.0:
@@ -160,7 +167,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of one page."""
     toks = tokens(page or "")
     out = skipped(toks)
-    first, last = best_stretch(np.where(out, np.minimum(score(toks, weights), 0.0), score(toks, weights)))
+    first, last = best_stretch(score(toks, out, weights))
     blocks, now = [], []
     for i in range(first, last):
         kind, value, _ = toks[i]

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, store
+from .common import boxed, partitions, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating.
@@ -91,12 +91,13 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Rows equal in doc_id, source and text (by hash) share the copies of their group in turn.
     """
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    taken = mix(keyed, keys=("_h",), **how).groupBy("doc_id", "source", "_h").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_c"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "_h").orderBy(F.lit(0)))
-    taken = taken.toDF("_d", "_s", "_h2", "_c")
-    both = keyed.withColumn("_i", nth).join(
-        taken, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("_h").eqNullSafe(F.col("_h2")))
-    times = F.element_at("_c", F.col("_i")).cast("int")
-    return (both.withColumn("_times", times).where("_times > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns))
+    keyed = boxed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").alias("source"),
+                               F.col("row.text").alias("text"), F.xxhash64("row.text").alias("h"))
+    taken = mix(keyed, keys=("h",), **how).groupBy("doc_id", "source", "h").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_c"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy(F.lit(0)))
+    taken = taken.toDF("_d", "_s", "_h", "_c")
+    both = keyed.drop("text").withColumn("i", nth).join(
+        taken, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("h").eqNullSafe(F.col("_h")))
+    times = F.element_at("_c", F.col("i")).cast("int")
+    return (both.withColumn("times", times).where("times > 0")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*"))

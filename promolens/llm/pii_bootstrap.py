@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import boxed, store
 
 KINDS = ("email", "ip", "card", "phone")
 #: \\G: a match may begin where the last one ended, or where its first run of characters begins.
@@ -171,12 +171,14 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with all spans masked in ``text``, and ``n_chars`` (if there) counted anew; a null text stays null."""
-    spans = find(docs).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.concat("base", "found").alias("_spans"))
-    some = spans.where(F.size("_spans") > 0).dropDuplicates(["_d", "_h"])
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    out = keyed.join(some, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")), "left")
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans")))
-    out = out.withColumn("text", new)
+    spans = find(docs).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.concat("base", "found").alias("spans"))
+    some = spans.where(F.size("spans") > 0).dropDuplicates(["_d", "_h"])
+    keyed = boxed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("text_hash"))
+    out = keyed.join(some, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left")
+    text, none = F.col("row.text"), F.col("spans").isNull()
+    new = F.when(none, text).otherwise(masked(text, F.col("spans")))
+    row = F.col("row").withField("text", new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        row = row.withField("n_chars", F.when(none, F.col("row.n_chars")).otherwise(F.length(new).cast(kind)))
+    return out.select(row.alias("row")).select("row.*")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import boxed, small_batches, store
 from .components import connected
 
 SHINGLE = 3
@@ -135,14 +135,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, distinct: int | None = None)
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, text_hash, fp (signed long), component_id: the least doc_id reachable by links."""
+    """doc_id, text_hash, fp (signed long), component (its least fp), component_id: the least doc_id reachable by links."""
     own = store(fingerprints(docs, words), "fingerprints")
     nodes = store(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = connected(links(nodes.select("fp"), max_bits, nodes.count())).withColumnRenamed("node", "fp")
     named = store(nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    classes = named.join(least, "component").select("fp", "component", "component_id")
+    return own.join(classes, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -152,9 +152,9 @@ def deduplicate(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS)
     doc_id keeps one row for each of its texts.
     """
     named = near_duplicates(docs, words, max_bits)
-    leaders = (named.where("doc_id <=> component_id").groupBy("doc_id", "component_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")))
+    leaders = (named.where("doc_id <=> component_id").groupBy("doc_id", "component", F.when(F.col("doc_id").isNull(), F.col("text_hash")))
                .agg(F.min("text_hash").alias("_h")).select(F.col("doc_id").alias("_d"), "_h").distinct())
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(leaders, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0)))
-    return kept.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    keyed = boxed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("text_hash"))
+    kept = keyed.join(leaders, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))
+    return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
