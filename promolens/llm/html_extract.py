@@ -32,7 +32,7 @@ TRAIN_PAGES = 400
 EPOCHS = 6
 RATE = 0.5
 #: By how much the marked stretch has to win, per tag and word.
-MARGIN = 0.5
+MARGIN = 3.0
 #: Where weights start: a word, and a tag that was never seen.
 WORD, TAG = 1.0, -1.0
 
