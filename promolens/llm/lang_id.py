@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ PART = 32
 #: Probability mass that is spread evenly, so that an unseen piece is unlikely, not impossible.
 FLOOR = 1e-3
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 500_000
 
 
 def words_of(text: str) -> list[str]:
@@ -66,9 +67,10 @@ class Lattice:
     def arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """(word, start, end, piece) sorted by end; a letter that is no piece is piece n."""
         joined = "\n".join([SPACE + w for w in words])
-        got = np.array([(e, v) for e, v in self.automaton.iter(joined)], np.int64).reshape(-1, 2)
+        got = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
         begin = np.cumsum([0] + [len(w) + 2 for w in words])
-        odd = np.array([i for i, c in enumerate(joined) if c != "\n" and c not in self.single], np.int64)
+        rare = set(joined).difference(self.single, "\n")
+        odd = np.array([m.start() for m in re.finditer("[" + re.escape("".join(sorted(rare))) + "]", joined)] if rare else [], np.int64)
         end = np.concatenate([got[:, 0], odd]) + 1
         piece = np.concatenate([got[:, 1] >> 6, np.full(len(odd), self.n)])
         size = np.concatenate([got[:, 1] & 63, np.ones(len(odd), np.int64)])
@@ -79,16 +81,24 @@ class Lattice:
 
 
 def forward(arcs: tuple[np.ndarray, ...], n_words: int, p: np.ndarray) -> np.ndarray:
-    """alpha[position, word]: probability of the word's first ``position`` letters over all segmentations."""
+    """alpha[position, word]: probability of the word's first ``position`` letters over all segmentations.
+
+    With ``p`` [language, piece]: alpha[position, word, language].
+    """
     word, start, end, piece = arcs
-    alpha = np.zeros((int(end.max(initial=0)) + 1, n_words))
+    many = np.atleast_2d(p)
+    n = len(many)
+    alpha = np.zeros((int(end.max(initial=0)) + 1, n_words, n))
     alpha[0] = 1.0
     cut = np.searchsorted(end, np.arange(len(alpha) + 1))
-    weight = p[piece]
+    by_piece = np.ascontiguousarray(many.T)
+    flat, before = alpha.reshape(-1, n), start * n_words + word
+    lang = np.arange(n)
     for t in range(1, len(alpha)):
         s = slice(cut[t], cut[t + 1])
-        alpha[t] = np.bincount(word[s], alpha[start[s], word[s]] * weight[s], minlength=n_words)
-    return alpha
+        terms = flat[before[s]] * by_piece[piece[s]]
+        alpha[t] = np.bincount((word[s, None] * n + lang).ravel(), terms.ravel(), minlength=n_words * n).reshape(n_words, n)
+    return alpha if p.ndim > 1 else alpha[:, :, 0]
 
 
 def fit(words: list[str], counts: np.ndarray, lattice: Lattice, rounds: int = ROUNDS) -> np.ndarray:
@@ -158,7 +168,7 @@ class Scorer:
     def add(self, words: list[str]) -> None:
         arcs = self.lattice.arcs(words)
         at = np.array([len(w) + 1 for w in words]), np.arange(len(words))
-        new = np.stack([np.log(np.maximum(forward(arcs, len(words), p)[at], 1e-300)) for p in self.probs], 1)
+        new = np.log(np.maximum(forward(arcs, len(words), self.probs)[at], 1e-300))
         for w in words:
             self.index[w] = len(self.index)
         self.table = np.concatenate([self.table, new])

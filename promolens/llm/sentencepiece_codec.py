@@ -32,7 +32,7 @@ from .pieces import MODEL, SPACE, load_pieces
 UNKNOWN = 0
 #: Stands for a word mark of the text itself while its spaces are marks (a noncharacter, so in no piece).
 _OWN_MARK = "￿"
-_CACHE = 200_000
+_CACHE = 400_000
 
 
 class Codec:
