@@ -61,8 +61,14 @@ def exact_div(num, den, num_scale: int = 0, den_scale: int = 0, mult: int = 1) -
 
 
 def pct(num, den, n: int, num_scale: int = 0, den_scale: int = 0) -> Column:
-    """ROUND(num / NULLIF(den, 0) * 100, n) computed exactly, as a double."""
-    return dbl(exact_div(num, den, num_scale, den_scale, mult=100), n)
+    """ROUND(num / NULLIF(den, 0) * 100, n), rounded half away from zero once, in integers; a double."""
+    whole = "decimal(38,0)"
+    a = (col(num).cast(f"decimal(26,{num_scale})") * F.lit(10 ** num_scale)).cast(whole)
+    b = (col(den).cast(f"decimal(22,{den_scale})") * F.lit(10 ** den_scale)).cast(whole)
+    top = (F.abs(a) * F.lit(100 * 10 ** (n + max(0, den_scale - num_scale)))).cast(whole)
+    base = F.nullif((F.abs(b) * F.lit(10 ** max(0, num_scale - den_scale))).cast(whole), F.lit(0).cast(whole))
+    units = F.call_function("div", (top * 2 + base).cast(whole), (base * 2).cast(whole)).cast("double")
+    return F.when((a < 0) != (b < 0), -units).otherwise(units) / F.lit(float(10 ** n)) + F.lit(0.0)
 
 
 def avg_exact(c, scale: int) -> Column:

@@ -17,16 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DOCUMENTED_STATUSES, pct
-from ..sources.schemas import NOT_NULL_COLUMNS, PRIMARY_KEYS
+from ..sources.schemas import NOT_NULL_COLUMNS, PRIMARY_KEYS, RAW_SCHEMAS
+from ..sources.raw import midnight_date
 from ..sources.tables import Tables
 
-# Nullable columns whose NULL share is profiled (Q04).
-NULLABLE_PROFILE = {
-    "raw_orders": ("campaign_id",),
-    "raw_order_items": ("item_status", "product_campaign_id"),
-    "raw_products": ("category",),
-    "raw_website_sessions": ("session_end_time", "utm_source", "campaign_id", "device_type", "order_id"),
-}
+# Nullable columns, whose NULL share is profiled (Q04): all that the schemas declare.
+NULLABLE_PROFILE = {name: tuple(f.name for f in schema.fields if f.nullable)
+                    for name, schema in RAW_SCHEMAS.items()
+                    if any(f.nullable for f in schema.fields)}
 # Columns whose value shares are profiled (Q06); product_name is a label with
 # few distinct values per many rows, not a key.
 CATEGORICAL_PROFILE = {
@@ -90,7 +88,7 @@ def not_null_violations(t: Tables) -> DataFrame:
 
 
 def null_profile(t: Tables) -> DataFrame:
-    """Q04: NULL share of the meaningful nullable columns, in percent."""
+    """Q04: NULL share of every nullable column, in percent."""
     d = t.as_dict()
     x = _stack([_null_counts(d[name], name, cols) for name, cols in NULLABLE_PROFILE.items()])
     return x.select("table_name", "column_name", pct("n_null", "_n", 2).alias("null_pct"))
@@ -129,7 +127,7 @@ def name_type_drift(t: Tables) -> DataFrame:
 def load_clean(raw_orders_text: DataFrame) -> DataFrame:
     """Q08 core: parse 'yyyy-MM-dd 00:00:00' text to DATE and drop the redundant columns."""
     return (raw_orders_text
-            .withColumn("order_date", F.to_date(F.substring("order_date", 1, 10), "yyyy-MM-dd"))
+            .withColumn("order_date", midnight_date(F.col("order_date")))
             .drop("order_day", "year_month"))
 
 

@@ -15,12 +15,10 @@ import math
 from pyspark.sql import SparkSession
 
 PARTITION_BYTES = 256 * 1024 ** 2
-MAX_SHUFFLE_PARTITIONS = 500_000
 
 
 def scale_conf(input_bytes: int, total_cores: int) -> dict[str, str]:
     parts = max(2 * total_cores, math.ceil(input_bytes / PARTITION_BYTES))
-    parts = min(parts, MAX_SHUFFLE_PARTITIONS)
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

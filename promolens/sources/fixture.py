@@ -236,16 +236,16 @@ def load(spark: SparkSession, sf_dir: str, persist: bool = False) -> Tables:
     sessions = map_sessions(d["events"], campaigns_full)
     activities = map_activities(d["events"])
     item_orders = (items.where(F.col("_has_order"))
-                        .select(*S.conform_columns(items, S.ORDER_ITEMS),
+                        .select(*S.conform_columns(items, S.ORDER_ITEMS, fill=True),
                                 "order_date", "customer_id", "campaign_id"))
     t = Tables(
-        orders=S.conform(orders, S.ORDERS),
-        order_items=S.conform(items, S.ORDER_ITEMS),
-        campaigns=S.conform(campaigns_full, S.CAMPAIGNS),
-        products=S.conform(products, S.PRODUCTS),
-        product_campaign=S.conform(pc, S.PRODUCT_CAMPAIGN),
-        website_sessions=S.conform(sessions, S.WEBSITE_SESSIONS),
-        session_activities=S.conform(activities, S.SESSION_ACTIVITIES),
+        orders=S.conform(orders, S.ORDERS, fill=True),
+        order_items=S.conform(items, S.ORDER_ITEMS, fill=True),
+        campaigns=S.conform(campaigns_full, S.CAMPAIGNS, fill=True),
+        products=S.conform(products, S.PRODUCTS, fill=True),
+        product_campaign=S.conform(pc, S.PRODUCT_CAMPAIGN, fill=True),
+        website_sessions=S.conform(sessions, S.WEBSITE_SESSIONS, fill=True),
+        session_activities=S.conform(activities, S.SESSION_ACTIVITIES, fill=True),
         item_orders_df=item_orders,
         campaign_rows_bound=CAMPAIGN_ROWS_BOUND,
     )

@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,16 +81,23 @@ def read_raw(spark: SparkSession, root: str, with_item_orders: bool = True) -> T
                               + [T.StructField(CAMPAIGN_FLAG, T.BooleanType(), True)])
         try:
             item_orders = spark.read.schema(schema).parquet(_path(root, ITEM_ORDERS))
-        except Exception:  # folder absent: metrics build the join themselves
+        except AnalysisException as e:  # folder absent: metrics build the join themselves
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             item_orders = None
     return Tables(**frames, item_orders_df=item_orders)
 
 
+def midnight_date(c: Column) -> Column:
+    """'yyyy-MM-dd' or 'yyyy-MM-dd 00:00:00' text as a DATE; any other text stops the load."""
+    return F.to_date(F.regexp_replace(c.cast("string"), "^([0-9]{4}-[0-9]{2}-[0-9]{2}) 00:00:00$", "$1"), "yyyy-MM-dd")
+
+
 def clean_export(df: DataFrame, date_columns: tuple[str, ...]) -> DataFrame:
     """Parse 'yyyy-MM-dd[ 00:00:00]' text columns to DATE and drop redundant columns."""
     for c in date_columns:
         if c in df.columns:
-            df = df.withColumn(c, F.to_date(F.substring(F.col(c).cast("string"), 1, 10), "yyyy-MM-dd"))
+            df = df.withColumn(c, midnight_date(F.col(c)))
     return df.drop(*[c for c in EXPORT_DROPPED_COLUMNS if c in df.columns])
 
 

@@ -33,7 +33,7 @@ ORDERS = T.StructType([
     _f("commission_total", MONEY_12),
     _f("maintenance_total", MONEY_12),
     _f("total_amount", MONEY_14),
-    _f("campaign_id", T.StringType()),          # NULL = non-campaign order
+    _f("campaign_id", T.StringType()),          # no value: an order outside campaigns
 ])
 
 CAMPAIGNS = T.StructType([
@@ -58,8 +58,8 @@ ORDER_ITEMS = T.StructType([
     _f("shipping_fee_item", MONEY_10),
     _f("estimated_delivery_start", T.DateType()),
     _f("estimated_delivery_end", T.DateType()),
-    _f("item_status", T.StringType()),          # Completed | Cancelled | Refunded
-    _f("is_campaign", T.ShortType()),           # unreliable alone
+    _f("item_status", T.StringType()),          # one of the three documented statuses
+    _f("is_campaign", T.ShortType()),           # not to be relied on by itself
     _f("product_campaign_id", T.StringType()),  # NULL = not enrolled
 ])
 
@@ -132,10 +132,17 @@ NOT_NULL_COLUMNS: dict[str, tuple[str, ...]] = {
 }
 
 
-def conform_columns(df, schema: T.StructType) -> list:
-    """Columns of ``df`` cast to ``schema``; missing ones become typed NULLs."""
+def conform_columns(df, schema: T.StructType, fill: bool = False) -> list:
+    """Columns of ``df`` cast to ``schema``.
+
+    A missing column is an error; with ``fill`` (only for the mapping of the
+    test tables, which lack some) it becomes typed NULLs.
+    """
     from pyspark.sql import functions as F
 
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing and not fill:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
     cols = []
     for field in schema.fields:
         if field.name in df.columns:
@@ -145,6 +152,6 @@ def conform_columns(df, schema: T.StructType) -> list:
     return cols
 
 
-def conform(df, schema: T.StructType):
+def conform(df, schema: T.StructType, fill: bool = False):
     """Select and cast ``df`` to ``schema``."""
-    return df.select(*conform_columns(df, schema))
+    return df.select(*conform_columns(df, schema, fill))

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as E
+from promolens.plans import oracle, registry
 from conftest import SF001, SF01
 from oracle_harness import compare, duck
 
-NAMES = list(E.queries())
+NAMES = sorted(registry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +21,7 @@ def con001():
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(NAMES) == set(oracle.oracle_sql()) <= set(E.queries())
     assert len(NAMES) == 50
 
 

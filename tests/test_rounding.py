@@ -34,6 +34,13 @@ def cases():
             out.append((a, b, n))
             out.append((-a, b, n))
         out.append((5, 0, n))
+    # Just below, on and above a tie, for denominators far beyond twelve digits of the quotient.
+    for n in (0, 1, 2):
+        for e in range(10, 16):
+            b = 2 * 10 ** (n + 2) * 10 ** (e - n - 2)
+            tie = b // (2 * 10 ** (n + 2)) * 3
+            out += [(tie + d, b, n) for d in (-1, 0, 1)] + [(-tie + d, b, n) for d in (-1, 0, 1)]
+    out += [(1000000, 20000000001, 2), (500000000, 1000000000001, 1)]
     return out
 
 
