@@ -5,7 +5,7 @@ Layout:
   functions/  exact rounding, ratios, percentiles, shared expressions
   operators/  the metric, mart and data-quality builders
   plans/      query registry, DuckDB oracle SQL, join helpers
-  streaming/  (no streaming exists in the source project)
+  llm/        operators for training-data pipelines (optional; nothing else imports it)
 """
 
 __version__ = "0.1.0"

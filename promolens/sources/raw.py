@@ -90,7 +90,9 @@ def read_raw(spark: SparkSession, root: str, with_item_orders: bool = True) -> T
 
 def midnight_date(c: Column) -> Column:
     """'yyyy-MM-dd' or 'yyyy-MM-dd 00:00:00' text as a DATE; any other text stops the load."""
-    return F.to_date(F.regexp_replace(c.cast("string"), "^([0-9]{4}-[0-9]{2}-[0-9]{2}) 00:00:00$", "$1"), "yyyy-MM-dd")
+    text = c.cast("string")
+    day = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}( 00:00:00)?$"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
+    return F.when(text.isNotNull(), F.coalesce(day, F.raise_error(F.concat(F.lit("not a date: "), text)).cast("date")))
 
 
 def clean_export(df: DataFrame, date_columns: tuple[str, ...]) -> DataFrame:
