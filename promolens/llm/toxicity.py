@@ -29,8 +29,8 @@ from .suffix_dedup import _texts
 
 BITS = 20
 TRAIN_DOCS = 8000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 1e-4
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 1e-4
 PREFIXES = (4, 5)
 _SLICE = 1 << 20
 
