@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.order import asc, desc
 from ..functions.exprs import (MIN_DAILY_ITEMS, avg_exact, completed_amount, dbl, exact_div,
                                inclusive_days, leaked_in_amount, median_out, pct)
-from ..plans.joins import join_null_safe, spread_null_keys
+from ..plans.joins import join_null_safe
 from ..plans.materialize import materialize
 from ..sources.tables import Tables
 from .daily import baseline_median_gmv, daily_non_campaign
@@ -169,11 +169,13 @@ def below_baseline_campaigns(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS)
 
 # --- M07 ----------------------------------------------------------------------
 
-def order_totals(t: Tables) -> DataFrame:
-    """GMV and platform revenue per existing order (items pre-aggregated)."""
-    return t.item_orders().groupBy("order_id").agg(
-        F.sum("line_total").alias("order_gmv"),
-        F.sum(revenue_expr()).alias("order_revenue"))
+def _sessions_and_conversions(s: DataFrame, *keys: str) -> DataFrame:
+    """``total_sessions`` and ``conv`` per key, from one row per session first (no Expand)."""
+    per_session = s.groupBy(*keys, "session_id").agg(
+        F.max(F.col("order_id").isNotNull()).alias("_bought"))
+    return per_session.groupBy(*keys).agg(
+        F.count("session_id").alias("total_sessions"),
+        F.count(F.when(F.col("_bought"), F.col("session_id"))).alias("conv"))
 
 
 def campaign_cvr_and_lift(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) -> DataFrame:
@@ -181,28 +183,30 @@ def campaign_cvr_and_lift(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) ->
 
     Sessions decide the campaign; the orders they reached bring their items,
     so an order reached by two sessions counts twice (as in the source).
-    Items are summed per order before the join, which gives the same sums.
-    The text order key is cast leniently (``try_cast``); non-numeric text
-    converts to NULL instead of failing.
+    Sessions are first counted per (campaign, order key) and the items joined
+    to those counts as weights: sessions without an order never enter a join,
+    and only items of reached orders pass it (Spark's runtime filter drops the
+    others before the exchange when that pays). The text order key is cast
+    leniently (``try_cast``); non-numeric text converts to NULL instead of
+    failing and is reported by ``fk_orphans``.
     """
     base = baseline_median_gmv(t, min_daily_items)
     c = t.campaigns_small().select(*CAMPAIGN_COLS)
-    okey = F.col("order_id").try_cast("long")
+    run = ["campaign_name", "campaign_type", "start_date", "end_date"]
     s = (t.website_sessions.where(F.col("campaign_id").isNotNull())
-           .select("session_id", "campaign_id", "order_id", okey.alias("_okey"))
-           .join(c, "campaign_id")
-           .withColumn("_jkey", spread_null_keys(F.col("_okey"), F.col("session_id"))))
-    ot = order_totals(t).withColumnRenamed("order_id", "_order_key")
-    j = s.join(ot, (F.col("_jkey") == F.col("_order_key")) & F.col("_okey").isNotNull(), "left")
-    g = j.groupBy("campaign_name", "campaign_type", "start_date", "end_date").agg(
-        F.count_distinct("session_id").alias("total_sessions"),
-        F.count_distinct(F.when(F.col("order_id").isNotNull(), F.col("session_id"))).alias("converted_sessions"),
-        F.sum("order_gmv").alias("gmv"),
-        F.sum("order_revenue").alias("rev"))
+           .select("session_id", "campaign_id", "order_id").join(c, "campaign_id"))
+    reached = (s.withColumn("_okey", F.col("order_id").try_cast("long"))
+                .where(F.col("_okey").isNotNull())
+                .groupBy(*run, "_okey").agg(F.count(F.lit(1)).alias("_times")))
+    items = t.item_orders().select(F.col("order_id").alias("_okey"), "line_total", revenue_expr().alias("_rev"))
+    times = F.col("_times").cast("decimal(12,0)")
+    money = items.join(reached, "_okey").groupBy(*run).agg(
+        F.sum(F.col("line_total") * times).alias("gmv"), F.sum(F.col("_rev") * times).alias("rev"))
+    g = join_null_safe(_sessions_and_conversions(s, *run), money, run, "left")
     return g.select(
         "campaign_name", "campaign_type", campaign_year().alias("campaign_year"),
-        "total_sessions", "converted_sessions",
-        pct("converted_sessions", "total_sessions", 2).alias("cvr_pct"),
+        "total_sessions", F.col("conv").alias("converted_sessions"),
+        pct("conv", "total_sessions", 2).alias("cvr_pct"),
         dbl("gmv", 0).alias("total_gmv"),
         dbl("rev", 0).alias("platform_revenue"),
         F.round(F.col("gmv") / inclusive_days() / base.scalar(), 2).alias("corrected_lift")
@@ -212,9 +216,7 @@ def campaign_cvr_and_lift(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) ->
 def campaign_cvr(t: Tables) -> DataFrame:
     """Sessions and conversion per session campaign_id (for the main mart)."""
     s = t.website_sessions.where(F.col("campaign_id").isNotNull())
-    g = s.groupBy("campaign_id").agg(
-        F.count_distinct(F.when(F.col("order_id").isNotNull(), F.col("session_id"))).alias("conv"),
-        F.count_distinct("session_id").alias("total_sessions"))
+    g = _sessions_and_conversions(s, "campaign_id")
     return g.select("campaign_id", pct("conv", "total_sessions", 2).alias("cvr_pct"), "total_sessions")
 
 

@@ -35,9 +35,11 @@ def _minutes(c: F.Column) -> F.Column:
 
 def overall_cvr(t: Tables) -> DataFrame:
     """Share of sessions with an order, campaign vs non-campaign."""
-    g = t.website_sessions.groupBy(session_type().alias("session_type")).agg(
-        F.count_distinct("session_id").alias("total_sessions"),
-        F.count_distinct(F.when(F.col("order_id").isNotNull(), F.col("session_id"))).alias("converted"))
+    per_session = t.website_sessions.groupBy(session_type().alias("session_type"), "session_id").agg(
+        F.max(F.col("order_id").isNotNull()).alias("_bought"))      # one row per session: no Expand
+    g = per_session.groupBy("session_type").agg(
+        F.count("session_id").alias("total_sessions"),
+        F.count(F.when(F.col("_bought"), F.col("session_id"))).alias("converted"))
     return g.select("session_type", "total_sessions", "converted",
                     pct("converted", "total_sessions", 2).alias("cvr_pct"))
 

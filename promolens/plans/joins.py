@@ -1,30 +1,21 @@
-"""Join helpers: size-checked broadcast and null-key spreading.
-
-Both exist because of scale, not semantics:
+"""Join helpers: size-checked broadcast and NULL-safe equality.
 
 * ``bounded_broadcast`` only hints a broadcast when the side is proven small,
   either by construction (``known_max_rows``) or by a cheap ``limit(n+1).count()``
   probe. Beyond the bound the join is left to the planner (sort-merge, or an
   AQE runtime conversion), so a dimension that grows with the data never
   gets shipped whole to every executor.
-* ``spread_null_keys`` gives rows whose join key is NULL a synthetic, never
-  matching key derived from another column. In a left outer join Spark would
-  otherwise hash every NULL key into one reducer; for session -> order joins
-  most sessions have no order, so that reducer would hold most of the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Broadcast at most this many rows of a dimension (about 10-20 MB for the
 # narrow projections used here).
 DEFAULT_BROADCAST_ROWS = 200_000
 
-# Number of distinct synthetic keys that NULL keys are spread over.
-NULL_SPREAD = 4096
-
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
                       known_max_rows: int | None = None) -> DataFrame:
@@ -38,16 +29,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
     return F.broadcast(df) if n <= max_rows else df
 
 
-def spread_null_keys(key: Column, spread_by: Column) -> Column:
-    """``key`` where it is not NULL, else a negative synthetic key.
-
-    The synthetic key is ``-1 - pmod(hash(spread_by), NULL_SPREAD)``; callers
-    must keep the real-key predicate (``key IS NOT NULL``) in the join
-    condition so the synthetic keys can never match.
-    """
-    return F.coalesce(key, -F.lit(1) - F.pmod(F.hash(spread_by), F.lit(NULL_SPREAD)))
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (SQL ``IS NOT DISTINCT FROM``).
 
