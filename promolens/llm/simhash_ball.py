@@ -36,7 +36,8 @@ SEED = 42
 MASKS = 3
 #: Variant rows for which one partition is made.
 BUCKET_ROWS = 1_000_000
-_CHUNK = 1 << 16
+#: Hashes whose bits are added up in one byte each.
+_CHUNK = 255
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:
@@ -44,17 +45,14 @@ def fingerprint(text: str | None, words: int = SHINGLE) -> int:
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()   # bytes: A-Z only, and ASCII white space only
     if not w:
         return 0
-    joined = b" ".join(w)
-    ends = np.cumsum([len(x) + 1 for x in w]) - 1
-    starts = ends - [len(x) for x in w]
     k = min(words, len(w))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:len(w) - k + 1].tolist(), ends[k - 1:].tolist(), strict=True)),
-                    np.uint64, len(w) - k + 1)
+    h = np.array([digest(b" ".join(x), SEED) for x in zip(*(w[i:] for i in range(k)), strict=False)], np.uint64)
+    set_bits = h.view(np.uint8).reshape(-1, 8)
     count = np.zeros(64, np.int64)
     for i in range(0, len(h), _CHUNK):
-        count += np.unpackbits(h[i:i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(((count * 2 > len(h)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+        count += np.add.reduce(np.unpackbits(set_bits[i:i + _CHUNK], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return int.from_bytes(np.packbits(count * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
