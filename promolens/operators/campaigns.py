@@ -188,7 +188,7 @@ def campaign_cvr_and_lift(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) ->
     and only items of reached orders pass it (Spark's runtime filter drops the
     others before the exchange when that pays). The text order key is cast
     leniently (``try_cast``); non-numeric text converts to NULL instead of
-    failing and is reported by ``fk_orphans``.
+    failing.
     """
     base = baseline_median_gmv(t, min_daily_items)
     c = t.campaigns_small().select(*CAMPAIGN_COLS)
