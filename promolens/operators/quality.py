@@ -51,13 +51,18 @@ def pk_uniqueness(t: Tables) -> DataFrame:
 
 
 def fk_orphans(t: Tables) -> DataFrame:
-    """Q02: child rows whose parent key is missing (declared and implied references)."""
+    """Q02: child rows whose parent key is missing (declared and implied references).
+
+    Child rows are counted per key before the anti-join, so a hot key is one row there. Session
+    order keys that are no number refer to nothing and are a relation of their own.
+    """
     def orphans(rel: str, child: DataFrame, ck: str, parent: DataFrame, pk: str,
                 key: Column | None = None) -> DataFrame:
         c = child.select((key if key is not None else F.col(ck)).alias("_k")).where(F.col("_k").isNotNull())
         p = parent.select(F.col(pk).alias("_k"))
-        return c.join(p, "_k", "left_anti").agg(F.lit(rel).alias("relation"),
-                                                F.count(F.lit(1)).alias("n_orphans"))
+        per_key = c.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+        return per_key.join(p, "_k", "left_anti").agg(
+            F.lit(rel).alias("relation"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_orphans"))
     return _stack([
         orphans("order_items.order_id -> orders", t.order_items, "order_id", t.orders, "order_id"),
         orphans("product_campaign.campaign_id -> campaigns", t.product_campaign, "campaign_id",
@@ -70,6 +75,10 @@ def fk_orphans(t: Tables) -> DataFrame:
                 t.campaigns, "campaign_id"),
         orphans("website_sessions.order_id -> orders", t.website_sessions, "order_id", t.orders, "order_id",
                 key=F.col("order_id").try_cast("long")),
+        t.website_sessions.agg(
+            F.lit("website_sessions.order_id not a number").alias("relation"),
+            F.count(F.when(F.col("order_id").isNotNull() & F.col("order_id").try_cast("long").isNull(), 1))
+            .alias("n_orphans")),
     ])
 
 
