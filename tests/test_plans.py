@@ -33,6 +33,11 @@ def test_no_cross_join_and_no_python(spark, stored, name):
         assert banned not in p, (name, banned)
 
 
+@pytest.mark.parametrize("name", ["campaign_cvr_and_lift", "overall_cvr"])
+def test_conversions_take_no_expand(spark, stored, name):
+    assert "Expand" not in plan(REGISTRY[name](stored))
+
+
 def test_campaign_filter_reaches_the_scan(spark, stored):
     p = plan(REGISTRY["campaign_gmv_totals"](stored))
     assert "PushedFilters: [IsNotNull(campaign_id)]" in p
