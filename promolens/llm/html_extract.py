@@ -4,12 +4,15 @@ A page is a sequence of words, which score positive, and tags, which score negat
 the content is the contiguous stretch with the largest sum, found by one linear scan. The weights
 come from labelled pages (those that mark their content with exactly one <article>): a structured
 perceptron raises and lowers them until the scan finds the marked stretch, on a bounded sample of
-``TRAIN_PAGES`` pages by least hash. The tags <article> themselves are never scored.
+``TRAIN_PAGES`` pages by least hash. The tags <article> themselves are never scored. A tag's class
+and role tokens add learned weights to it (none if they were never seen).
 
-What stands inside the stretch but is no content (scripts, styles, forms, menus, notices, adverts,
-sidebars, comments: by element name or by a word of class, id or role) is left out; if its
-element is never closed, only its own tag is. Block elements separate blocks; other tags do not. The
-white space of a block becomes one space, character references are decoded, blocks are joined by \\n.
+What stands inside the stretch but is no content is left out: scripts, styles, the elements ``SKIP``, and
+elements with a whole class token of ``SKIP_CLASSES`` or a role of ``SKIP_ROLES``; if such an
+element is never closed, only its own tag is. A heading, and an element that holds the <main> or the
+longest <article>, is never left out for its own name or labels; an id is no label. Block elements
+separate blocks; other tags do not. The white space of a block becomes one space, character references
+are decoded, blocks are joined by \\n.
 
 Nulls: a null or empty html has an empty text, like a page without words. A null page_id is passed on.
 Markup that breaks off (an unclosed comment, script or tag) ends the page there.
@@ -46,66 +49,89 @@ _TOKEN = re.compile(
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary
 table tbody td tfoot th thead title tr ul""".split())
-#: Elements that are never content, and words in class, id or role that say so.
+#: Elements that are never content, and the class tokens and roles (whole, not parts of a name) that say so.
 SKIP = frozenset("head title nav footer aside form button select input label menu dialog".split())
-SKIP_WORDS = frozenset("""ad ads advert adverts advertisement banner sponsor sponsored promo sidebar side menu nav navbar navigation
-breadcrumb breadcrumbs footer comment comments reply replies notice cookie cookies consent alert popup modal newsletter
-subscribe share sharing social related widget toolbar pagination masthead complementary contentinfo""".split())
+SKIP_CLASSES = frozenset("""ad ads advert adverts advertisement adsbygoogle ad-banner ad-container ad-slot ad-unit ad-wrapper banner-ad
+nav navbar navigation breadcrumb breadcrumbs pagination masthead
+cookie-notice cookie-banner cookie-bar cookie-consent cookie-popup consent-banner""".split())
+SKIP_ROLES = frozenset("banner navigation complementary contentinfo menu menubar toolbar search".split())
+#: Elements whose own labels never make them skipped.
+KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
-def tokens(page: str) -> list[tuple[str, str, bool]]:
-    """(kind, value, skip): kind is 'text', 'open', 'close' or 'none'; skip: the tag opens what is never content."""
+def labels(attrs: str) -> tuple[str, ...]:
+    """'class x' and 'role x' for each token of these attributes (of a repeated attribute the first)."""
+    got: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return tuple(f"{k} {x}" for k in ("class", "role") for x in dict.fromkeys(got.get(k, "").lower().split()))
+
+
+_SKIP_LABELS = frozenset([f"class {x}" for x in SKIP_CLASSES] + [f"role {x}" for x in SKIP_ROLES])
+
+
+def tokens(page: str) -> list[tuple[str, str, bool, tuple[str, ...]]]:
+    """(kind, value, skip, labels): kind is 'text', 'open', 'close' or 'none'; skip: the tag opens what is never content."""
     out, at = [], 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            out.append(("text", page[at:m.start()], False))
+            out.append(("text", page[at:m.start()], False, ()))
         at = m.end()
         name = m[3] or m[6]
         if name:
             name, closing, attrs = name.lower(), (m[2] or m[5]) == "/", m[4] or m[7] or ""
             if closing:
-                out.append(("close", name, False))
+                out.append(("close", name, False, ()))
             else:
-                skip = name in SKIP
-                if not skip and "=" in attrs and name not in ("html", "body", "article", "main"):
-                    named = " ".join(x for g in _ATTR.findall(attrs) for x in g).lower()
-                    skip = bool(named) and not SKIP_WORDS.isdisjoint(re.split(r"[^a-z]+", named))
-                out.append(("open", name, skip))
+                named = labels(attrs) if "=" in attrs else ()
+                out.append(("open", name, name in SKIP or name not in KEPT and not _SKIP_LABELS.isdisjoint(named), named))
         else:
-            out.append(("none", (m[1] or "!").lower(), False))
+            out.append(("none", (m[1] or "!").lower(), False, ()))
     if at < len(page):
-        out.append(("text", page[at:], False))
+        out.append(("text", page[at:], False, ()))
     return out
 
 
-def skipped(toks: list[tuple[str, str, bool]]) -> np.ndarray:
+def _content_marks(toks, ends: dict[int, int]) -> list[int]:
+    """Where each <main> opens, and the longest <article> (within a <main>, if there is one)."""
+    words = np.append(0, np.cumsum(_sizes(toks)))
+    opens = {n: [i for i, t in enumerate(toks) if t[0] == "open" and t[1] == n] for n in ("main", "article")}
+    size = lambda i: words[ends.get(i, len(toks))] - words[i]
+    inner = [i for i in opens["article"] if not opens["main"] or any(m < i < ends.get(m, len(toks)) for m in opens["main"])]
+    return opens["main"] + ([max(inner, key=size)] if inner else [])
+
+
+def skipped(toks: list[tuple[str, str, bool, tuple[str, ...]]]) -> np.ndarray:
     """Flags the tokens inside elements that are never content and are closed (a <header>: unless it is an article's own)."""
     stack: dict[str, list[int]] = {}
     page_header: set[int] = set()
-    depth = np.zeros(len(toks) + 1, np.int64)
-    for i, (kind, name, _) in enumerate(toks):
+    ends: dict[int, int] = {}
+    for i, (kind, name, _, _) in enumerate(toks):
         if kind == "open" and name not in VOID:
             stack.setdefault(name, []).append(i)
             if name == "header" and not stack.get("article") and not stack.get("main"):
                 page_header.add(i)
         elif kind == "close" and stack.get(name):
-            j = stack[name].pop()
-            if toks[j][2] or j in page_header:
-                depth[j] += 1
-                depth[i + 1] -= 1
+            ends[stack[name].pop()] = i
+    marks = _content_marks(toks, ends)
+    depth = np.zeros(len(toks) + 1, np.int64)
+    for j, i in ends.items():
+        if (toks[j][2] or j in page_header) and not any(j < m < i for m in marks):
+            depth[j] += 1
+            depth[i + 1] -= 1
     return np.cumsum(depth)[:-1] > 0
 
 
 def _sizes(toks) -> np.ndarray:
-    return np.array([len(v.split()) if k == "text" else 0 for k, v, _ in toks])
+    return np.array([len(v.split()) if k == "text" else 0 for k, v, _, _ in toks])
 
 
 def _names(toks) -> list[str | None]:
     """The feature of each token: None for <article> and </article>, which mark the labels."""
-    return ["" if k == "text" else None if v == "article" else f"{k} {v}" for k, v, _ in toks]
+    return ["" if k == "text" else None if v == "article" else f"{k} {v}" for k, v, _, _ in toks]
 
 
 def best_stretch(scores: np.ndarray) -> tuple[int, int]:
@@ -124,40 +150,46 @@ def score(toks, out: np.ndarray, weights: dict[str, float]) -> np.ndarray:
     """The score of each token; what is never content (``out``) neither adds nor takes."""
     word = weights.get("", WORD)
     sizes = _sizes(toks)
-    return np.array([0.0 if f is None or out[i] else sizes[i] * word if f == "" else weights.get(f, TAG) for i, f in enumerate(_names(toks))])
+    return np.array([0.0 if f is None or out[i] else sizes[i] * word if f == "" else weights.get(f, TAG) + sum(weights.get(x, 0.0) for x in toks[i][3])
+                     for i, f in enumerate(_names(toks))])
 
 
 def train(pages: list[str], epochs: int = EPOCHS) -> dict[str, float]:
-    """Weights of words ('') and tags from pages that mark their content."""
+    """Weights of words (''), tags and labels from pages that mark their content."""
     known = []
     for page in pages:
         toks = tokens(page)
-        opens = [i for i, (k, v, _) in enumerate(toks) if (k, v) == ("open", "article")]
-        closes = [i for i, (k, v, _) in enumerate(toks) if (k, v) == ("close", "article")]
+        opens = [i for i, (k, v, _, _) in enumerate(toks) if (k, v) == ("open", "article")]
+        closes = [i for i, (k, v, _, _) in enumerate(toks) if (k, v) == ("close", "article")]
         if len(opens) == len(closes) == 1 and opens[0] < closes[0]:
             known.append((toks, skipped(toks), opens[0] + 1, closes[0]))
     w: dict[str, float] = {"": WORD}
     for _ in range(epochs):
         wrong = 0
-        for toks, out, a, b in known:
-            # With a margin: tags inside cost more and words outside earn more than they will.
+        for (toks, out, a, b), margin in ((k, m) for k in known for m in (MARGIN, 0.0)):
+            # With a margin, tags inside cost more and words outside earn more than they will. Without it the
+            # stretch is the one extracted: a margin may set it apart from the tags that have to fall.
             inside = np.zeros(len(toks), bool)
             inside[a:b] = True
-            words = np.where(out, 0, _sizes(toks))
-            s, e = best_stretch(score(toks, out, w) - MARGIN * (inside & (words == 0) & ~out) + MARGIN * np.where(inside, 0, words))
             names, sizes = _names(toks), _sizes(toks)
-            change: dict[str, float] = {}
-            for i in range(min(a, s), max(b, e)):
-                sign = (a <= i < b) - (s <= i < e)
-                if sign and names[i] is not None and not out[i]:
-                    change[names[i]] = change.get(names[i], 0.0) + sign * (float(sizes[i]) if names[i] == "" else 1.0)
+            words = np.where(out, 0, sizes)
+            s, e = best_stretch(score(toks, out, w) - margin * (inside & (words == 0) & ~out) + margin * np.where(inside, 0, words))
+            found = np.zeros(len(toks), bool)
+            found[s:e] = True
             # Blank text and tags at the edges make no difference to the words found.
-            if change.get("", 0.0) == 0.0:
+            if not words[inside != found].any():
                 continue
             wrong += 1
+            change: dict[str, float] = {}
+            named = {x for t in toks for x in t[3]}
+            for i in np.flatnonzero((inside != found) & ~out).tolist():
+                sign = 1 if inside[i] else -1
+                if names[i] is not None:
+                    for f in (names[i], *toks[i][3]):
+                        change[f] = change.get(f, 0.0) + sign * (float(sizes[i]) if f == "" else 1.0)
             for f, c in change.items():
-                if f:                                       # tags stay negative, words keep their weight as the unit
-                    w[f] = min(-0.01, w.get(f, TAG) + RATE * np.sign(c) * max(1.0, abs(change[""]) / len(change)))
+                if f:                                       # tags and labels stay negative, words keep their weight as the unit
+                    w[f] = float(min(-0.01, w.get(f, 0.0 if f in named else TAG) + RATE * np.sign(c) * max(1.0, abs(change[""]) / len(change))))
         if not wrong:
             break
     return w
@@ -170,7 +202,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     first, last = best_stretch(score(toks, out, weights))
     blocks, now = [], []
     for i in range(first, last):
-        kind, value, _ = toks[i]
+        kind, value, _, _ = toks[i]
         if kind == "text":
             if not out[i]:
                 now.append(value)

@@ -95,6 +95,18 @@ def test_main_text(spark):
     assert all(w < 0 for f, w in weights.items() if f)
 
 
+def test_main_text_keeps_labelled_content(spark):
+    weights = html_extract.train([PAGE.replace("{i}", str(i)) for i in range(20)])
+    article = ("<article><h2 id='related-work'>Related work of others</h2><p>" + "some words of the text " * 8 + "</p><p class='notice'>Mind the gap here</p>"
+               "<section id='how-to-share'><h3 class='share social ad'>How to share</h3><p data-class='ad' title=' class=ad '>Share it with care</p></section>"
+               "<div class='alert widget'>An alert to heed</div><aside><article>teaser</article></aside><div class='x cookie-notice'>We use cookies</div></article>")
+    exp = "\n".join(["Related work of others", ("some words of the text " * 8).strip(), "Mind the gap here", "How to share", "Share it with care", "An alert to heed"])
+    foot = "<aside>See also that other thing</aside><section class='comments'><p>Great post by me, the reader, indeed</p></section><footer>x y</footer>"
+    for a, z in [("", ""), ("<div class='content has-sidebar'>", "</div>"), ("<div class='nav ad'>", "</div>"), ("<form role='navigation'>", "</form>"), ("<div class='ads'><main>", "</main></div>")]:
+        assert html_extract.extract(f"<html><body><nav>Home</nav><div class='ad'>buy this</div>{a}{article}{z}{foot}</body></html>", weights) == exp
+    assert weights["class comments"] < 0 and not any(f.startswith("class ad") for f in weights)
+
+
 def test_main_text_of_the_pages_equals_their_articles(spark):
     pages = read(spark, SF, "pages")
     got = {r.page_id: r.text for r in html_extract.main_text(pages, html_extract.learn(pages)).collect()}
