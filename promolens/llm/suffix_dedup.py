@@ -7,9 +7,12 @@ window is its smallest (hashed, leftmost) ``K``-byte piece, so equal windows hav
 anchor at the same offset, and consecutive windows share one.
 
 1. Every run of windows with one anchor becomes a row (hash of the anchor's piece, hash of
-   the run's whole context, document, place). Rows travel as packed arrays, one blob for each
+   the run's whole context, document, place); runs that repeat without a gap (a line of dashes, blanks)
+   are one row that counts them. Rows travel as packed arrays, one blob for each
    batch and hash range; within a batch all but the smallest document of a context are
-   settled on the spot. Each hash range settles the contexts that a smaller document has too.
+   settled on the spot and go to their documents directly. Hash ranges with over ``HEAVY_ROWS`` rows are first dealt
+   at random into parts that leave the smallest document of each context only. Then each hash range
+   settles the contexts that a smaller document has too.
 2. What is left are contexts that share the piece but not the whole run (the ends of
    repeated passages). Their suffixes are read from the text, range-partitioned by their
    leading bytes with sampled splitters (``repartitionByRange``), and each range sorts the
@@ -47,6 +50,8 @@ UNIT_BYTES = 4 << 20
 BLOCK = 1 << 17
 #: A piece with more contexts than this sends its windows one by one (an exact split of hot keys).
 HOT_CONTEXTS = 512
+#: A hash range with more rows than this is first reduced in parts of about so many rows.
+HEAVY_ROWS = 2 << 20
 #: Rows of one range of suffixes.
 RANGE_ROWS = 40_000
 
@@ -71,7 +76,10 @@ def _texts(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, window: int, block: int = BLOCK) -> tuple[np.ndarray, ...]:
-    """(piece hash, context hash, start, windows) of every run of windows within one text."""
+    """(piece hash, context hash, start, windows, times) of every run of windows within one text.
+
+    A run that repeats ``times`` times, each beginning where the windows of the one before end, is one row.
+    """
     lens = np.diff(off)
     inside = np.repeat(np.tile([True, False], len(lens)),
                        np.stack([np.maximum(lens - window + 1, 0), np.minimum(lens, window - 1)], 1).ravel())
@@ -88,9 +96,15 @@ def anchors(buf: np.ndarray, off: np.ndarray, window: int, block: int = BLOCK) -
         start, n = start[ok[start]], n[ok[start]]
         ranges.load(b)
         # Smallest hashes are small: mixed again, they spread evenly over the hash ranges.
-        parts.append((mix(h[pos[start]] ^ np.uint64(0xA5A5A5A5A5A5A5A5)), ranges.get(start, start + n - 1 + window), start + s, n))
+        piece, context = mix(h[pos[start]] ^ np.uint64(0xA5A5A5A5A5A5A5A5)), ranges.get(start, start + n - 1 + window)
+        # Windows of two texts never adjoin: the last ones of a text have no room for a window.
+        new = _starts(piece, context, n)
+        new[1:] |= start[1:] != start[:-1] + n[:-1]
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(new)))
+        parts.append((piece[first], context[first], start[first] + s, n[first], times))
     if not parts:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -112,17 +126,26 @@ def _starts(*cols: np.ndarray) -> np.ndarray:
     return new
 
 
-def _by_group(doc, tag, a, n, kind, groups) -> list[tuple[int, int, int, bytes]]:
+def _by_group(doc, tag, a, n, times, kind, groups) -> list[tuple[int, int, int, bytes]]:
     if not len(doc):
         return []
     g = _group(doc, groups)
     order = np.lexsort((a, tag, doc, kind, g))
-    doc, tag, a, n, g, kind = (x[order] for x in (doc, tag, a, n, g, kind))
+    doc, tag, a, n, times, g, kind = (x[order] for x in (doc, tag, a, n, times, g, kind))
     st = np.flatnonzero(_starts(g, kind))
-    return [(int(g[i]), int(kind[i]), int(j - i), pack(doc[i:j], tag[i:j], a[i:j], n[i:j]))
+    return [(int(g[i]), int(kind[i]), int(j - i), pack(doc[i:j], tag[i:j], a[i:j], n[i:j], times[i:j]))
             for i, j in zip(st, np.append(st[1:], len(doc)), strict=True)]
 
 
+def _repeated(doc, tag, a, n, step, times) -> tuple[np.ndarray, ...]:
+    """(doc, tag, start, windows, 1) of runs that repeat ``times`` times, ``step`` bytes apart; adjoining ones as one."""
+    solid = n == step
+    n, times = np.where(solid, n * times, n), np.where(solid, 1, times)
+    i = np.repeat(np.arange(len(doc)), times)
+    k = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+    return doc[i], tag[i], a[i] + k * step[i], n[i], np.ones(len(i), np.int64)
+
+
 def _span_batch(rows: list[tuple[int, int, int, bytes]]) -> dict:
     g, kind, n, body = zip(*rows, strict=True) if rows else ((), (), (), ())
     return {"g": pa.array(g, pa.int32()), "kind": pa.array(kind, pa.int32()),
@@ -139,70 +162,90 @@ def _units(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         first = last
 
 
-def _map_anchors(window: int, ranges: int, block: int):
+_ANCHORS = "kind int, part int, n long, h binary, c binary, body binary"
+
+
+def _known(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Flags the rows whose context a smaller document has too."""
+    order = np.lexsort((doc, c, h))
+    out = np.zeros(len(order), bool)
+    if len(order):
+        new = _starts(h[order], c[order])
+        out[order] = doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
+def _anchor_rows(part, low, c, doc, tag, a, n, times, groups: int) -> dict:
+    """Rows of ``_ANCHORS``: settled ones (kind 1) by group of documents, the others (kind 0) by hash range."""
+    settled = _known(part << 32 | low, c, doc)
+    part = np.where(settled, _group(doc, groups), part)
+    n, times = np.where(settled, n * times, n), np.where(settled, 1, times)
+    order = np.lexsort((part, settled))
+    part, settled = part[order], settled[order]
+    st = np.flatnonzero(_starts(part, settled))
+    rows = []
+    for i, j in zip(st, np.append(st[1:], len(order)), strict=True) if len(st) else ():
+        o, done = order[i:j], bool(settled[i])
+        rows.append((int(done), int(part[i]), len(o), b"" if done else low[o].astype(np.uint32).tobytes(), b"" if done else c[o].tobytes(),
+                     pack(doc[o], tag[o], a[o], n[o], times[o])))
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    types = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
+    return {k: pa.array(x, t) for k, x, t in zip(("kind", "part", "n", "h", "c", "body"), cols, types, strict=True)}
+
+
+def _map_anchors(window: int, groups: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (u for b in batches for u in _units(b)):
             buf, off = _texts(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             tags = np.fromiter((zlib.crc32(buf[s:e]) for s, e in zip(off[:-1], off[1:], strict=True)), np.int64, len(ids))
-            h, c, at, n = anchors(buf, off, window, block)
+            h, c, at, n, times = anchors(buf, off, window, block)
             which = np.searchsorted(off, at, "right") - 1
-            doc, tag, a = ids[which], tags[which], at - off[which]
-            # Of equal contexts in this batch only the smallest document's can matter elsewhere.
-            order = np.lexsort((doc, c, h))
-            new = _starts(h[order], c[order])
-            least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else doc
-            settled = np.empty(len(order), bool)
-            settled[order] = doc[order] > least
-            scaled = (h >> np.uint64(32)) * np.uint64(ranges)
-            part, low = (scaled >> np.uint64(32)).astype(np.int64), scaled.astype(np.uint32)
-            order = np.lexsort((a, which, settled, part))
-            st = np.flatnonzero(_starts(part[order], settled[order])) if len(order) else []
-            rows = []
-            for i, j in zip(st, np.append(st[1:], len(order)), strict=True):
-                o = order[i:j]
-                done = bool(settled[o[0]])
-                rows.append((int(part[o[0]]), int(done), len(o), b"" if done else low[o].tobytes(),
-                             b"" if done else c[o].tobytes(), pack(doc[o], tag[o], a[o], n[o])))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)],
-                names=["part", "kind", "n", "h", "c", "body"])
+            scaled = (h >> np.uint64(32)) * np.uint64(groups)
+            part, low = (scaled >> np.uint64(32)).astype(np.int64), scaled.astype(np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_pydict(_anchor_rows(part, low, c, ids[which], tags[which], at - off[which], n, times, groups))
+    return run
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """low piece hash, context hash, doc, tag, start, windows and times of the rows that are not settled."""
+    body = [unpack(x, 5) for x in t["body"].to_pylist()]
+    h, c = (np.concatenate([np.frombuffer(x, k) for x in t[name].to_pylist()]) for name, k in (("h", np.uint32), ("c", np.uint64)))
+    return h, c, *(np.concatenate(x) for x in zip(*body, strict=True))
+
+
+def _reduce(groups: int):
+    """A part of a heavy hash range: only the smallest document of each context stays unsettled."""
+    def run(t: pa.Table) -> pa.Table:
+        h, c, doc, tag, a, n, times = _unpacked(t)
+        return pa.table(_anchor_rows(np.full(len(h), t["part"][0].as_py(), np.int64), h.astype(np.int64), c, doc, tag, a, n, times, groups))
     return run
 
 
 def _settle(groups: int, hot: int):
     """One hash range: settles contexts known from a smaller document, names the rest."""
     def run(t: pa.Table) -> pa.Table:
-        kind = t["kind"].to_pylist()
-        body = [unpack(x, 4) for x in t["body"].to_pylist()]
-        done = [x for x, k in zip(body, kind, strict=True) if k]
-        out = _by_group(*(np.concatenate(x) for x in zip(*done, strict=True)), np.zeros(sum(len(x[0]) for x in done), np.int64), groups) if done else []
-        live = [i for i, k in enumerate(kind) if not k]
-        if live:
-            doc, tag, a, n = (np.concatenate(x) for x in zip(*(body[i] for i in live), strict=True))
-            h = np.concatenate([np.frombuffer(x, np.uint32) for x, k in zip(t["h"].to_pylist(), kind, strict=True) if not k])
-            c = np.concatenate([np.frombuffer(x, np.uint64) for x, k in zip(t["c"].to_pylist(), kind, strict=True) if not k])
-            order = np.lexsort((doc, c, h))
-            h, c, doc, tag, a, n = (x[order] for x in (h, c, doc, tag, a, n))
-            new = _starts(h, c)
-            st = np.flatnonzero(new)
-            context = np.cumsum(new) - 1
-            least = doc[st]
-            known = doc > least[context]
-            piece = np.flatnonzero(_starts(h[st]))
-            contexts = np.diff(np.append(piece, len(st)))
-            shared = np.maximum.reduceat(least, piece) > np.minimum.reduceat(least, piece)
-            of = np.cumsum(_starts(h[st]))[context] - 1
-            open_ = shared[of] & ~known
-            kind = np.where(known, 0, np.where(contexts[of] > hot, 2, 1))
-            keep = known | open_
-            out += _by_group(*(x[keep] for x in (doc, tag, a, n, kind)), groups)
-        return pa.table(_span_batch(out))
+        h, c, doc, tag, a, n, times = _unpacked(t)
+        order = np.lexsort((doc, c, h))
+        h, c, doc, tag, a, n, times = (x[order] for x in (h, c, doc, tag, a, n, times))
+        new = _starts(h, c)
+        st = np.flatnonzero(new)
+        context = np.cumsum(new) - 1
+        least = doc[st]
+        known = doc > least[context]
+        piece = np.flatnonzero(_starts(h[st]))
+        contexts = np.diff(np.append(piece, len(st)))
+        shared = np.maximum.reduceat(least, piece) > np.minimum.reduceat(least, piece)
+        of = np.cumsum(_starts(h[st]))[context] - 1
+        open_ = shared[of] & ~known
+        kind = np.where(known, 0, np.where(contexts[of] > hot, 2, 1))
+        n, times = np.where(known, n * times, n), np.where(known, 1, times)
+        keep = known | open_
+        return pa.table(_span_batch(_by_group(*(x[keep] for x in (doc, tag, a, n, times, kind)), groups)))
     return run
 
 
-_CONTEXT = "key binary, context binary, doc long, tag long, start long, n int, done int"
+_CONTEXT = "key binary, context binary, doc long, tag long, start long, n int, step int, times long, done int"
 
 
 def _windows(buf: np.ndarray, at: np.ndarray, size: int) -> list[bytes]:
@@ -212,7 +255,7 @@ def _windows(buf: np.ndarray, at: np.ndarray, size: int) -> list[bytes]:
 def _contexts(window: int):
     """Reads the open runs of one group of documents from their texts."""
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {k: [] for k in ("key", "context", "doc", "tag", "start", "n", "done")}
+        rows: dict[str, list] = {k: [] for k in ("key", "context", "doc", "tag", "start", "n", "step", "times", "done")}
         if docs.num_rows and spans.num_rows:
             buf, off = _texts(docs["text"])
             place: dict[tuple[int, int], int] = {}
@@ -222,14 +265,14 @@ def _contexts(window: int):
             seen: dict[bytes, tuple] = {}
             doubles: list[tuple] = []
             for kind, body in zip(spans["kind"].to_pylist(), spans["body"].to_pylist(), strict=True):
-                for d, t, a, n in zip(*(x.tolist() for x in unpack(body, 4)), strict=True):
+                for d, t, a, n, times in zip(*(x.tolist() for x in unpack(body, 5)), strict=True):
                     s = place[d, t] + a
                     if kind == 1:
                         text = buf[s:s + n - 1 + window].tobytes()
                         piece = buf[s + n - 1:s + window]     # what all windows of the run share
                         h = kmer_hashes(piece, K)
                         p = int(np.argmin(h)) + n - 1
-                        for k, v in zip(rows, (text[p:p + K], text, d, t, a, n, 0), strict=True):
+                        for k, v in zip(rows, (text[p:p + K], text, d, t, a, n, n, times, 0), strict=True):
                             rows[k].append(v)
                     else:
                         for x in range(n):
@@ -238,17 +281,17 @@ def _contexts(window: int):
                             if old is None or old[0] > d:
                                 if old is not None:
                                     doubles.append((w, *old))
-                                seen[w] = (d, t, a + x)
+                                seen[w] = (d, t, a + x, n, times)
                             else:
-                                doubles.append((w, d, t, a + x))
-            for w, (d, t, a) in seen.items():
-                for k, v in zip(rows, (w, w, d, t, a, 1, 0), strict=True):
+                                doubles.append((w, d, t, a + x, n, times))
+            for w, (d, t, a, step, times) in seen.items():
+                for k, v in zip(rows, (w, w, d, t, a, 1, step, times, 0), strict=True):
                     rows[k].append(v)
-            for w, d, t, a in doubles:
+            for w, d, t, a, step, times in doubles:
                 same = d == seen[w][0]                        # the same document again: still open
-                for k, v in zip(rows, (w, w if same else b"", d, t, a, 1, int(not same)), strict=True):
+                for k, v in zip(rows, (w, w if same else b"", d, t, a, 1, step, times, int(not same)), strict=True):
                     rows[k].append(v)
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)})
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)})
     return run
 
 
@@ -287,13 +330,13 @@ def _compare(window: int, groups: int):
         rows = []
         if got:
             t = pa.Table.from_batches(got)
-            doc, tag, start, n, done = (t[c].to_numpy() for c in ("doc", "tag", "start", "n", "done"))
-            n = n.astype(np.int64)
+            doc, tag, start, n, step, times, done = (t[c].to_numpy().astype(np.int64) for c in ("doc", "tag", "start", "n", "step", "times", "done"))
             settled = done == 1
-            rows += _by_group(doc[settled], tag[settled], start[settled], n[settled], np.zeros(settled.sum(), np.int64), groups)
+            found = _repeated(*(x[settled] for x in (doc, tag, start, n, step, times)))
+            rows += _by_group(*found, np.zeros(len(found[0]), np.int64), groups)
             live = np.flatnonzero(~settled)
             buf, off = _texts(t["context"].take(pa.array(live)))
-            doc, tag, start, n = doc[live], tag[live], start[live], n[live]
+            doc, tag, start, n, step, times = (v[live] for v in (doc, tag, start, n, step, times))
             row = np.repeat(np.arange(len(n)), n)
             x = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             flag = repeated_windows(buf, off[row] + x, doc[row], window)
@@ -302,7 +345,8 @@ def _compare(window: int, groups: int):
             st = np.flatnonzero(new)
             length = np.diff(np.append(st, len(row)))
             i = row[st]
-            rows += _by_group(doc[i], tag[i], start[i] + x[st], length, np.zeros(len(st), np.int64), groups)
+            found = _repeated(doc[i], tag[i], start[i] + x[st], length, step[i], times[i])
+            rows += _by_group(*found, np.zeros(len(found[0]), np.int64), groups)
         yield pa.RecordBatch.from_pydict(_span_batch(rows))
     return run
 
@@ -314,7 +358,7 @@ def _cut(window: int, with_text: bool):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         buf, off = _texts(docs["text"])
         ids = docs["doc_id"].to_pylist()
-        found = [unpack(x, 4) for x in spans["body"].to_pylist()]
+        found = [unpack(x, 5)[:4] for x in spans["body"].to_pylist()]     # settled runs are not repeated: times is 1
         doc, tag, a, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 4
         order = np.lexsort((a, tag, doc))
         doc, tag, a, e = doc[order], tag[order], a[order], (a + n - 1 + window)[order]
@@ -343,18 +387,25 @@ def _cut(window: int, with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, group_bytes: int = GROUP_BYTES,
-                   hot: int = HOT_CONTEXTS, range_rows: int = RANGE_ROWS, block: int = BLOCK) -> DataFrame:
+                   hot: int = HOT_CONTEXTS, range_rows: int = RANGE_ROWS, block: int = BLOCK, heavy: int = HEAVY_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining bytes as ``kept``).
 
-    ``window`` is at least ``K``. The last four set how the work is dealt out, not what results.
+    ``window`` is at least ``K``. The last five set how the work is dealt out, not what results.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = text_bytes(docs) // group_bytes + 1
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window))
-    found = store(
-        usable.mapInArrow(_map_anchors(window, groups, block), "part int, kind int, n long, h binary, c binary, body binary")
-        .groupBy("part").applyInArrow(_settle(groups, hot), _SPANS), "spans")
+    rows = store(usable.mapInArrow(_map_anchors(window, groups, block), _ANCHORS), "anchors", ["kind"])
+    live, settled = rows.where("kind = 0"), [rows.where("kind = 1")]
+    loads = live.groupBy("part").agg(F.sum("n").alias("rows")).where(F.col("rows") > heavy)
+    salts = store(loads.select("part", F.ceil(F.col("rows") / heavy).alias("salts")), "heavy")
+    if not salts.isEmpty():
+        salted = live.join(F.broadcast(salts), "part").withColumn("salt", F.pmod(F.xxhash64("body"), "salts"))
+        less = store(salted.select("part", "salt", "h", "c", "body").groupBy("part", "salt").applyInArrow(_reduce(groups), _ANCHORS), "reduced", ["kind"])
+        live = live.join(F.broadcast(salts), "part", "left_anti").unionByName(less.where("kind = 0"))
+        settled.append(less.where("kind = 1"))
+    found = store(live.groupBy("part").applyInArrow(_settle(groups, hot), _SPANS), "spans")
     grouped = docs.withColumn("g", _group_col(groups))
     contexts = store(
         grouped.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window)).groupBy("g")
@@ -363,5 +414,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, g
     ends = store(contexts.repartitionByRange(ranges, "key").mapInArrow(_compare(window, groups), _SPANS), "ends")
     drop_stored(contexts)
     spans = found.where("kind = 0").unionByName(ends)
+    for x in settled:
+        spans = spans.unionByName(x.select(F.col("part").alias("g"), F.lit(0).alias("kind"), "n", "body"))
     out = grouped.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_cut(window, with_text), _RESULT)
     return out if with_text else out.drop("kept")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,30 @@ def test_suffix_dedup(spark, hot):
     assert sorted((tuple(r) for r in got), key=str) == repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [512, 2])
+def test_suffix_dedup_of_a_line_in_many_documents(spark, hot):
+    line = "-" * 80 + "\n"
+    rows = [(d, t + line * (i % 3) + f"{i} " + ("=-" * 45 + f"{i}x") * (i % 2) + line + " " * (i % 70), s) for i, (d, t, s) in enumerate((d, t or "", s) for d, t, s in passages(9))]
+    rows += [(500, "abc" * 700 + "x" + "abc" * 30, "s"), (501, "zabc" + "abc" * 400, "s"), (40, " " * 400 + "end", "s")]
+    got = suffix_dedup.remove_repeats(frame(spark, rows), group_bytes=5000, hot=hot, range_rows=500, block=300, heavy=20).collect()
+    assert sorted((tuple(r) for r in got), key=str) == repeats(rows)
+
+
+def test_settled_anchors_pass_no_hash_range_and_runs_are_counted():
+    blanks = np.frombuffer(b" " * 100_000 + b"-=" * 500, np.uint8)
+    h, c, at, n, times = suffix_dedup.anchors(blanks, np.array([0, 100_000, 101_000]), 50)
+    assert len(h) < 10 and (n * times).sum() == 99_951 + 951
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": ["-" * 80] * 300})
+    (got,) = suffix_dedup._map_anchors(50, 7, 1 << 17)([batch])
+    rows = got.to_pylist()
+    assert sum(r["n"] for r in rows if r["kind"] == 0) == 1 and sum(r["n"] for r in rows) == 300
+    for r in rows:
+        doc, _, a, n, times = suffix_dedup.unpack(r["body"], 5)
+        assert (a == 0).all() and (n * times == 31).all() and (r["kind"] == 0 or (suffix_dedup._group(doc, 7) == r["part"]).all())
+    live = pa.Table.from_pylist([{**r, "salt": 0} for r in rows if r["kind"] == 0] * 3)
+    assert pa.table(suffix_dedup._reduce(7)(live))["n"].to_pylist() == [3]          # one document's own
+
+
 def test_multikey_sort_finds_what_smaller_documents_have():
     rng = np.random.default_rng(0)
     buf = rng.integers(0, 2, 4000).astype(np.uint8)
