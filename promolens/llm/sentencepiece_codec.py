@@ -30,8 +30,8 @@ from .common import few, small_batches
 from .pieces import MODEL, SPACE, load_pieces
 
 UNKNOWN = 0
-#: Stands for a word mark of the text itself while its spaces are marks (a noncharacter, so in no piece).
-_OWN_MARK = "￿"
+#: Stands for a word mark of the text itself while its spaces are marks (a lone surrogate, so in no piece and no column).
+_OWN_MARK = "\ud800"
 _CACHE = 400_000
 
 

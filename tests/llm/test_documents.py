@@ -226,6 +226,13 @@ def test_sentencepiece(spark):
     assert all(back[d] == (t or "") for d, t, _ in rows)
 
 
+def test_sentencepiece_of_noncharacters(spark):
+    texts = ["\uffff", "a\uffff\u2581 \uffff b", "\ufffe\u2581", "\ud7ff\ue000\u2581\uffff"]
+    tokens = sentencepiece_codec.encode(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert tokens.where("round_trip").count() == len(texts)
+    assert {r.doc_id: r.text for r in sentencepiece_codec.decode(tokens).collect()} == dict(enumerate(texts))
+
+
 def test_language(spark):
     rnd = random.Random(6)
     stock = {"de": ["und", "nicht", "schön", "straße", "haus"], "en": ["the", "which", "house", "street", "nice"]}
