@@ -71,6 +71,20 @@ def test_graph_recall(spark):
     assert hits / total >= 0.9 and 9100 not in got
 
 
+def test_graph_recall_of_a_full_shard():
+    rng = np.random.default_rng(1)
+    u = rng.normal(size=(graph_ann.SHARD, 64))
+    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32)
+    graph, start = graph_ann.build_graph(u)
+    q = np.arange(0, len(u), 50)
+    exact = u[q] @ u.T
+    exact[np.arange(len(q)), q] = -2
+    found, _ = graph_ann.beam_search(u, graph, start, u[q], graph_ann.SEARCH_BEAM)
+    hits = sum(len(set([x for x in f if x != i][:5]) & set(b))
+               for i, f, b in zip(q.tolist(), found.tolist(), np.argsort(-exact, axis=1)[:, :5].tolist(), strict=True))
+    assert hits / (5 * len(q)) >= 0.9
+
+
 def test_empty_and_unusable_vectors(spark):
     none = table(spark, [(1, None), (2, [0.0])])
     assert sorted(map(tuple, pivot_join.near_duplicates(none).collect())) == [(1, 0, 1, True), (2, 0, 2, True)]
