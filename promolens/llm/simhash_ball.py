@@ -147,11 +147,11 @@ def deduplicate(docs: DataFrame, words: int = SHINGLE, max_bits: int = MAX_BITS)
     """One row of ``docs`` for each component: the one whose doc_id names it.
 
     Of rows that repeat that doc_id within the component, one stays. A component without any
-    doc_id keeps one row for each of its texts.
+    doc_id keeps one row, that of the least hash of its text.
     """
     named = near_duplicates(docs, words, max_bits)
-    leaders = (named.where("doc_id <=> component_id").groupBy("doc_id", "component", F.when(F.col("doc_id").isNull(), F.col("text_hash")))
-               .agg(F.min("text_hash").alias("_h")).select(F.col("doc_id").alias("_d"), "_h").distinct())
+    leader = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("l")
+    leaders = named.groupBy("component").agg(leader).select(F.col("l.doc_id").alias("_d"), F.col("l.text_hash").alias("_h")).distinct()
     keyed = boxed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("row.text").cast("string")).alias("text_hash"))
     kept = keyed.join(leaders, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0)))

@@ -130,6 +130,13 @@ def test_simhash(spark):
     assert simhash_ball.fingerprint("  ") == 0 and simhash_ball.fingerprint(None) == 0
 
 
+def test_simhash_component_without_ids_keeps_one_row(spark):
+    texts = ["one two three", "ONE two three", "one\ttwo  three"]
+    rows = [(None, t, "s") for t in texts * 2] + [(None, "quite another text here", "s"), (4, "five six seven", "s"), (None, "FIVE six seven", "s")]
+    kept = [(r.doc_id, r.text.lower().split()) for r in simhash_ball.deduplicate(frame(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, texts[0].split()), (None, "quite another text here".split()), (4, "five six seven".split())], key=str)
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3, 4])
 def test_ball_links(spark, bits):
     rng = np.random.default_rng(bits)
