@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (graph_ann, html_extract, lang_id, mixing, pii_bootstrap, pivot_join, sentencepiece_codec, simhash_ball,
-               suffix_dedup, toxicity)
+from . import (graph_ann, html_extract, lang_id, link_trust, mixing, phrase_tiles, pii_bootstrap, pivot_join, sentencepiece_codec,
+               simhash_ball, suffix_dedup, toxicity, whitening)
 from .common import held_out, read
 
 
@@ -68,7 +68,30 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language, op3_sentencepiece, op4_main_text, op5_toxicity, op6_personal_data, op7_graph_neighbours, op8_pivot_join, op9_simhash_ball, op10_systematic_mix)}
+def op11_phrase_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_tiles.phrases(read(spark, sf_dir, "documents"))
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op2_language, op3_sentencepiece, op4_main_text, op5_toxicity, op6_personal_data, op7_graph_neighbours, op8_pivot_join,
+    op9_simhash_ball, op10_systematic_mix, op11_phrase_tiles, op12_jacobi_whitening, op13_link_trust)}
+
+
+def _link_rounds(rounds: int, damping: float) -> str:
+    """The scores of every round, each from the one before."""
+    step = """s{n} AS (SELECT kind, u, sum(score) AS score FROM (
+    SELECT s.kind, w.v AS u, s.score * w.w * {d} AS score FROM s{b} s JOIN ways w ON s.kind = w.kind AND s.u = w.u
+    UNION ALL SELECT kind, u, score FROM s0) GROUP BY kind, u)"""
+    return ",\n".join(step.format(n=i, b=i - 1, d=damping) for i in range(1, rounds + 1))
+
 
 ORACLE: dict[str, str] = {
     "op10_systematic_mix": r"""
@@ -98,4 +121,58 @@ rated AS (
 SELECT doc_id, size, source_size, target,
        size * least((floor(u + rate * k::DOUBLE) - floor(u + rate * (k - 1)::DOUBLE))::BIGINT, 3) AS taken
 FROM rated""",
+    "op11_phrase_tiles": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS m, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(a)::HUGEINT AS n FROM f WHERE m = 1 GROUP BY lang),
+parts AS (
+  SELECT lang, m, phrase, a, k, string_split(phrase, ' ') AS w FROM f, (VALUES (1), (2)) cuts(k) WHERE m > k AND a >= 10),
+cut AS (
+  SELECT p.lang, p.m, p.phrase, p.a, p.k, x.a AS l, y.a AS r, 1000000 * p.a * p.a // (x.a * y.a) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.m = p.k AND x.phrase = array_to_string(p.w[1:p.k], ' ')
+  JOIN f y ON y.lang = p.lang AND y.m = p.m - p.k AND y.phrase = array_to_string(p.w[p.k + 1:], ' ')),
+lowest AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_of AS (
+  SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM parts WHERE m = 3 AND k = 1),
+longest AS (SELECT lang, phrase, max(a) AS a FROM inner_of GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM lowest c LEFT JOIN longest g ON g.lang = c.lang AND g.phrase = c.phrase AND c.m = 2
+  WHERE g.a IS NULL OR 100 * g.a < 50 * c.a),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM placed JOIN sizes USING (lang) WHERE rank <= 2000""",
+    "op13_link_trust": r"""
+WITH parsed AS (
+  SELECT page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM parsed),
+judged AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS verdict FROM ruled),
+hosts AS (
+  SELECT host, count(*) FILTER (verdict = 'allow') / count(*)::DOUBLE AS good, count(*) FILTER (verdict = 'block') / count(*)::DOUBLE AS bad
+  FROM judged WHERE host <> '' GROUP BY host),
+found AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)<a\s[^<>]*?\bhref\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s>]+)', 1)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM judged WHERE host <> ''),
+edges AS (SELECT src, dst, count(*) AS n FROM found WHERE src <> dst GROUP BY ALL),
+two_way AS (SELECT 'trust' AS kind, src AS u, dst AS v, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+ways AS (SELECT kind, u, v, n / (sum(n) OVER (PARTITION BY kind, u))::DOUBLE AS w FROM two_way),
+s0 AS (SELECT 'trust' AS kind, host AS u, good AS score FROM hosts WHERE good > 0 UNION ALL SELECT 'distrust', host, bad FROM hosts WHERE bad > 0),
+""" + _link_rounds(link_trust.ROUNDS, link_trust.DAMPING) + f""",
+lasting AS (
+  SELECT u AS host, coalesce(sum(score) FILTER (kind = 'distrust'), 0) - coalesce(sum(score) FILTER (kind = 'trust'), 0) AS d
+  FROM s{link_trust.ROUNDS} GROUP BY u)
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN d >= {link_trust.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN lasting ON lasting.host = j.host AND j.host <> ''""",
 }
