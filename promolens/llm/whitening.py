@@ -164,7 +164,7 @@ def _factor(n_of: dict[int, int], most: int):
 
 
 def _whiten(x: np.ndarray, m: dict) -> np.ndarray:
-    return ((x - m["centre"]).astype(np.float64) - m["rest"]) @ m["c"].reshape(len(m["centre"]), -1)
+    return ((x - m["centre"]).astype(np.float64) - m["rest"]) @ m["c"].reshape(len(m["centre"]), len(m["e"]))
 
 
 def _deviation(x: np.ndarray, m: dict) -> list[int | None]:
