@@ -59,7 +59,7 @@ def large_percentiles(df: DataFrame, by: Sequence[str], key: str, ps: dict[str,
     (each row counts ``weight`` times).
 
     Runs eagerly. The distinct (group, key, count) table is written under the
-    checkpoint folder first. If it has at most ``map_max_keys`` rows (default
+    checkpoint folder first; :func:`counted_percentiles` does the rest. If it has at most ``map_max_keys`` rows (default
     ``MAP_MAX_KEYS``) the percentiles are one ``F.percentile`` aggregate with
     the counts as frequencies. Otherwise the radix rounds run, each over stored
     data with its small result written too, so every round is a shallow plan.
@@ -71,18 +71,30 @@ def large_percentiles(df: DataFrame, by: Sequence[str], key: str, ps: dict[str,
     """
     from ..plans.materialize import materialize
 
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    # Distinct keys with their multiplicity: duplicates collapse map-side.
+    counts = materialize(df.where(F.col(key).isNotNull()).groupBy(*by, F.col(key).cast("long").alias("_key"))
+                         .agg(F.sum(w).alias("_count")), "pct-keys")
+    return counted_percentiles(counts, by, "_key", "_count", ps, decode, map_max_keys)
+
+
+def counted_percentiles(counts: DataFrame, by: Sequence[str], key: str, count: str, ps: dict[str, float],
+                        decode: Callable[[Column], Column], map_max_keys: int | None = None) -> DataFrame:
+    """:func:`large_percentiles` of a stored table that holds (group, key, count) already.
+
+    The same table can carry sums for the siblings of a percentile (count, total, maximum), so that
+    all of them come from one pass over the rows. A NULL key is ignored; a (group, key) may occur in several rows.
+    """
+    from ..plans.materialize import materialize
+
     by = list(by)
     # All rounds are keyed by one struct column: a struct with NULL fields is
     # itself non-NULL and equal to its copy, so NULL group keys survive joins.
     gk = F.struct(*[F.col(b) for b in by]) if by else F.struct(F.lit(0).alias("_g0"))
-    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    # Distinct keys with their multiplicity: duplicates collapse map-side.
-    vc = materialize(df.where(F.col(key).isNotNull())
-                       .groupBy(gk.alias(_G), F.col(key).cast("long").alias("_k"))
-                       .agg(F.sum(w).alias("_c")), "pct-keys")
+    vc = counts.where(F.col(key).isNotNull()).select(gk.alias(_G), F.col(key).cast("long").alias("_k"), F.col(count).cast("long").alias("_c"))
     lo_hi = vc.agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if lo_hi["lo"] is None:
-        return df.select(*by, *[F.lit(None).cast("double").alias(n) for n in ps]).where(F.lit(False))
+        return counts.select(*by, *[F.lit(None).cast("double").alias(n) for n in ps]).where(F.lit(False))
     if lo_hi["n"] <= (MAP_MAX_KEYS if map_max_keys is None else map_max_keys):
         v = decode(F.col("_k"))
         out = vc.groupBy(_G).agg(*[F.percentile(v, F.lit(float(p)), F.col("_c")).alias(name)

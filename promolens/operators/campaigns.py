@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.order import asc, desc
 from ..functions.exprs import (MIN_DAILY_ITEMS, avg_exact, completed_amount, dbl, exact_div,
                                inclusive_days, leaked_in_amount, median_out, pct)
+from ..plans.bloom import might_match
+from ..plans.grains import add_up, per_identifier
 from ..plans.joins import join_null_safe
 from ..plans.materialize import materialize
 from ..sources.tables import Tables
@@ -40,24 +42,46 @@ def campaign_items(t: Tables) -> DataFrame:
     return t.item_orders(campaign=True).join(c, "campaign_id")
 
 
-def campaign_summary(t: Tables) -> DataFrame:
-    """One row per campaign with the additive item totals and distinct counts.
+_TOTALS = ["gmv", "realized", "leaked", "comm", "maint", "rev", "disc_sum", "disc_n"]
 
-    Built once per table bundle and stored (lift, leakage, the main mart,
-    the yearly and per-event rollups all read it). Sums stay exact decimals.
+
+def campaign_orders(t: Tables) -> DataFrame:
+    """One row per (campaign_id, order, customer) of campaign orders, with its item totals.
+
+    The one scan of the campaign items: per-campaign totals, distinct orders,
+    distinct buyers and the buyers of a year all come from this stored table.
     """
     def build() -> DataFrame:
-        g = campaign_items(t).groupBy(*CAMPAIGN_COLS).agg(
+        return materialize(per_identifier(t.item_orders(campaign=True), ["campaign_id"], ["order_id", "customer_id"], [
             F.sum("line_total").alias("gmv"),
             F.sum(completed_amount()).alias("realized"),
             F.sum(leaked_in_amount()).alias("leaked"),
             F.sum("commission_amount").alias("comm"),
             F.sum("maintenance_amount").alias("maint"),
             F.sum(revenue_expr()).alias("rev"),
-            F.count_distinct("order_id").alias("total_orders"),
-            F.count_distinct("customer_id").alias("unique_buyers"),
             F.sum("discount_percent").alias("disc_sum"),
-            F.count("discount_percent").alias("disc_n"))
+            F.count("discount_percent").alias("disc_n")]), "campaign-orders")
+    return t.shared("campaign_orders", build)
+
+
+def campaign_summary(t: Tables) -> DataFrame:
+    """One row per campaign with the additive item totals and distinct counts.
+
+    Built once per table bundle and stored (lift, leakage, the main mart,
+    the yearly and per-event rollups all read it). Sums stay exact decimals.
+    Orders and buyers are counted side by side as rows of one column each, so
+    neither count expands the rows of the other.
+    """
+    def build() -> DataFrame:
+        o = campaign_orders(t)
+        orders = per_identifier(o, ["campaign_id"], ["order_id"], add_up(o, _TOTALS))
+        orders = orders.withColumn("is_order", F.col("order_id").isNotNull().cast("long")).withColumn("is_buyer", F.lit(0).cast("long"))
+        buyers = o.where(F.col("customer_id").isNotNull()).groupBy("campaign_id", "customer_id").agg(F.lit(1).cast("long").alias("is_buyer"))
+        both = orders.drop("order_id").unionByName(buyers.drop("customer_id"), allowMissingColumns=True)
+        per_id = both.groupBy("campaign_id").agg(
+            F.coalesce(F.sum("is_order"), F.lit(0)).alias("total_orders"), F.sum("is_buyer").alias("unique_buyers"), *add_up(both, _TOTALS))
+        g = per_id.join(t.campaigns_small().select(*CAMPAIGN_COLS), "campaign_id").groupBy(*CAMPAIGN_COLS).agg(
+            *add_up(per_id, _TOTALS), F.max("total_orders").alias("total_orders"), F.max("unique_buyers").alias("unique_buyers"))
         return materialize(g, "campaign-summary")
     return t.shared("campaign_summary", build)
 
@@ -183,10 +207,11 @@ def campaign_cvr_and_lift(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) ->
 
     Sessions decide the campaign; the orders they reached bring their items,
     so an order reached by two sessions counts twice (as in the source).
-    Sessions are first counted per (campaign, order key) and the items joined
-    to those counts as weights: sessions without an order never enter a join,
-    and only items of reached orders pass it (Spark's runtime filter drops the
-    others before the exchange when that pays). The text order key is cast
+    Sessions are first counted per (campaign, order key), stored, and the items
+    joined to those counts as weights: sessions without an order never enter a
+    join, and a Bloom filter of the reached order keys drops most other items
+    in their scan, before the exchange (``plans/bloom.py``; while its proven
+    size allows). The text order key is cast
     leniently (``try_cast``); non-numeric text converts to NULL instead of
     failing and is reported by ``fk_orphans``.
     """
@@ -195,10 +220,12 @@ def campaign_cvr_and_lift(t: Tables, min_daily_items: int = MIN_DAILY_ITEMS) ->
     run = ["campaign_name", "campaign_type", "start_date", "end_date"]
     s = (t.website_sessions.where(F.col("campaign_id").isNotNull())
            .select("session_id", "campaign_id", "order_id").join(c, "campaign_id"))
-    reached = (s.withColumn("_okey", F.col("order_id").try_cast("long"))
-                .where(F.col("_okey").isNotNull())
-                .groupBy(*run, "_okey").agg(F.count(F.lit(1)).alias("_times")))
+    found = (s.withColumn("_okey", F.col("order_id").try_cast("long"))
+              .where(F.col("_okey").isNotNull())
+              .groupBy(*run, "_okey").agg(F.count(F.lit(1)).alias("_times")))
+    reached = t.shared("reached_orders", lambda: materialize(found, "reached-orders"))
     items = t.item_orders().select(F.col("order_id").alias("_okey"), "line_total", revenue_expr().alias("_rev"))
+    items = might_match(items, "_okey", reached, "_okey", reached.count())
     times = F.col("_times").cast("decimal(12,0)")
     money = items.join(reached, "_okey").groupBy(*run).agg(
         F.sum(F.col("line_total") * times).alias("gmv"), F.sum(F.col("_rev") * times).alias("rev"))
@@ -223,10 +250,15 @@ def campaign_cvr(t: Tables) -> DataFrame:
 # --- M09, N03 -----------------------------------------------------------------------
 
 def _campaign_year_revenue(t: Tables) -> DataFrame:
-    return campaign_items(t).groupBy(campaign_year().alias("year")).agg(
-        F.count_distinct("campaign_id").alias("campaigns"),
-        F.count_distinct("customer_id").alias("unique_buyers"),
-        F.round(F.sum(revenue_expr()), 0).alias("campaign_revenue"))
+    """Per campaign year: campaigns, buyers and revenue, from the stored campaign tables (no scan of the items)."""
+    years = t.campaigns_small().select("campaign_id", campaign_year().alias("year"))
+    buyers = (campaign_orders(t).select("campaign_id", "customer_id").where(F.col("customer_id").isNotNull())
+              .join(years, "campaign_id").groupBy("year", "customer_id").agg(F.lit(1).alias("_one"))
+              .groupBy("year").agg(F.count(F.lit(1)).alias("unique_buyers")))
+    totals = campaign_summary(t).groupBy(campaign_year().alias("year")).agg(
+        F.count_distinct("campaign_id").alias("campaigns"), F.round(F.sum("rev"), 0).alias("campaign_revenue"))
+    return join_null_safe(totals, buyers, ["year"], "left").select(
+        "year", "campaigns", F.coalesce("unique_buyers", F.lit(0)).alias("unique_buyers"), "campaign_revenue")
 
 
 def yearly_revenue_growth(t: Tables) -> DataFrame:

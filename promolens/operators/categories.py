@@ -1,7 +1,7 @@
 """Category metrics of campaign orders: order values, shares, item values.
 
-Item-level medians use ``large_percentiles`` (groups grow with the data);
-shares of a grand total are windows over the already aggregated
+All of them read one stored table of campaign items by category, order and value (:func:`shelf`); item-level
+medians use the exact distributed percentiles (groups grow with the data); shares of a grand total are windows over the already aggregated
 one-row-per-category result.
 
 Keys: M14 category_order_value, M15 category_share,
@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from ..functions.order import desc
 from ..functions.exprs import (avg_exact, cents, completed_amount, dbl, exact_div,
                                leaked_in_amount, median_out, pct)
-from ..functions.percentile import large_percentiles
+from ..functions.percentile import counted_percentiles, large_percentiles
+from ..plans.grains import add_up, per_identifier
 from ..plans.joins import bounded_broadcast, join_null_safe
 from ..plans.materialize import materialize
 from ..sources.tables import Tables
-from .campaigns import campaign_items, campaign_year
+from .campaigns import campaign_year
 
 TOP_CATEGORIES = 2
 
@@ -35,6 +36,35 @@ def _campaign_items_with_category(t: Tables) -> DataFrame:
     return t.item_orders(campaign=True).join(p, "product_id")
 
 
+_SUMS = ["n_items", "gmv", "realized", "leaked", "comm", "comm_n", "disc", "disc_n"]
+
+
+def shelf(t: Tables) -> DataFrame:
+    """Campaign items by (campaign_id, category, order_id, cents): ``lines`` and their sums, stored.
+
+    The one scan of the campaign items for the category metrics: item medians take ``cents`` with ``lines`` as its
+    count, orders are counted on (category, order) rows, and every total is a sum of its sums.
+    """
+    def build() -> DataFrame:
+        return materialize(per_identifier(_campaign_items_with_category(t), ["campaign_id", "category"], ["order_id", cents("line_total").alias("cents")], [
+            F.count(F.lit(1)).alias("lines"),
+            F.count("order_item_id").alias("n_items"),
+            F.sum("line_total").alias("gmv"),
+            F.sum(completed_amount()).alias("realized"),
+            F.sum(leaked_in_amount()).alias("leaked"),
+            F.sum("commission_amount").alias("comm"),
+            F.count("commission_amount").alias("comm_n"),
+            F.sum("discount_percent").alias("disc"),
+            F.count("discount_percent").alias("disc_n")]), "shelf")
+    return t.shared("shelf", build)
+
+
+def _per_group(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals of shelf rows per ``keys`` with the number of distinct orders (two levels, no Expand)."""
+    per_order = per_identifier(rows, keys, ["order_id"], add_up(rows, _SUMS))
+    return per_order.groupBy(*keys).agg(F.count("order_id").alias("total_orders"), *add_up(per_order, _SUMS))
+
+
 def category_order_value(t: Tables) -> DataFrame:
     """Value of campaign orders per category (order x category sums).
 
@@ -43,17 +73,22 @@ def category_order_value(t: Tables) -> DataFrame:
     change; the percentiles do, and are computed here with the product count
     of the category as the frequency of each value instead of the fan-out.
     """
-    ov = (_campaign_items_with_category(t)
-          .groupBy("order_id", "category").agg(F.sum("line_total").alias("order_value")))
+    rows = shelf(t).where(F.col("category").isNotNull())
+    ov = rows.groupBy("order_id", "category").agg(*add_up(rows, ["gmv"]))
     n_products = (t.products.where(F.col("category").isNotNull())
                   .groupBy("category").agg(F.count(F.lit(1)).alias("n_products")))
-    x = ov.join(bounded_broadcast(n_products), "category")     # one row per category
-    base = x.groupBy("category").agg(
-        F.count_distinct("order_id").alias("total_orders"),
-        avg_exact("order_value", 2).alias("mean"),
-        F.max("order_value").alias("mx"))
-    q = large_percentiles(x.withColumn("_k", cents("order_value")), ["category"], "_k",
-                          {"median": 0.5, "p90": 0.9}, _from_cents, weight="n_products")
+    # One stored (category, value, counts) table gives the counts, the mean, the maximum and the percentiles.
+    values = (ov.groupBy("category", cents("gmv").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count("order_id").alias("n_orders"))
+              .join(bounded_broadcast(n_products), "category")       # one row per category
+              .withColumn("times", F.col("n") * F.col("n_products")))
+    values = materialize(values, "order-values")
+    money = lambda c: (c.cast("decimal(30,0)") * F.lit("0.01").cast("decimal(3,2)"))
+    base = values.groupBy("category").agg(
+        F.sum("n_orders").alias("total_orders"),
+        exact_div(money(F.sum(F.col("k").cast("decimal(20,0)") * F.col("n").cast("decimal(10,0)"))),
+                  F.sum(F.when(F.col("k").isNotNull(), F.col("n"))), 2, 0).alias("mean"),
+        money(F.max("k")).alias("mx"))
+    q = counted_percentiles(values, ["category"], "k", "times", {"median": 0.5, "p90": 0.9}, _from_cents)
     j = join_null_safe(base, q, ["category"], "left")
     return j.select("category", "total_orders",
                     dbl("mean", 0).alias("mean_order_value"),
@@ -64,14 +99,8 @@ def category_order_value(t: Tables) -> DataFrame:
 
 def _category_totals(t: Tables) -> DataFrame:
     """Campaign orders per category: orders, GMV, realized GMV, mean commission (stored once)."""
-    def build() -> DataFrame:
-        x = _campaign_items_with_category(t)
-        return materialize(x.groupBy("category").agg(
-            F.count_distinct("order_id").alias("total_orders"),
-            F.sum("line_total").alias("gmv"),
-            F.sum(completed_amount()).alias("realized"),
-            avg_exact("commission_amount", 2).alias("comm")), "category-totals")
-    return t.shared("category_totals", build)
+    return t.shared("category_totals", lambda: materialize(
+        _per_group(shelf(t), ["category"]).withColumn("comm", exact_div("comm", "comm_n", 2, 0)), "category-totals"))
 
 
 def category_share(t: Tables) -> DataFrame:
@@ -83,8 +112,7 @@ def category_share(t: Tables) -> DataFrame:
     g = (_category_totals(t)
          .withColumn("all_orders", F.sum("total_orders").over(everything))
          .withColumn("all_gmv", F.sum("gmv").over(everything)))
-    x = _campaign_items_with_category(t).withColumn("_k", cents("line_total"))
-    med = large_percentiles(x, ["category"], "_k", {"median_item_value": 0.5}, _from_cents)
+    med = counted_percentiles(shelf(t), ["category"], "cents", "lines", {"median_item_value": 0.5}, _from_cents)
     j = join_null_safe(g, med, ["category"], "left")
     return j.select(
         "category", "total_orders",
@@ -121,22 +149,13 @@ def category_discount_return(t: Tables) -> DataFrame:
 
 def fact_category_performance(t: Tables) -> DataFrame:
     """Campaign x category mart with shares within the campaign."""
-    p = t.products_small("product_id", "category")
-    x = campaign_items(t).join(p, "product_id")
-    keys = ["campaign_id", "category", "start_date"]
-    g = x.groupBy(*keys).agg(
-        F.count("order_item_id").alias("total_items"),
-        F.count_distinct("order_id").alias("total_orders"),
-        F.sum("line_total").alias("gmv"),
-        F.sum(completed_amount()).alias("realized"),
-        F.sum(leaked_in_amount()).alias("leaked"),
-        avg_exact("discount_percent", 2).alias("disc"),
-        F.sum("commission_amount").alias("comm"))
+    x = shelf(t).join(t.campaigns_small().select("campaign_id", "start_date"), "campaign_id")
+    g = (_per_group(x, ["campaign_id", "category", "start_date"]).withColumn("disc", exact_div("disc", "disc_n", 2, 0))
+         .withColumnRenamed("n_items", "total_items"))
     in_campaign = Window.partitionBy("campaign_id")   # categories of one campaign: bounded
     g = (g.withColumn("c_gmv", F.sum("gmv").over(in_campaign))
           .withColumn("c_orders", F.sum("total_orders").over(in_campaign)))
-    med = large_percentiles(x.withColumn("_k", cents("line_total")), ["campaign_id", "category"], "_k",
-                            {"median_item_value": 0.5}, _from_cents)
+    med = large_percentiles(x, ["campaign_id", "category"], "cents", {"median_item_value": 0.5}, _from_cents, weight="lines")
     j = join_null_safe(g, med, ["campaign_id", "category"], "left")
     return j.select(
         "campaign_id", "category", campaign_year().alias("campaign_year"),

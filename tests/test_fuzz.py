@@ -126,7 +126,7 @@ def test_random_rows_match_oracle_radix(fuzz, name, monkeypatch):
     from promolens.functions import percentile
     monkeypatch.setattr(percentile, "MAP_MAX_KEYS", 0)
     t, con = fuzz
-    t._cache.pop(("shared", "session_flags"), None)
+    t._cache.pop(("shared", "session_masks"), None)
     r = compare(REGISTRY[name](t), con, Q[name])
     assert r["match"], r
 
