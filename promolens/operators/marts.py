@@ -9,6 +9,8 @@ M26 in daily. :func:`build_marts` returns all eight by table name and
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ..functions.exprs import (MIN_DAILY_ITEMS, avg_exact, completed_amount, dbl
 from ..sources.tables import Tables
 from ..plans.grains import add_up, day_mask, days_in, per_identifier
 from ..plans.materialize import materialize
+from ..plans.publish import publish
 from .campaigns import (ATTRIBUTION_COLS, CAMPAIGN_COLS, attribution_counts, campaign_cvr, campaign_summary, campaign_year,
                         revenue_expr)
 from .categories import fact_category_performance
@@ -158,21 +161,30 @@ def build_marts(t: Tables) -> dict[str, DataFrame]:
 
 
 def write_marts(t: Tables, out_dir: str, mode: str = "overwrite") -> dict[str, str]:
-    """Write the eight derived tables as Parquet under ``out_dir`` (one folder each)."""
-    paths = {}
-    for name, df in build_marts(t).items():
-        path = f"{out_dir.rstrip('/')}/{name}"
-        df.write.mode(mode).parquet(path)
-        paths[name] = path
-    return paths
+    """Write the eight derived tables as Parquet under ``out_dir`` (one folder each), all or none of them."""
+    def writer(df: DataFrame):
+        return lambda path: df.write.parquet(path)
+    return publish(t.spark, out_dir, {name: writer(df) for name, df in build_marts(t).items()}, mode=mode)
 
 
 def save_marts(t: Tables, database: str | None = None, mode: str = "overwrite") -> list[str]:
     """``CREATE TABLE ... AS SELECT`` for the eight derived tables, as catalog tables."""
     from ..sources.raw import use_schema
 
+    spark = t.spark
     if database:
-        use_schema(t.spark, database, create=True)
-    for name, df in build_marts(t).items():
-        df.write.mode(mode).saveAsTable(name)
+        use_schema(spark, database, create=True)
+    made = uuid.uuid4().hex[:12]
+    try:
+        for name, df in build_marts(t).items():                  # a failure here leaves the tables as they were
+            if mode != "overwrite" and spark.catalog.tableExists(name):
+                raise FileExistsError(name)
+            df.write.saveAsTable(f"{name}_{made}")
+        for name in MART_BUILDERS:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            spark.sql(f"ALTER TABLE `{name}_{made}` RENAME TO `{name}`")
+    except BaseException:
+        for name in MART_BUILDERS:
+            spark.sql(f"DROP TABLE IF EXISTS `{name}_{made}`")
+        raise
     return list(MART_BUILDERS)

@@ -1,8 +1,9 @@
 """Input checks and preparation jobs (the DDL constraints re-aimed as jobs).
 
-Every check is an aggregate over a whole table (or an anti join), so it is
-one scan per table; per-table results are small and are stacked with
-``unionByName``.
+Row counts, keys and NULLs of a table come from one scan of it, shared by four
+checks; references are anti joins of counted keys, co-partitioned where the
+stored layout buckets both sides. Per-table results are small and are stacked
+with ``unionByName``.
 
 Keys: Q01 pk_uniqueness, Q02 fk_orphans, Q03 not_null_violations,
 Q04 null_profile, Q05 table_profile, Q06 distinct_profile,
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DOCUMENTED_STATUSES, pct
+from ..plans.materialize import materialize
 from ..sources.schemas import NOT_NULL_COLUMNS, PRIMARY_KEYS, RAW_SCHEMAS
 from ..sources.raw import midnight_date
 from ..sources.tables import Tables
@@ -38,16 +40,28 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def profile(t: Tables) -> DataFrame:
+    """(table_name, n_rows, n_distinct, n_null, nulls): rows, keys and NULLs of every column, one scan per table.
+
+    Stored once per bundle (seven rows); the row counts, key checks, NOT NULL checks and the NULL profile read it.
+    One distinct count per table beside plain counts needs no Expand. ``nulls`` is an array of (column_name, n).
+    """
+    def build() -> DataFrame:
+        frames = []
+        for name, df in t.as_dict().items():
+            cols = [f.name for f in RAW_SCHEMAS[name].fields]
+            nulls = [F.struct(F.lit(c).alias("column_name"), F.count(F.when(F.col(c).isNull(), 1)).alias("n")) for c in cols]
+            k = F.col(PRIMARY_KEYS[name])
+            frames.append(df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"),
+                                 F.count_distinct(k).alias("n_distinct"), F.count(F.when(k.isNull(), 1)).alias("n_null"),
+                                 F.array(*nulls).alias("nulls")))
+        return materialize(_stack(frames), "profile")
+    return t.shared("profile", build)
+
+
 def pk_uniqueness(t: Tables) -> DataFrame:
     """Q01: rows, distinct and NULL primary keys per table."""
-    frames = []
-    for name, df in t.as_dict().items():
-        k = F.col(PRIMARY_KEYS[name])
-        frames.append(df.agg(F.lit(name).alias("table_name"),
-                             F.count(F.lit(1)).alias("n_rows"),
-                             F.count_distinct(k).alias("n_distinct"),
-                             F.count(F.when(k.isNull(), 1)).alias("n_null")))
-    return _stack(frames)
+    return profile(t).select("table_name", "n_rows", "n_distinct", "n_null")
 
 
 def fk_orphans(t: Tables) -> DataFrame:
@@ -82,31 +96,26 @@ def fk_orphans(t: Tables) -> DataFrame:
     ])
 
 
-def _null_counts(df: DataFrame, table: str, cols: tuple[str, ...]) -> DataFrame:
-    a = df.agg(F.count(F.lit(1)).alias("_n"),
-               *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols])
-    long = a.unpivot(["_n"], list(cols), "column_name", "n_null")
-    return long.select(F.lit(table).alias("table_name"), "column_name", "n_null", "_n")
+def _null_counts(t: Tables, columns: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(table_name, column_name, n_null, _n) of the given columns, from the stored profile."""
+    wanted = reduce(lambda x, y: x | y, [(F.col("table_name") == name) & F.col("column_name").isin(*cols) for name, cols in columns.items()])
+    return (profile(t).select("table_name", F.col("n_rows").alias("_n"), F.explode("nulls").alias("c"))
+            .select("table_name", "c.column_name", F.col("c.n").alias("n_null"), "_n").where(wanted))
 
 
 def not_null_violations(t: Tables) -> DataFrame:
     """Q03: NULLs in NOT NULL columns."""
-    d = t.as_dict()
-    return _stack([_null_counts(d[name], name, cols).drop("_n")
-                   for name, cols in NOT_NULL_COLUMNS.items()])
+    return _null_counts(t, NOT_NULL_COLUMNS).drop("_n")
 
 
 def null_profile(t: Tables) -> DataFrame:
     """Q04: NULL share of every nullable column, in percent."""
-    d = t.as_dict()
-    x = _stack([_null_counts(d[name], name, cols) for name, cols in NULLABLE_PROFILE.items()])
-    return x.select("table_name", "column_name", pct("n_null", "_n", 2).alias("null_pct"))
+    return _null_counts(t, NULLABLE_PROFILE).select("table_name", "column_name", pct("n_null", "_n", 2).alias("null_pct"))
 
 
 def table_profile(t: Tables) -> DataFrame:
     """Q05: row count per raw table."""
-    return _stack([df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
-                   for name, df in t.as_dict().items()])
+    return profile(t).select("table_name", "n_rows")
 
 
 def distinct_profile(t: Tables) -> DataFrame:

@@ -83,7 +83,7 @@ def test_batch_job_writes_marts_and_reports(spark):
     root = tempfile.mkdtemp(prefix="promolens-job-")
     jobs.main(["--raw", f"{root}/raw", "--load-fixture", SF001, "--marts", f"{root}/marts",
                "--reports", f"{root}/reports", "--only", "fact_daily_baseline", "overall_cvr"])
-    assert sorted(os.listdir(f"{root}/marts")) == sorted(marts.MART_BUILDERS)
+    assert sorted(x for x in os.listdir(f"{root}/marts") if not x.startswith(".")) == sorted([*marts.MART_BUILDERS, "manifest.json"])
     got = spark.read.parquet(f"{root}/reports/overall_cvr")
     assert got.count() == 2
     stored = spark.read.parquet(f"{root}/marts/fact_daily_baseline").collect()
@@ -114,3 +114,76 @@ def test_missing_column_and_bad_date_stop_the_load(spark):
         with pytest.raises(Exception):
             bad = spark.createDataFrame([(text,)], "d string")
             bad.select(raw.midnight_date(bad["d"])).collect()
+
+
+def _broken(spark):
+    from pyspark.sql import functions as F
+    return spark.range(4).select(F.raise_error(F.lit("broken on purpose")).cast("long").alias("x"))
+
+
+def test_failed_mart_write_leaves_the_old_tables(spark, monkeypatch, tmp_path):
+    import pytest
+    t = fixture.load(spark, SF001)
+    out = str(tmp_path / "marts")
+    small = {"dim_category": marts.dim_category, "dim_campaign": marts.dim_campaign}
+    monkeypatch.setattr(marts, "MART_BUILDERS", small)
+    paths = marts.write_marts(t, out)
+    before = {n: _rows(spark.read.parquet(p)) for n, p in paths.items()}
+    manifest = open(f"{out}/manifest.json").read()
+    monkeypatch.setattr(marts, "MART_BUILDERS", {**small, "dim_campaign": lambda t: _broken(spark)})
+    with pytest.raises(Exception, match="broken on purpose"):
+        marts.write_marts(t, out)
+    assert {n: _rows(spark.read.parquet(p)) for n, p in paths.items()} == before
+    assert open(f"{out}/manifest.json").read() == manifest and not [x for x in os.listdir(out) if x.startswith("_")]
+    with pytest.raises(FileExistsError):
+        marts.write_marts(t, out, mode="errorifexists")
+
+
+def test_failed_swap_is_undone(spark, monkeypatch, tmp_path):
+    import pytest
+    from promolens.plans import publish as P
+    out = str(tmp_path / "x")
+    write = lambda n: {k: (lambda path, v=n + i: spark.range(v).write.parquet(path)) for i, k in enumerate(("a", "b"))}
+    P.publish(spark, out, write(3))
+    first = P.published(spark, out)
+    real, calls = P._Files.rename, []
+
+    def rename(self, old, new):
+        calls.append(new)
+        if new.endswith("/b"):
+            raise OSError("no rename")
+        real(self, old, new)
+    monkeypatch.setattr(P._Files, "rename", rename)
+    with pytest.raises(OSError):
+        P.publish(spark, out, write(7))
+    monkeypatch.setattr(P._Files, "rename", real)
+    assert spark.read.parquet(f"{out}/a").count() == 3 and spark.read.parquet(f"{out}/b").count() == 4
+    assert P.published(spark, out) == first and len(calls) >= 2
+    P.publish(spark, out, write(7))
+    assert spark.read.parquet(f"{out}/a").count() == 7 and spark.read.parquet(f"{out}/b").count() == 8 and P.published(spark, out) != first
+
+
+def test_failed_catalog_marts_keep_the_old_tables(spark, monkeypatch):
+    import pytest
+    t = fixture.load(spark, SF001)
+    monkeypatch.setattr(marts, "MART_BUILDERS", {"dim_category": marts.dim_category, "dim_campaign": marts.dim_campaign})
+    marts.save_marts(t, "atomic_marts")
+    before = _rows(spark.table("dim_category"))
+    monkeypatch.setattr(marts, "MART_BUILDERS", {"dim_category": lambda t: marts.dim_category(t).limit(1), "dim_campaign": lambda t: _broken(spark)})
+    with pytest.raises(Exception, match="broken on purpose"):
+        marts.save_marts(t, "atomic_marts")
+    assert _rows(spark.table("dim_category")) == before
+    assert sorted(x.name for x in spark.catalog.listTables("atomic_marts")) == ["dim_campaign", "dim_category"]
+    spark.catalog.setCurrentDatabase("default")
+
+
+def test_hot_key_is_stored_without_buckets(spark, tmp_path, monkeypatch):
+    from promolens.plans.publish import published
+    monkeypatch.setattr(raw, "HOT_ROWS", 1)
+    t = fixture.load(spark, SF001)
+    one = t.session_activities.withColumn("session_id", t.website_sessions.agg({"session_id": "max"}).scalar())
+    t.session_activities = one
+    raw.write_raw(t, str(tmp_path / "raw"), buckets=8)
+    layout = published(spark, str(tmp_path / "raw"))["layout"]
+    assert "raw_session_activities" not in layout and layout["raw_orders"] == {"buckets": 8}
+    assert raw.read_raw(spark, str(tmp_path / "raw")).session_activities.count() == one.count()
