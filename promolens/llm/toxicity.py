@@ -1,8 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are hashes of its words, of their first letters (4 and 5), of pairs of neighbours
-and of pairs around one word, each once for each text, and valued 1 / sqrt of their number. FTRL-proximal
-gives every coordinate a learning rate of its own, and its L1 term leaves most weights exactly zero;
+and of pairs around one word, each once for each text, with the value 1. FTRL-proximal gives every coordinate a learning rate of its own, and its L1 term leaves most weights exactly zero;
 the rest, at most 2**BITS numbers, are sent to the tasks.
 
 The fit uses a bounded sample: the ``TRAIN_DOCS`` labelled rows with the least hash of their doc_id.
@@ -10,8 +9,9 @@ Scoring covers every word of every text.
 
 Nulls: a null text is an empty one; it scores like any text without features, by the bias alone. A row
 without a label, or with a null one, teaches nothing; of repeated labels the largest counts. With no
-labelled rows at all every score is nearly 0. Texts over 1 MB are read in parts that end with a
-word; pairs across two parts are no features.
+labelled rows at all every score is nearly 0. Of rows that repeat a doc_id the one with the least text
+teaches. Long texts are read in parts; each starts with the last two words of the part before, so the set
+of features, and with it the score, is that of the whole text, whatever stands beside it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import RangeHash, mix
-from .common import slices, small_batches
+from .common import small_batches
 from .suffix_dedup import _texts
 
 BITS = 20
@@ -70,10 +70,34 @@ def features(buf: np.ndarray, ranges: RangeHash, bits: int = BITS) -> tuple[np.n
 
 def text_features(text: bytes, ranges: RangeHash, bits: int = BITS) -> np.ndarray:
     """The distinct features of one text, part by part."""
-    found = [np.unique(features(np.frombuffer(p.encode(), np.uint8), ranges, bits)[1]) for p in slices(text.decode("utf-8", "replace"), _SLICE)]
+    found = [np.unique(features(p, ranges, bits)[1]) for p in _parts(np.frombuffer(text, np.uint8))]
     return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
 
 
+def _parts(buf: np.ndarray, size: int | None = None) -> Iterator[np.ndarray]:
+    """Parts of about ``size`` bytes, of three words at least, that end where a word does and start with the last two
+    words of the one before."""
+    size, start, end = _SLICE if size is None else size, 0, 0
+    while len(buf) - start > size:
+        end = max(end, start + size)
+        while end < len(buf):                               # to the next separator
+            gap = np.flatnonzero(_LOWER[buf[end:end + 4096]] == 0)
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(end + 4096, len(buf))
+        if end == len(buf):
+            break
+        inside = np.concatenate([[False], _LOWER[buf[start:end]] != 0])
+        begins = np.flatnonzero(inside[1:] & ~inside[:-1])
+        if len(begins) < 3:
+            end += size
+            continue
+        yield buf[start:end]
+        start += int(begins[-2])
+    yield buf[start:]
+
+
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """(weights, bias) by FTRL-proximal, one row at a time in a fixed shuffled order."""
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
@@ -104,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = TRAIN_
     small_batches(docs.sparkSession)
     known = labels.where(usable & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")             # at most ``most`` rows
+    sample = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")             # at most ``most`` rows
+              .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges = RangeHash(_SLICE)
@@ -125,7 +150,8 @@ def _score_texts(text: pa.Array, dense: np.ndarray, bias: float, ranges: RangeHa
         last = min(max(last, first + 1), len(text))
         if last == first + 1 and off[last] - off[first] > _SLICE:
             found = text_features(buf[off[first]:off[last]].tobytes(), ranges, bits)
-            total[first] += dense[found].sum(dtype=np.float64)
+            found = found[dense[found] != 0]                    # added up in the order in which _sums does
+            total[first] += np.bincount(np.zeros(len(found), np.int64), dense[found].astype(np.float64), minlength=1)[0]
         else:
             total[first:last] += _sums(buf, off, first, last, ranges, dense, bits)
         first = last
