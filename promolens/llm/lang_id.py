@@ -7,8 +7,9 @@ are fitted by expectation maximisation (forward-backward) on the words of a boun
 labelled documents: ``TRAIN_DOCS`` for each language, by least hash of the doc_id. Prediction
 covers every word of every text; only the pieces of the fit are sent to the tasks.
 
-Words are runs of letters, lower-cased, after a word mark; words over ``PART`` letters are cut
-into parts of that length, so that memory and the range of doubles suffice for any text.
+Words are runs of letters (Unicode L), lower-cased, after a word mark, however long: words over ``LONG`` letters
+take the forward pass one by one on logarithms, so that the range of doubles suffices. They teach nothing, only
+the fit on its sample leaves them out.
 
 Nulls: a text that is null or has no letters is ``und`` with score 0; so is every text if nothing
 could be learned. A null lang teaches nothing. Ties go to the language that is first by code point.
@@ -31,7 +32,7 @@ from .pieces import MODEL, SPACE, load_pieces
 
 TRAIN_DOCS = 600
 ROUNDS = 3
-PART = 32
+LONG = 32
 #: Probability mass that is spread evenly, so that an unseen piece is unlikely, not impossible.
 FLOOR = 1e-3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,8 +41,8 @@ _CACHE_WORDS = 500_000
 
 def words_of(text: str) -> list[str]:
     found = _WORD.findall(text.lower())
-    if any(len(w) > PART for w in found):
-        found = [w[i:i + PART] for w in found for i in range(0, len(w), PART)]
+    if not all(map(str.isalpha, found)):                    # digits of other kinds (superscripts, fractions, Roman) are no letters
+        found = [p for w in found for p in "".join(c if c.isalpha() else " " for c in w).split()]
     return found
 
 
@@ -101,6 +102,22 @@ def forward(arcs: tuple[np.ndarray, ...], n_words: int, p: np.ndarray) -> np.nda
     return alpha if p.ndim > 1 else alpha[:, :, 0]
 
 
+def forward_log(arcs: tuple[np.ndarray, ...], log_p: np.ndarray, length: int) -> np.ndarray:
+    """Log-probability [language] of one word of ``length`` places: the forward algorithm on logarithms."""
+    _, start, end, piece = arcs
+    alpha = np.full((length + 1, len(log_p)), -np.inf)
+    alpha[0] = 0.0
+    cut = np.searchsorted(end, np.arange(length + 2))
+    for t in range(1, length + 1):
+        s = slice(cut[t], cut[t + 1])
+        terms = alpha[start[s]] + log_p[:, piece[s]].T
+        top = terms.max(axis=0, initial=-np.inf)
+        top = np.where(np.isfinite(top), top, 0.0)
+        with np.errstate(divide="ignore"):
+            alpha[t] = top + np.log(np.exp(terms - top).sum(axis=0))
+    return alpha[length]
+
+
 def fit(words: list[str], counts: np.ndarray, lattice: Lattice, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language from its words."""
     size = lattice.n + 1
@@ -142,8 +159,9 @@ def train(docs: DataFrame, usable: Column, model: str = MODEL, per_lang: int = T
         mine = rows.filter(pa.array(lang == one))
         count: dict[str, int] = {}
         for w, n in zip(mine["w"].to_pylist(), mine["n"].to_pylist(), strict=True):
-            for part in words_of(w):
-                count[part] = count.get(part, 0) + n
+            for word in words_of(w):
+                if len(word) <= LONG:
+                    count[word] = count.get(word, 0) + n
         words = sorted(count)
         probs.append(fit(words, np.array([count[w] for w in words]), lattice) if words else np.full(lattice.n + 1, 1 / (lattice.n + 1)))
     return langs, pieces, np.array(probs)
@@ -166,12 +184,16 @@ class Scorer:
         self.table = np.empty((0, len(self.probs)))
 
     def add(self, words: list[str]) -> None:
-        arcs = self.lattice.arcs(words)
-        at = np.array([len(w) + 1 for w in words]), np.arange(len(words))
-        new = np.log(np.maximum(forward(arcs, len(words), self.probs)[at], 1e-300))
-        for w in words:
+        words, long = [w for w in words if len(w) <= LONG], [w for w in words if len(w) > LONG]
+        for w in words + long:
             self.index[w] = len(self.index)
-        self.table = np.concatenate([self.table, new])
+        if words:
+            at = np.array([len(w) + 1 for w in words]), np.arange(len(words))
+            new = np.log(np.maximum(forward(self.lattice.arcs(words), len(words), self.probs)[at], 1e-300))
+            self.table = np.concatenate([self.table, new])
+        if long:
+            log_p = np.log(self.probs)
+            self.table = np.concatenate([self.table, [forward_log(self.lattice.arcs([w]), log_p, len(w) + 1) for w in long]])
 
     def score(self, docs: list[list[str]]) -> np.ndarray:
         """Log-likelihood [text, language] of the texts' words."""
@@ -183,9 +205,12 @@ class Scorer:
         if new:
             self.add(list(new))
         rows = self.table[np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))]
-        total = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)])
-        ends = np.cumsum([0] + [len(d) for d in docs])
-        return total[ends[1:]] - total[ends[:-1]]
+        # Each text's words are added up by themselves, so the sum does not depend on the texts beside it.
+        sizes = np.array([len(d) for d in docs], np.int64)
+        out = np.zeros((len(docs), rows.shape[1]))
+        if len(rows):
+            out[sizes > 0] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[sizes > 0], axis=0)
+        return out
 
 
 def predict(docs: DataFrame, langs: list[str], pieces: list[str], probs: np.ndarray) -> DataFrame:
@@ -202,7 +227,7 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], probs: np.ndar
                 for k in range(i, j):
                     if len(texts[k]) > 1 << 21:                 # a long text: part by part
                         sums = [scorer.score([words_of(s)])[0] for s in slices(texts[k])]
-                        part, known = [sum(sums)], [any(_WORD.search(s) for s in slices(texts[k]))]
+                        part, known = [sum(sums)], [any(words_of(s) for s in slices(texts[k]))]
                     else:
                         continue
                     _decide(part, known, k, langs, pred, score)
