@@ -1,15 +1,15 @@
 """Personal data by fixed patterns, and by contexts learned from what those find.
 
-Emails, IP addresses, card and phone numbers that the patterns of the base find are seeds. Every token
-that holds a digit or an @ is a candidate instance; the words before it (the last one, the last two, and a
-label such as ``id=`` inside the token) are lexical patterns. On the graph of patterns and
+Candidate instances are emails, IP and phone numbers, runs of digits joined by single blanks or hyphens, and any other
+token (ended by white space, ``=`` or ``:``) that holds a digit or an @; those that the base accepts as a whole are seeds.
+The words before a candidate, back to the last one, are lexical patterns (the last word, the last two). On the graph of patterns and
 instances scores go to and fro for ``ROUNDS`` rounds: a pattern's score is the weighted mean of its
 instances', a new instance's that of its patterns; seeds stay at 1. A pattern is trusted if its score
 reaches ``TRUST``, it was seen before ``SUPPORT`` different seeds, and ``TRUST`` of these are of one
 kind, which is then the kind of the identifiers it discovers (``found_email`` and so on).
 
 Only DataFrame functions are used. Places come from splitting a text at the matches and summing up the
-lengths of what lies between; they count code points, the end is exclusive. Patterns are possessive or
+lengths of what lies between, in proportion to their number; they count code points, the end is exclusive. Patterns are possessive or
 anchored where that changes no match, so no text makes them backtrack far or recurse.
 
 Nulls: a null text is empty. Rows with equal (or null) doc_id are told apart by a hash of the text;
@@ -32,10 +32,14 @@ _PATTERN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: A token with a digit or an @; white space as in Java's \s.
-_CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Characters before a candidate that are searched for its last words.
-REACH = 64
+#: The candidates, leftmost first: email, IP, phone, run of digits, other token; white space as in Java's \s.
+_CANDIDATE = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+              r"|(?<![0-9.])[0-9]++(?:\.[0-9]++){3}(?![0-9.]*[0-9])"
+              r"|\+[0-9](?:[\x20().-]{0,2}[0-9])++"
+              r"|(?<![^\s=:])[0-9]++(?:[\x20-][0-9]++)*+(?![^\s.,;:!?)\]}'\"])"
+              r"|(?<![^\s=:])[^\s0-9@=:]*+[0-9@][^\s]*+")
+#: Matches whose places are summed up in one go.
+RUN = 128
 ROUNDS = 3
 TRUST = 0.8
 SUPPORT = 5
@@ -49,15 +53,50 @@ def places(text: Column, pattern: str) -> Column:
     """start, end, value and the text before (since the last match) of all matches."""
     pairs = F.filter(F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1),
                                 lambda v, g: F.struct(v.alias("value"), g.alias("gap"))), lambda x: x["value"].isNotNull())
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACE).alias("out"))
+    # An array that grows by a match is copied each time. So runs of matches are placed each by itself, from the
+    # places where runs begin; those are summed up in runs of runs, so the work stays in proportion.
+    def place(at, xs):
+        none = F.struct(at.alias("at"), F.array().cast(_PLACE).alias("out"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["gap"].alias("gap"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        def step(acc, x):
+            start = acc["at"] + F.length(x["gap"])
+            end = start + F.length(x["value"])
+            one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["gap"].alias("gap"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.aggregate(xs, none, step, lambda acc: acc["out"])
 
-    return F.aggregate(pairs, none, step, lambda acc: acc["out"])
+    def all_runs(ps):
+        begins = _ends(F.transform(ps, lambda x: F.length(x["gap"]) + F.length(x["value"])), RUN)
+        return F.flatten(F.transform(begins, lambda at, i: place(at, F.slice(ps, i * RUN + 1, RUN))))
+
+    return _let(pairs, all_runs)
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a name inside a lambda stands for a value, not for its expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _runs(values: Column, size: int) -> Column:
+    """Sums of consecutive runs of ``size`` numbers."""
+    n = F.ceil(F.size(values) / F.lit(size)).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.aggregate(
+        F.slice(values, i * size + 1, size), F.lit(0), lambda a, x: a + x))).otherwise(F.array().cast("array<int>"))
+
+
+def _before(values: Column) -> Column:
+    """For every number the sum of those before it (for a short array)."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, none, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+                       lambda acc: acc["out"])
+
+
+def _ends(lengths: Column, size: int) -> Column:
+    """Where each run of ``size`` matches begins: the sum of all lengths before it, in two levels."""
+    def lower(sums):
+        return F.flatten(F.transform(_before(_runs(sums, size)), lambda at, i: _let(
+            at, lambda a: F.transform(_before(F.slice(sums, i * size + 1, size)), lambda b: a + b))))
+    return _let(lengths, lambda ls: _let(_runs(ls, size), lower))
 
 
 def _luhn(digits: Column) -> Column:
@@ -90,25 +129,23 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[one(i, kind) for i, kind in enumerate(KINDS)])
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Array of (start, end, instance, kind (of the base span there, else null), patterns)."""
+def kind_of(v: Column) -> Column:
+    """The kind of a candidate that is, as a whole, what the base accepts; else null."""
+    whole = {"email": r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++$", "ip": r"^[0-9]++(\.[0-9]++){3}$",
+             "card": r"^[0-9](?:[\x20-]?[0-9])++$", "phone": r"^\+[0-9][\x20().0-9-]+[0-9]$"}
+    return F.coalesce(*[F.when(v.rlike(whole[kind]) & _valid(kind, v), F.lit(i)) for i, kind in enumerate(KINDS)], F.lit(None).cast("int"))
+
+
+def candidates(text: Column) -> Column:
+    """Array of (start, end, instance, kind (if the base accepts it, else null), patterns)."""
     def describe(x):
-        words = F.split(F.lower(F.trim(F.regexp_replace(F.right(x["gap"], F.lit(REACH)), r"\s+", " "))), " ")
-        last, two = F.element_at(words, -1), F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
-        label = F.lower(F.regexp_extract(x["value"], r"^[^0-9@=:]+[=:]", 0))
-        over = F.filter(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-        heads = F.filter(over, lambda b: b["start"] >= x["start"])
-        return F.struct(
-            (x["start"] + F.length(label)).alias("start"), x["end"].alias("end"),
-            F.lower(F.substring(x["value"], F.length(label) + 1, F.length(x["value"]))).alias("instance"),
-            F.when(F.size(heads) > 0, heads[0]["kind"]).alias("kind"),
-            # A token in the midst of a span is part of its instance, not one of its own.
-            ((F.size(over) > 0) & (F.size(heads) == 0)).alias("part"),
-            F.array_distinct(F.filter(F.array(label, last, two), lambda p: p.rlike(r"\p{L}"))).alias("patterns"))
-
-    listed = F.filter(F.transform(places(text, _CANDIDATE), describe), lambda x: ~x["part"])
-    kind = "array<struct<start:int,end:int,instance:string,kind:int,part:boolean,patterns:array<string>>>"
-    return F.when(text.rlike("[0-9@]"), listed).otherwise(F.array().cast(kind))
+        words = F.filter(F.split(F.lower(x["gap"]), r"\s+"), lambda w: w != "")
+        last, two = F.get(words, F.size(words) - 1), F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " ")
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("instance"), kind_of(x["value"]).alias("kind"),
+                        F.array_distinct(F.filter(F.array(last, two), lambda p: p.isNotNull() & p.rlike(r"\p{L}"))).alias("patterns"))
+
+    kind = "array<struct<start:int,end:int,instance:string,kind:int,patterns:array<string>>>"
+    return F.when(text.rlike("[0-9@]"), F.transform(places(text, _CANDIDATE), describe)).otherwise(F.array().cast(kind))
 
 
 def trusted_patterns(occurrences: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
@@ -136,12 +173,19 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), *keep, text.alias("text"))
     spans = own.withColumn("base", base_spans(F.col("text")))
-    read = store(spans.withColumn("cand", candidates(F.col("text"), F.col("base"))).drop("text"), "spans")
+    read = store(spans.withColumn("cand", candidates(F.col("text"))).drop("text"), "spans")
     rows = read.select("doc_id", "text_hash", F.explode("cand").alias("c")).select("doc_id", "text_hash", "c.*")
     good = trusted_patterns(rows.select("instance", "kind", "patterns"))
     fresh = rows.where(F.col("kind").isNull() & (F.col("instance").contains("@") | (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= DIGITS)))
     hits = fresh.withColumn("pattern", F.explode("patterns")).drop("kind").join(good, "pattern")
     best = hits.groupBy("doc_id", "text_hash", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+    # Base spans stay as they are: what overlaps one is not found anew. Both meet by stretches of text.
+    stretch = lambda d: d.withColumn("at", F.explode(F.sequence(F.shiftright("start", 6), F.shiftright("end", 6))))
+    known = stretch(read.where(F.size("base") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.explode("base").alias("b"))
+                    .select("_d", "_h", F.col("b.start").alias("start"), F.col("b.end").alias("end"))).toDF("_d", "_h", "_start", "_end", "_at")
+    over = (stretch(best).join(known, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("at") == F.col("_at")))
+            .where((F.col("_start") < F.col("end")) & (F.col("_end") > F.col("start"))).select("doc_id", "text_hash", "start", "end").distinct().toDF("_d", "_h", "_start", "_end"))
+    best = best.join(over, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("start") == F.col("_start")) & (F.col("end") == F.col("_end")), "left_anti")
     found = best.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end"))).alias("found"))
     found = found.toDF("_d", "_h", "found")
     out = read.drop("cand").join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left").drop("_d", "_h")
