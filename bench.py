@@ -40,8 +40,8 @@ def main() -> None:
     load_sec = time.perf_counter() - t0
     tables = raw.read_raw(spark, scratch)
 
-    # Warm-up of the query path (first parquet reads of the stored tables); not timed.
-    REGISTRY["table_profile"](tables).collect()
+    # Warm-up of the query path (a first read of a stored table, none that queries share); not timed.
+    tables.products.groupBy("category").count().collect()
 
     times: dict[str, float] = {"load_raw_tables": round(load_sec, 3)}
     names = [*REGISTRY, *SOURCE_QUERIES]
