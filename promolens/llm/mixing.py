@@ -89,15 +89,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with every row as often as the mix takes it.
 
-    Rows equal in doc_id, source and text (by hash) share the copies of their group in turn.
+    Rows are numbered in a stored table first, so each is a document of its own in the order of :func:`mix` and gets
+    its own copies by its number: no group of equal rows, however large, meets in one task. Which of several rows equal
+    in doc_id, source and text (by hash) is taken more often follows their numbers, that is, their place in the input.
     """
-    keyed = boxed(docs).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").alias("source"),
-                               F.col("row.text").alias("text"), F.xxhash64("row.text").alias("h"))
-    taken = mix(keyed, keys=("h",), **how).groupBy("doc_id", "source", "h").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_c"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy(F.lit(0)))
-    taken = taken.toDF("_d", "_s", "_h", "_c")
-    both = keyed.drop("text").withColumn("i", nth).join(
-        taken, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & F.col("h").eqNullSafe(F.col("_h")))
-    times = F.element_at("_c", F.col("i")).cast("int")
-    return (both.withColumn("times", times).where("times > 0")
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*"))
+    numbered = store(boxed(docs).withColumn("id", F.monotonically_increasing_id()), "numbered")
+    keyed = numbered.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"),
+                            F.xxhash64("row.text").alias("h"), "id")
+    taken = mix(keyed, keys=("h", "id"), **how).where("copies > 0").select("id", "copies")
+    return (numbered.join(taken, "id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+            .select("row.*"))
