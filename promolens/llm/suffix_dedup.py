@@ -113,7 +113,7 @@ def _group(doc: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _group_col(groups: int):
-    d = F.coalesce(F.col("doc_id"), F.lit(0))
+    d = F.col("doc_id")
     return F.pmod(d.bitwiseXOR(F.shiftright(d, 17)).bitwiseXOR(F.shiftright(d, 31)), F.lit(groups)).cast("int")
 
 
@@ -406,9 +406,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, g
         live = live.join(F.broadcast(salts), "part", "left_anti").unionByName(less.where("kind = 0"))
         settled.append(less.where("kind = 1"))
     found = store(live.groupBy("part").applyInArrow(_settle(groups, hot), _SPANS), "spans")
-    grouped = docs.withColumn("g", _group_col(groups))
+    named = docs.where(F.col("doc_id").isNotNull())
+    grouped = named.withColumn("g", _group_col(groups))
     contexts = store(
-        grouped.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window)).groupBy("g")
+        grouped.where(F.octet_length("text") >= window).groupBy("g")
         .cogroup(found.where("kind > 0").groupBy("g")).applyInArrow(_contexts(window), _CONTEXT), "contexts")
     ranges = contexts.count() // range_rows + 1
     ends = store(contexts.repartitionByRange(ranges, "key").mapInArrow(_compare(window, groups), _SPANS), "ends")
@@ -417,4 +418,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, g
     for x in settled:
         spans = spans.unionByName(x.select(F.col("part").alias("g"), F.lit(0).alias("kind"), "n", "body"))
     out = grouped.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(_cut(window, with_text), _RESULT)
+    # Rows without a doc_id lose nothing, so they meet no spans and need no group.
+    whole = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    zero = F.lit(0).cast("long")
+    nameless = docs.where(F.col("doc_id").isNull()).select(
+        "doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
+        F.sha2(whole, 256).alias("kept_sha256"), whole.alias("kept"))
+    out = out.unionByName(nameless)
     return out if with_text else out.drop("kept")
