@@ -7,12 +7,17 @@ perceptron raises and lowers them until the scan finds the marked stretch, on a
 ``TRAIN_PAGES`` pages by least hash. The tags <article> themselves are never scored. A tag's class
 and role tokens add learned weights to it (none if they were never seen).
 
+The same scan goes on inside the stretch, over the elements in it: a label whose elements hold words of the
+content less often than others (in ``SEEN`` labelled pages or more) gives each word under it a negative
+weight, from the shares of their words; an element of negative sum is cut out of the stretch. So reader comments or a
+share bar in the midst of an article go, if labelled pages show what they are called; a label never seen cuts nothing.
+
 What stands inside the stretch but is no content is left out: scripts, styles, the elements ``SKIP``, and
 elements with a whole class token of ``SKIP_CLASSES`` or a role of ``SKIP_ROLES``; if such an
 element is never closed, only its own tag is. A heading, and an element that holds the <main> or the
 longest <article>, is never left out for its own name or labels; an id is no label. Block elements
-separate blocks; other tags do not. The white space of a block becomes one space, character references
-are decoded, blocks are joined by \\n.
+separate blocks; other tags do not. Character references are decoded, then each stretch of white space of a block
+(Unicode's, no-break spaces among it) becomes one space; blocks are trimmed and joined by \\n.
 
 Nulls: a null or empty html has an empty text, like a page without words. A null page_id is passed on.
 Markup that breaks off (an unclosed comment, script or tag) ends the page there.
@@ -36,6 +41,8 @@ EPOCHS = 6
 RATE = 0.5
 #: By how much the marked stretch has to win, per tag and word.
 MARGIN = 3.0
+#: Labelled pages in which a label has to occur before it can cut elements out of the stretch.
+SEEN = 3
 #: Where weights start: a word, and a tag that was never seen.
 WORD, TAG = 1.0, -1.0
 
@@ -59,7 +66,7 @@ SKIP_ROLES = frozenset("banner navigation complementary contentinfo menu menubar
 KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
-_SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_SPACE = re.compile(r"\s+")
 
 
 def labels(attrs: str) -> tuple[str, ...]:
@@ -104,8 +111,8 @@ def _content_marks(toks, ends: dict[int, int]) -> list[int]:
     return opens["main"] + ([max(inner, key=size)] if inner else [])
 
 
-def skipped(toks: list[tuple[str, str, bool, tuple[str, ...]]]) -> np.ndarray:
-    """Flags the tokens inside elements that are never content and are closed (a <header>: unless it is an article's own)."""
+def _elements(toks) -> tuple[dict[int, int], set[int]]:
+    """Where each closed element ends, by where it opens; and the <header>s of the page itself."""
     stack: dict[str, list[int]] = {}
     page_header: set[int] = set()
     ends: dict[int, int] = {}
@@ -116,10 +123,20 @@ def skipped(toks: list[tuple[str, str, bool, tuple[str, ...]]]) -> np.ndarray:
                 page_header.add(i)
         elif kind == "close" and stack.get(name):
             ends[stack[name].pop()] = i
+    return ends, page_header
+
+
+def skipped(toks: list[tuple[str, str, bool, tuple[str, ...]]], weights: dict[str, float] | None = None) -> np.ndarray:
+    """Flags the tokens inside elements that are never content and are closed (a <header>: unless it is an article's own).
+
+    With ``weights`` also those inside elements whose words have a negative weight for one of their labels.
+    """
+    ends, page_header = _elements(toks)
     marks = _content_marks(toks, ends)
     depth = np.zeros(len(toks) + 1, np.int64)
     for j, i in ends.items():
-        if (toks[j][2] or j in page_header) and not any(j < m < i for m in marks):
+        cut = weights is not None and toks[j][1] not in KEPT and any(f"words {x}" in weights for x in toks[j][3])
+        if (toks[j][2] or j in page_header or cut) and not any(j < m < i for m in marks):
             depth[j] += 1
             depth[i + 1] -= 1
     return np.cumsum(depth)[:-1] > 0
@@ -192,13 +209,34 @@ def train(pages: list[str], epochs: int = EPOCHS) -> dict[str, float]:
                     w[f] = float(min(-0.01, w.get(f, 0.0 if f in named else TAG) + RATE * np.sign(c) * max(1.0, abs(change[""]) / len(change))))
         if not wrong:
             break
-    return w
+    return {**w, **_label_words(known)}
+
+
+def _label_words(known) -> dict[str, float]:
+    """'words <label>': twice the share of content in the words of a label's elements, less one, where that is negative."""
+    count: dict[str, list[int]] = {}
+    for toks, _, a, b in known:
+        words = np.append(0, np.cumsum(_sizes(toks)))
+        here: dict[str, list[int]] = {}
+        for j, i in _elements(toks)[0].items():
+            lo, hi = min(max(j, a), b), min(max(i, a), b)
+            for x in toks[j][3]:
+                one = here.setdefault(x, [0, 0])
+                one[0] += int(words[hi] - words[lo])
+                one[1] += int(words[i] - words[j])
+        for x, (inside, every) in here.items():
+            one = count.setdefault(x, [0, 0, 0])
+            one[0] += 1
+            one[1] += inside
+            one[2] += every
+    return {f"words {x}": 2.0 * inside / every - 1.0 for x, (pages, inside, every) in count.items()
+            if pages >= SEEN and every and 2 * inside < every}
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of one page."""
     toks = tokens(page or "")
-    out = skipped(toks)
+    out = skipped(toks, weights)
     first, last = best_stretch(score(toks, out, weights))
     blocks, now = [], []
     for i in range(first, last):
@@ -212,7 +250,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         elif value == "br":
             now.append(" ")
     blocks.append("".join(now))
-    clean = [_SPACE.sub(" ", entities.unescape(b) if "&" in b else b).strip(" ") for b in blocks]
+    clean = [_SPACE.sub(" ", entities.unescape(b) if "&" in b else b).strip() for b in blocks]
     return "\n".join(b for b in clean if b)
 
 
