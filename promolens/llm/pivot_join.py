@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import small_batches, store
 from .components import connected
 from .vectors import matrix, unit, usable
 
@@ -76,7 +76,11 @@ _ASSIGNED = "node long, v array<double>, copies long, dim int, cell int, own boo
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise cosine in double precision."""
+    """Row-wise cosine in double precision.
+
+    Rows are first divided by a power of two, which changes no digit, so that squares neither vanish nor overflow.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x for x in (a, b))
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
@@ -132,6 +136,7 @@ def _pivots(spark: SparkSession, nodes: DataFrame, n: int, cell: int) -> dict[in
 def near_duplicates(vectors: DataFrame, bound: float = COSINE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = store(usable(vectors).where("vec_id IS NOT NULL"), "vectors")
     nodes = store(rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).select("node", "v", "copies"), "distinct")
     n = nodes.count()
