@@ -169,6 +169,23 @@ def test_mix_follows_targets(spark):
     assert out.columns == frame(spark, rows[:1]).columns and out.count() == first.copies.sum()
 
 
+def test_mixed_rows_of_one_group_get_copies_of_their_own(spark):
+    rows = [(None, "same words in all", "big")] * 700 + [(i, "a b " * (i % 9), "other") for i in range(300)]
+    docs = frame(spark, rows)
+    want = mixing.mix(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()
+    got = {(r.doc_id, r.source): r["count"] for r in mixing.mixed(docs).groupBy("doc_id", "source").count().collect()}
+    assert got == {(r.doc_id, r.source): r.n for r in want if r.n} and got[None, "big"] > 350
+    assert "ollect_list" not in mixing.mixed(docs)._jdf.queryExecution().toString()
+
+
+def test_suffix_dedup_of_rows_without_id(spark):
+    text = "a passage of more than fifty bytes that is there many times over"
+    rows = [(None, text, "s")] * 400 + [(None, None, "s"), (None, "", "s"), (1, text, "s"), (2, text + "!", "s")]
+    out = suffix_dedup.remove_repeats(frame(spark, rows), with_text=True).collect()
+    assert sorted((tuple(r)[:5] for r in out), key=str) == repeats(rows)
+    assert sum(bytes(r.kept) == text.encode() for r in out) == 401
+
+
 def test_personal_data_base_spans(spark):
     rx = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
           "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
