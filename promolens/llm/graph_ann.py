@@ -28,11 +28,12 @@ from .pivot_join import cosine
 from .vectors import matrix, unit, usable
 
 DEGREE = 48
-BUILD_BEAM = 100
-SEARCH_BEAM = 192
+BUILD_BEAM = 64
+SEARCH_BEAM = 48
 ALPHA = 1.2
 SHARD = 8192
-QUERY_BLOCK = 4096
+#: Queries that one task asks; a shard's graph is sent once for each block of them.
+QUERY_BLOCK = 16384
 EXPAND = 4
 _BATCH = 256
 
