@@ -198,19 +198,42 @@ def span_text(spans: Column, prefix: str = "") -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _begins(at: Column, spans: Column, size: int) -> Column:
+    """How far a text is read before each run of ``size`` spans, and after the last: the greatest end so far."""
+    runs = F.sequence(F.lit(0), F.ceil(F.size(spans) / F.lit(size)).cast("int") - 1)
+    return F.aggregate(runs, F.array(at), lambda acc, i: F.concat(acc, F.array(F.greatest(
+        F.element_at(acc, -1), F.array_max(F.transform(F.slice(spans, i * size + 1, size), lambda s: s["end"]))))))
+
+
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span (of overlapping ones the first) replaced by <KIND>."""
+    """The text with each span (of overlapping ones the first) replaced by <KIND>.
+
+    Runs of spans are replaced in the stretch of text they cover, and joined, so the work stays in proportion to the text.
+    """
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        add = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], add)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, none, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))))
+    def replaced(body, first, run):
+        none = F.struct(first.alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(acc, s):
+            add = F.array(F.substring(body, acc["at"] - first + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
+                            F.when(s["start"] >= acc["at"], F.concat(acc["out"], add)).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(run, none, step, lambda acc: F.array_join(acc["out"], ""))
+
+    def by_runs(body, first, run, sizes):
+        if not sizes:
+            return replaced(body, first, run)
+        size = sizes[0]
+        return _let(_begins(first, run, size), lambda at: F.array_join(F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda i: _let(
+            F.struct(F.substring(body, F.get(at, i) - first + 1, F.get(at, i + 1) - F.get(at, i)).alias("body"), F.get(at, i).alias("first"),
+                     F.slice(run, i * size + 1, size).alias("run")),
+            lambda x: by_runs(x["body"], x["first"], x["run"], sizes[1:]))), ""))
+
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(
+        _let(ordered, lambda xs: by_runs(text, F.lit(0), xs, (RUN * RUN, RUN))), F.substring(text, last + 1, F.length(text))))
 
 
 def mask(docs: DataFrame) -> DataFrame:

@@ -121,3 +121,39 @@ def test_work_grows_with_the_numbers_of_a_text(spark):
     seconds(1000)
     small, large = seconds(20_000), seconds(160_000)
     assert (small[0], large[0]) == (20_000, 160_000) and large[1] < 60 and large[1] < 25 * max(small[1], 0.5)
+
+
+def test_masking_of_many_spans(spark):
+    rnd = random.Random(11)
+    rows = []
+    for n in (1, 127, 128, 129, 300, 128 * 128, 128 * 128 + 1, 40_000):
+        text = "".join(rnd.choice("abé😀7 ") for _ in range(4 * n + 5))
+        spans, at = [], 0
+        for _ in range(n):
+            start = max(0, at + rnd.randrange(-2, 4))
+            end = min(start + rnd.randrange(1, 4), len(text))
+            spans.append((rnd.randrange(4), start, end))
+            at = end
+        rnd.shuffle(spans)
+        rows.append((len(rows), text, [s for s in spans if s[1] < s[2]]))
+    rows.append((len(rows), "none", []))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<kind:int,start:int,end:int>>")
+    got = {r.i: r.t for r in df.select("i", pii_bootstrap.masked(F.col("text"), F.col("spans")).alias("t")).collect()}
+    for i, text, spans in rows:
+        out, at = [], 0
+        for kind, start, end in sorted(spans, key=lambda s: (s[1], s[2], s[0])):
+            if start >= at:
+                out += [text[at:start], f"<{pii_bootstrap.KINDS[kind].upper()}>"]
+            at = max(at, end)
+        assert got[i] == "".join(out) + text[at:], i
+
+
+def test_masking_grows_with_the_spans_of_a_text(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, ", ".join(f"10.{i % 200}.7.{i % 251}" for i in range(n)))], "doc_id long, text string")
+        begin = time.monotonic()
+        masked = pii_bootstrap.masked(F.col("text"), pii_bootstrap.base_spans(F.col("text")))
+        return df.select(F.regexp_count(masked, F.lit("<IP>")).alias("n")).first()["n"], time.monotonic() - begin
+    seconds(1000)
+    small, large = seconds(20_000), seconds(160_000)
+    assert (small[0], large[0]) == (20_000, 160_000) and large[1] < 60 and large[1] < 25 * max(small[1], 0.5)
