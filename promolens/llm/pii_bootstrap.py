@@ -40,6 +40,8 @@ _CANDIDATE = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za
               r"|(?<![^\s=:])[^\s0-9@=:]*+[0-9@][^\s]*+")
 #: Matches whose places are summed up in one go.
 RUN = 128
+#: Parts into which the edges of each pattern and of each instance are dealt.
+FAN = 16
 ROUNDS = 3
 TRUST = 0.8
 SUPPORT = 5
@@ -148,18 +150,37 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), F.transform(places(text, _CANDIDATE), describe)).otherwise(F.array().cast(kind))
 
 
+def _shared(edges: DataFrame, node: str, other: str, partial: dict[str, Column], whole: dict[str, Column]) -> DataFrame:
+    """``edges`` with ``whole``, aggregates per ``node`` of the ``partial`` ones.
+
+    Edges of a node are dealt to ``FAN`` parts by their other end, so a pattern or an instance that holds much of the
+    graph is summed up and gets its result back in several tasks.
+    """
+    dealt = edges.withColumn("_part", F.pmod(F.xxhash64(other), F.lit(FAN)))
+    parts = dealt.groupBy(node, "_part").agg(*[c.alias(k) for k, c in partial.items()])
+    back = parts.groupBy(node).agg(*[c.alias(k) for k, c in whole.items()], F.collect_set("_part").alias("_parts"))
+    return dealt.join(back.select(node, *whole, F.explode("_parts").alias("_part")), [node, "_part"]).drop("_part")
+
+
 def trusted_patterns(occurrences: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
-    """pattern, kind, score: the trusted ones, from (instance, kind or null, patterns)."""
+    """pattern, kind, score: the trusted ones, from (instance, kind or null, patterns).
+
+    Scores are rounded to nine places, so the order in which they are summed up decides nothing.
+    """
     edges = store(occurrences.select("instance", "kind", F.explode("patterns").alias("pattern"))
                   .groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")), "edges")
-    seeds = edges.groupBy("instance").agg(F.max("kind").alias("seed"))
-    scored = edges.join(seeds, "instance").withColumn("r", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0))
+    seeded = _shared(edges, "instance", "pattern", {"seed": F.max("kind")}, {"seed": F.max("seed")})
+    scored = store(seeded.withColumn("r", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0)), "scores")
+
+    def mean(frame, node, other, of, to):
+        sums = {"_w": F.sum(F.col("n") * F.col(of)), "_n": F.sum("n")}
+        return _shared(frame, node, other, sums, {to: F.round(F.sum("_w") / F.sum("_n"), 9)})
+
     for _ in range(rounds):
-        by_pattern = scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("p"))
-        given = scored.drop("r").join(by_pattern, "pattern")
-        by_instance = given.groupBy("instance").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("i"))
-        scored = store(given.join(by_instance, "instance").withColumn("r", F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("i"))).drop("i", "p"), "scores")
-    total = scored.groupBy("pattern").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("score"),
+        given = mean(scored, "pattern", "instance", "r", "p")
+        back = mean(given.drop("r"), "instance", "pattern", "p", "i")
+        scored = store(back.withColumn("r", F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("i"))).drop("i", "p"), "scores")
+    total = scored.groupBy("pattern").agg(F.round(F.sum(F.col("n") * F.col("r")) / F.sum("n"), 9).alias("score"),
                                           *[F.count(F.when(F.col("seed") == k, 1)).alias(f"k{k}") for k in range(len(KINDS))])
     counts = [F.col(f"k{k}") for k in range(len(KINDS))]
     most = F.greatest(*counts)

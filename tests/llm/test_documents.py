@@ -218,6 +218,43 @@ def test_personal_data_contexts(spark):
     assert text[100] == ("a host at: <IP> end", 19) and text[102] == (None, None) and text[103][0] == "a host at: <IP> <PHONE>" and text[101][0] == "plain 12345 text"
 
 
+@pytest.mark.parametrize("fan", [1, 16])
+def test_pattern_scores_with_a_hot_instance(spark, monkeypatch, fan):
+    monkeypatch.setattr(pii_bootstrap, "FAN", fan)
+    rnd = random.Random(9)
+    rows = [("hot@x.y", 0, [f"word{i % 60}", "mail:"]) for i in range(400)]
+    rows += [(f"i{rnd.randrange(80)}", None, rnd.sample([f"word{k}" for k in range(80)] + ["mail:", "ip:"], 2)) for _ in range(500)]
+    rows += [(f"1.2.3.{k}", 1, ["ip:", "mail:"][:1 + k % 2]) for k in range(40)] + [("lonely", None, [])]
+    edges, seed = {}, {}
+    for inst, kind, patterns in rows:
+        for p in patterns:
+            edges[p, inst] = edges.get((p, inst), 0) + 1
+        if kind is not None:
+            seed[inst] = kind
+    r = {x: float(x in seed) for _, x in edges}
+
+    def mean(node, value):
+        top, low = {}, {}
+        for e, n in edges.items():
+            top[e[node]] = top.get(e[node], 0) + n * value[e[1 - node]]
+            low[e[node]] = low.get(e[node], 0) + n
+        return {k: round(top[k] / low[k], 9) for k in top}
+    for _ in range(pii_bootstrap.ROUNDS):
+        i = mean(1, mean(0, r))
+        r = {x: 1.0 if x in seed else i[x] for x in r}
+    score = mean(0, r)
+    df = spark.createDataFrame(rows, "instance string, kind int, patterns array<string>")
+    got = {x.pattern: (x.kind, x.score) for x in pii_bootstrap.trusted_patterns(df, trust=0.3, support=1).collect()}
+    want = {}
+    for p, s in score.items():
+        kinds = [seed[x] for q, x in edges if q == p and x in seed]
+        most = max(set(kinds), key=lambda k: (kinds.count(k), -k), default=None)
+        if kinds and s >= 0.3 and kinds.count(most) >= 0.3 * len(kinds):
+            want[p] = (most, s)
+    assert len(want) > 5 and set(got) == set(want)
+    assert all(got[p][0] == want[p][0] and got[p][1] == pytest.approx(want[p][1], abs=1e-8) for p in want)
+
+
 def brute_viterbi(text, plain, byte):
     score = {p: (s, i) for i, p, s in plain}
     low = min(s for _, _, s in plain if s > -1e8) - 10
