@@ -18,9 +18,22 @@ from pyspark.sql import DataFrame
 from ..session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: With writers for all values of the partition column open at once, rows need no sort by it.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """``df`` written and read back; ``partition_by`` is a column of a few values, each a folder of its own."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/promolens-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if partition_by is None:
+        df.write.parquet(path)
+    else:
+        before = spark.conf.get(WRITERS)
+        try:
+            spark.conf.set(WRITERS, "8")
+            df.write.partitionBy(partition_by).parquet(path)
+        finally:
+            spark.conf.set(WRITERS, before)
     return spark.read.schema(df.schema).parquet(path)    # known schema: no footer inference

@@ -7,7 +7,6 @@ builder to the driver's test tables under ``sf_dir``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +18,8 @@ from ..operators import daily as D
 from ..operators import marts as M
 from ..operators import quality as Q
 from ..operators import sessions as S
-from ..session import ensure_checkpoint_dir, session_key
-from ..sources import fixture, raw
+from ..session import session_key
+from ..sources import fixture
 from ..sources.tables import Tables
 
 Builder = Callable[[Tables], DataFrame]
@@ -88,17 +87,14 @@ _TABLES: dict[tuple[str, int, str], Tables] = {}
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
-    """The raw tables for the driver tables under ``sf_dir``, loaded once per session.
+    """The raw tables for the driver tables under ``sf_dir``, one bundle per session.
 
-    The load step maps the test tables and stores the raw layout (with the
-    campaign-partitioned item x order fact) under the checkpoint folder;
-    every query then reads the stored tables, as a production job would.
+    Each table is mapped and stored under the checkpoint folder when a query first
+    reads it; later queries of the session read the stored table, as a production job would.
     """
     key = (session_key(spark), id(spark), sf_dir)
     if key not in _TABLES:
-        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/promolens-raw/{uuid.uuid4().hex}"
-        fixture.write_raw_tables(spark, sf_dir, root)
-        _TABLES[key] = raw.read_raw(spark, root)
+        _TABLES[key] = fixture.StoredTables(spark, sf_dir)
     return _TABLES[key]
 
 

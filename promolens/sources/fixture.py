@@ -5,7 +5,7 @@ in :mod:`promolens.plans.oracle` states the same mapping in SQL. Everything is
 derived from ``orders``, ``lineitem``, ``part`` and ``events`` so that the work
 grows with them; the campaign years are the years spanned by the orders.
 
-Scale notes: the only big-by-big join is lineitem x orders (shuffle on the
+Scale notes: the big-by-big join is lineitem x orders (shuffle on the
 order key); products are broadcast behind a row-count check; the campaign
 calendar (at most 7 days a year) is broadcast by construction; the enrolment
 lookup joins only the items of campaign orders, so the bulk of lineitem is not
@@ -14,13 +14,16 @@ shuffled a second time.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.joins import bounded_broadcast
+from ..plans.materialize import materialize
 from . import schemas as S
-from .tables import Tables
+from .tables import CAMPAIGN_FLAG, ORDER_COLUMNS, Tables
 
 # Fixed values of the test-table mapping (must equal FIXTURES.md section 3).
 # (event number, campaign name, month, first day, length in days)
@@ -119,34 +122,31 @@ def map_product_campaign(products: DataFrame, campaigns: DataFrame) -> DataFrame
     )
 
 
-def map_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame,
-              product_campaign: DataFrame, persist: bool = False) -> DataFrame:
-    """Order items, still carrying the order columns (NULL for orphans).
+def base_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
+    """Order items with the order columns (NULL for orphans), not yet looked up among the enrolments.
 
-    ``persist`` keeps the item x order join (memory, spilling to disk) so
-    that writing several outputs from it runs the join once.
+    The products are joined first, on the numeric key: what the shuffles carry are then the few columns of an item
+    as they were read; texts and amounts are made after the last join, whose order by order_id the rows keep.
     """
     li = lineitem.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"),
+        "l_orderkey", "l_partkey", "l_linenumber",
         F.col("l_quantity").cast("int").alias("quantity"),
         F.col("l_extendedprice").cast(S.MONEY_12).alias("price"),
         F.col("l_discount").cast("decimal(4,2)").alias("disc"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "Refunded")
          .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "Cancelled")
          .otherwise("Completed").alias("item_status"),
-        F.when(F.col("l_linenumber") == 1, 1).otherwise(0).cast("short").alias("is_campaign"),
     )
-    line_total = F.round(F.col("price") * (F.lit(1) - F.col("disc")), 2).cast(S.MONEY_14)
-    o = orders.select("order_id", "order_date", "customer_id", "campaign_id",
+    rates = bounded_broadcast(products.select(F.col("p_partkey").alias("l_partkey"), "commission_rate", "maintenance_rate"))
+    o = orders.select(F.col("order_id").alias("l_orderkey"), "order_date", "customer_id", "campaign_id",
                       F.lit(True).alias("_has_order"))
-    rates = bounded_broadcast(products.select("product_id", "commission_rate", "maintenance_rate"))
-    items = (li.join(o, "order_id", "left")
-               .join(rates, "product_id", "left")
-               .withColumn("line_total", line_total))
-    items = items.select(
-        "order_item_id", "order_id", "product_id", "quantity",
+    line_total = F.round(F.col("price") * (F.lit(1) - F.col("disc")), 2).cast(S.MONEY_14)
+    items = li.join(rates, "l_partkey", "left").join(o, "l_orderkey", "left").withColumn("line_total", line_total)
+    return items.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
+        F.col("l_orderkey").alias("order_id"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"),
+        "quantity",
         F.col("price").alias("unit_price"),
         F.round(F.col("price") * (F.lit(1) - F.col("disc")), 2).cast(S.MONEY_12)
         .alias("unit_price_after_discount"),
@@ -156,18 +156,38 @@ def map_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame,
         .alias("commission_amount"),
         F.round(F.col("line_total") * F.col("maintenance_rate"), 2).cast(S.MONEY_12)
         .alias("maintenance_amount"),
-        "item_status", "is_campaign",
+        "item_status",
+        F.when(F.col("l_linenumber") == 1, 1).otherwise(0).cast("short").alias("is_campaign"),
         "order_date", "customer_id", "campaign_id", "_has_order",
     )
+
+
+def enrolled(campaign_items: DataFrame, product_campaign: DataFrame) -> DataFrame:
+    """Items of campaign orders with the enrolment of their product in that campaign (NULL if there is none).
+
+    Enrolments are products times campaigns, which the planner takes for far fewer: left to it, all of them would be broadcast.
+    """
+    pc = product_campaign.select("product_id", "campaign_id", "product_campaign_id").hint("merge")
+    return campaign_items.join(pc, ["product_id", "campaign_id"], "left")
+
+
+def not_enrolled(other_items: DataFrame) -> DataFrame:
+    return other_items.withColumn("product_campaign_id", F.lit(None).cast("string"))
+
+
+def map_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame,
+              product_campaign: DataFrame, persist: bool = False) -> DataFrame:
+    """Order items, still carrying the order columns (NULL for orphans).
+
+    ``persist`` keeps the item x order join (memory, spilling to disk) so
+    that writing several outputs from it runs the join once.
+    """
+    items = base_items(lineitem, orders, products)
     if persist:
         items = items.persist(StorageLevel.MEMORY_AND_DISK)
     # Enrolment lookup only for campaign items; the rest keep a NULL id.
-    pc = product_campaign.select("product_id", "campaign_id", "product_campaign_id")
-    camp = items.where(F.col("campaign_id").isNotNull()).join(
-        pc, ["product_id", "campaign_id"], "left")
-    rest = items.where(F.col("campaign_id").isNull()).withColumn(
-        "product_campaign_id", F.lit(None).cast("string"))
-    return camp.unionByName(rest)
+    has = F.col("campaign_id").isNotNull()
+    return enrolled(items.where(has), product_campaign).unionByName(not_enrolled(items.where(~has)))
 
 
 def map_sessions(events: DataFrame, campaigns: DataFrame) -> DataFrame:
@@ -254,6 +274,70 @@ def load(spark: SparkSession, sf_dir: str, persist: bool = False) -> Tables:
     return t
 
 
+class StoredTables(Tables):
+    """The raw tables mapped from the driver tables, each stored when a query first asks for it.
+
+    A query so pays for the tables it reads alone. Order items and the item x order fact are one stored table, split by the campaign
+    flag while it is written; it is neither dealt out nor sorted once more, as its rows come in the order of the join by order_id.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._d = read_driver_tables(spark, sf_dir)
+        self._spark = spark
+        self._mapped_campaigns = campaigns_from_orders(self._d["orders"])
+        self._mapped_orders = map_orders(self._d["orders"], self._mapped_campaigns)
+        self._mapped_products = map_products(self._d["part"])
+        self._mapped_enrolments = map_product_campaign(self._mapped_products, self._mapped_campaigns)
+        self.campaign_rows_bound = CAMPAIGN_ROWS_BOUND
+        self._cache = {}
+
+    @property
+    def spark(self) -> SparkSession:
+        return self._spark
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return materialize(S.conform(self._mapped_orders, S.ORDERS, fill=True), "raw-orders")
+
+    @cached_property
+    def campaigns(self) -> DataFrame:
+        return materialize(S.conform(self._mapped_campaigns, S.CAMPAIGNS, fill=True), "raw-campaigns")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return materialize(S.conform(self._mapped_products, S.PRODUCTS, fill=True), "raw-products")
+
+    @cached_property
+    def product_campaign(self) -> DataFrame:
+        return materialize(S.conform(self._mapped_enrolments, S.PRODUCT_CAMPAIGN, fill=True), "raw-product-campaign")
+
+    @cached_property
+    def website_sessions(self) -> DataFrame:
+        return materialize(S.conform(map_sessions(self._d["events"], self._mapped_campaigns), S.WEBSITE_SESSIONS, fill=True), "raw-sessions")
+
+    @cached_property
+    def session_activities(self) -> DataFrame:
+        return materialize(S.conform(map_activities(self._d["events"]), S.SESSION_ACTIVITIES, fill=True), "raw-activities")
+
+    @cached_property
+    def _items(self) -> DataFrame:
+        base = base_items(self._d["lineitem"], self._mapped_orders, self._mapped_products)
+        split = materialize(base.withColumn(CAMPAIGN_FLAG, F.col("campaign_id").isNotNull()), "raw-items", partition_by=CAMPAIGN_FLAG)
+        flag = F.col(CAMPAIGN_FLAG)
+        camp = materialize(enrolled(split.where(flag).drop(CAMPAIGN_FLAG), self._mapped_enrolments), "raw-campaign-items")
+        rest = not_enrolled(split.where(~flag).drop(CAMPAIGN_FLAG))
+        return camp.withColumn(CAMPAIGN_FLAG, F.lit(True)).unionByName(rest.withColumn(CAMPAIGN_FLAG, F.lit(False)))
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return S.conform(self._items, S.ORDER_ITEMS, fill=True)
+
+    @cached_property
+    def item_orders_df(self) -> DataFrame:
+        items = self._items
+        return items.where(F.col("_has_order")).select(*S.conform_columns(items, S.ORDER_ITEMS, fill=True), *ORDER_COLUMNS, CAMPAIGN_FLAG)
+
+
 def write_raw_tables(spark: SparkSession, sf_dir: str, root: str) -> None:
     """Load step: map the driver tables once and store the raw layout under ``root``."""
     from .raw import write_raw
