@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import asc
-from ..functions.exprs import (MIN_DAILY_ITEMS, avg_exact, completed_amount, dbl, exact_div,
+from ..functions.exprs import (MIN_DAILY_ITEMS, completed_amount, dbl, exact_div,
                                inclusive_days, pct)
 from ..sources.tables import Tables
 from ..plans.grains import add_up, day_mask, days_in, per_identifier
@@ -35,14 +35,20 @@ def dim_campaign(t: Tables) -> DataFrame:
     Enrolments are aggregated per campaign before the (left) join, so a
     campaign with a third of all enrolments is still a partial aggregate; a
     campaign without enrolments keeps its row with 0 counts and a NULL mean.
+    They are shuffled once, to their product: there one row of each (product,
+    campaign) is marked, and marks, sellers and discounts add up to one row per
+    (campaign, seller). So no task holds a table of the enrolments it reads.
     """
-    p = t.products.select("product_id", "seller_id")
-    enrol = (t.product_campaign.select("campaign_id", "product_id", "discount_percent")
-             .join(p, "product_id", "left")
-             .groupBy("campaign_id").agg(
-                 F.count_distinct("product_id").alias("n_products"),
-                 F.count_distinct("seller_id").alias("n_sellers"),
-                 avg_exact("discount_percent", 2).alias("disc")))
+    p = t.products.select("product_id", "seller_id").hint("merge")
+    nth = F.row_number().over(Window.partitionBy("product_id", "campaign_id").orderBy(F.lit(0)))
+    rows = (t.product_campaign.select("campaign_id", "product_id", "discount_percent")
+            .join(p, "product_id", "left").withColumn("is_product", (F.col("product_id").isNotNull() & (nth == 1)).cast("long")))
+    per_seller = rows.groupBy("campaign_id", "seller_id").agg(
+        F.sum("is_product").alias("products"), F.sum(F.col("discount_percent").cast("decimal(22,2)")).alias("disc_sum"),
+        F.count("discount_percent").alias("disc_n"))
+    enrol = per_seller.groupBy("campaign_id").agg(
+        F.sum("products").alias("n_products"), F.count("seller_id").alias("n_sellers"),
+        exact_div(F.sum("disc_sum"), F.sum("disc_n"), 2, 0).alias("disc"))
     c = t.campaigns.select(*CAMPAIGN_COLS)
     j = c.join(enrol, "campaign_id", "left")
     return j.select(
