@@ -137,8 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = TRAIN_
             found = [text_features((x.as_py() or "").encode(), ranges, bits) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary()), b.column(2)], names=["doc_id", "f", "toxic"])
 
-    rows = sample.mapInArrow(run, "doc_id long, f binary, toxic int").toArrow().sort_by("doc_id")
-    return ftrl([np.frombuffer(x, np.int32) for x in rows["f"].to_pylist()], np.array(rows["toxic"].to_pylist(), float), bits)
+    rows = sample.mapInArrow(run, "doc_id long, f binary, toxic int").toArrow()
+    # Read where they came, by the order of doc_id: neither a sorted nor a Python copy of the features on the driver.
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    return ftrl([np.frombuffer(rows["f"][i].as_buffer(), np.int32) for i in order.tolist()], rows["toxic"].to_numpy().astype(float)[order], bits)
 
 
 def _score_texts(text: pa.Array, dense: np.ndarray, bias: float, ranges: RangeHash, bits: int) -> np.ndarray:
