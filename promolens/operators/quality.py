@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import DOCUMENTED_STATUSES, pct
@@ -41,43 +41,31 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
 
 
 def _keys_and_nulls(name: str, df: DataFrame) -> DataFrame:
-    """One row: rows, keys, NULLs of every column as far as the rows of each key agree on them, and keys whose rows do not.
+    """One row: rows, keys and NULLs of every column of a table.
 
-    What is shuffled is one row per key with two masks of its NULL columns (of all, of any of its rows), not a count per column.
+    What is shuffled is one row per key and mask of NULL columns, not a count per column; one mask of each key is marked to count keys.
     """
     cols = [f.name for f in RAW_SCHEMAS[name].fields]
     bits = [F.when(F.col(c).isNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, c in enumerate(cols)]
-    rows = df.select(F.col(PRIMARY_KEYS[name]).alias("k"), reduce(lambda x, y: x.bitwiseOR(y), bits).alias("mask"))
-    per_key = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.bit_and("mask").alias("every"), F.bit_or("mask").alias("some"))
-    nulls = [F.struct(F.lit(c).alias("column_name"), F.coalesce(F.sum(F.when(F.col("every").bitwiseAND(F.lit(1 << i)) != 0, F.col("n"))), F.lit(0)).alias("n"))
-             for i, c in enumerate(cols)]
-    return per_key.agg(F.lit(name).alias("table_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("k").alias("n_distinct"),
-                       F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.array(*nulls).alias("nulls"),
-                       F.count(F.when(F.col("every") != F.col("some"), 1)).alias("mixed"))
+    masks = (df.select(F.col(PRIMARY_KEYS[name]).alias("k"), reduce(lambda x, y: x.bitwiseOR(y), bits).alias("mask"))
+             .groupBy("k", "mask").agg(F.count(F.lit(1)).alias("n"))
+             .withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(F.lit(0)))))
 
-
-def _nulls_by_row(name: str, df: DataFrame) -> DataFrame:
-    """One row: NULLs of every column, counted row by row (nothing is shuffled but the counts)."""
-    nulls = [F.struct(F.lit(f.name).alias("column_name"), F.count(F.when(F.col(f.name).isNull(), 1)).alias("n")) for f in RAW_SCHEMAS[name].fields]
-    return df.agg(F.lit(name).alias("table_name"), F.array(*nulls).alias("counted"))
+    def rows(where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+    nulls = [F.struct(F.lit(c).alias("column_name"), rows(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0).alias("n")) for i, c in enumerate(cols)]
+    return masks.agg(F.lit(name).alias("table_name"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+                     F.count(F.when((F.col("nth") == 1) & F.col("k").isNotNull(), 1)).alias("n_distinct"),
+                     rows(F.col("k").isNull()).alias("n_null"), F.array(*nulls).alias("nulls"))
 
 
 def profile(t: Tables) -> DataFrame:
     """(table_name, n_rows, n_distinct, n_null, nulls): rows, keys and NULLs of every column, one scan per table.
 
     Stored once per bundle (seven rows); the row counts, key checks, NOT NULL checks and the NULL profile read it.
-    A table some of whose keys repeat in rows that differ in their NULLs is scanned once more to count these.
     ``nulls`` is an array of (column_name, n).
     """
-    def build() -> DataFrame:
-        d = t.as_dict()
-        found = materialize(_stack([_keys_and_nulls(name, df) for name, df in d.items()]), "profile")
-        again = [r["table_name"] for r in found.where("mixed > 0").select("table_name").collect()]      # seven rows at most
-        if again:
-            counted = _stack([_nulls_by_row(name, d[name]) for name in again])
-            found = materialize(found.join(counted, "table_name", "left").withColumn("nulls", F.coalesce("counted", "nulls")).drop("counted"), "profile")
-        return found.drop("mixed")
-    return t.shared("profile", build)
+    return t.shared("profile", lambda: materialize(_stack([_keys_and_nulls(name, df) for name, df in t.as_dict().items()]), "profile"))
 
 
 def pk_uniqueness(t: Tables) -> DataFrame:
