@@ -10,13 +10,14 @@ M26 in daily. :func:`build_marts` returns all eight by table name and
 from __future__ import annotations
 
 import uuid
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import asc
 from ..functions.exprs import (MIN_DAILY_ITEMS, completed_amount, dbl, exact_div,
-                               inclusive_days, pct)
+                               inclusive_days, item_cents, pct)
 from ..sources.tables import Tables
 from ..plans.grains import add_up, day_mask, days_in, per_identifier
 from ..plans.materialize import materialize
@@ -113,21 +114,29 @@ def monthly_summary(t: Tables) -> DataFrame:
 
     Two levels: items add up to one row per (month, order), and the orders of a
     month are counted there; active days travel as a bit mask of the days of
-    the month. No distinct aggregate, so no Expand over the item fact.
+    the month. No distinct aggregate, so no Expand over the item fact. The many
+    rows of the first level are narrow: the month is one date, an order's amounts are
+    cents (a long holds 92,000 items of the largest amount), and months add them up as decimals.
     """
     def build() -> DataFrame:
-        month = [F.year("order_date").cast("long").alias("order_year"), F.month("order_date").cast("long").alias("order_month")]
-        per_order = per_identifier(t.item_orders(), month, ["order_id"], [
-            F.sum("line_total").alias("gmv"),
-            F.sum(completed_amount()).alias("realized"),
-            F.sum(revenue_expr()).alias("rev"),
+        *traced, total = ATTRIBUTION_COLS                # a flagged item is counted in one of the first three
+        per_order = per_identifier(t.item_orders(), [F.trunc("order_date", "month").alias("month")], ["order_id"], [
+            F.sum(item_cents("line_total")).alias("gmv"),
+            F.sum(completed_amount(item_cents("line_total"))).alias("realized"),
+            F.sum(item_cents(revenue_expr())).alias("rev"),
             day_mask("order_date").alias("days"),
-            *attribution_counts()])
-        g = per_order.groupBy("order_year", "order_month").agg(
+            *attribution_counts()[:len(traced)]])
+
+        def amount(c: str, digits: int) -> Column:
+            return (F.sum(F.col(c).cast("decimal(22,0)")) * F.lit(Decimal("0.01"))).cast(f"decimal({digits},2)").alias(c)
+
+        g = per_order.groupBy("month").agg(
             F.count("order_id").alias("total_orders"),
             days_in(F.bit_or("days")).alias("days_in_month"),
-            *add_up(per_order, ["gmv", "realized", "rev", *ATTRIBUTION_COLS]))
-        return materialize(g, "monthly-summary")
+            amount("gmv", 24), amount("realized", 24), amount("rev", 23), *add_up(per_order, traced))
+        return materialize(g.select(
+            F.year("month").cast("long").alias("order_year"), F.month("month").cast("long").alias("order_month"), *g.columns[1:],
+            sum(map(F.col, traced[1:]), F.col(traced[0])).alias(total)), "monthly-summary")
     return t.shared("monthly_summary", build)
 
 

@@ -14,11 +14,13 @@ shuffled a second time.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.joins import bounded_broadcast
 from ..plans.materialize import materialize
@@ -44,6 +46,8 @@ PRODUCT_URL_PREFIX = "/product/"
 MAINTENANCE_RATE = "0.0200"
 COMMISSION_BASE, COMMISSION_STEP = "0.0400", "0.0100"
 SELLER_MOD, ENROL_MOD, DISCOUNT_MOD, DISCOUNT_BASE = 97, 5, 40, 5
+# item_status as the stored items hold it
+COMPLETED, REFUNDED, CANCELLED = 0, 1, 2
 NON_CAMPAIGN_EVERY = 4          # o_orderkey % 4 = 0 -> never a campaign order
 # A DateType year lies in 1..9999, so the calendar has at most this many rows.
 CAMPAIGN_ROWS_BOUND = len(EVENTS) * 9999
@@ -85,8 +89,9 @@ def map_orders(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
     o = orders.select(
         F.col("o_orderkey").alias("order_id"),
         F.to_date("o_orderdate").alias("order_date"),
-        F.concat(F.lit("U"), F.col("o_custkey").cast("string")).alias("customer_id"),
+        _customer_id("o_custkey").alias("customer_id"),
         F.col("o_totalprice").cast(S.MONEY_14).alias("total_amount"),
+        "o_custkey",
     )
     return (o.join(calendar, "order_date", "left")
              .withColumn("campaign_id", F.when(
@@ -96,7 +101,7 @@ def map_orders(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
 def map_products(part: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
     return part.select(
-        F.concat(F.lit("P"), k.cast("string")).alias("product_id"),
+        _product_id(k).alias("product_id"),
         F.concat(F.lit("S"), F.pmod(k, F.lit(SELLER_MOD)).cast("string")).alias("seller_id"),
         F.col("p_type").alias("category"),
         F.col("p_name").alias("product_name"),
@@ -122,30 +127,36 @@ def map_product_campaign(products: DataFrame, campaigns: DataFrame) -> DataFrame
     )
 
 
-def base_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
-    """Order items with the order columns (NULL for orphans), not yet looked up among the enrolments.
+def joined_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame) -> DataFrame:
+    """Items with the rates of their product and the columns of their order (NULL for orphans), in the order of the join by order key.
 
-    The products are joined first, on the numeric key: what the shuffles carry are then the few columns of an item
-    as they were read; texts and amounts are made after the last join, whose order by order_id the rows keep.
+    The columns are the few that :func:`item_columns` needs, as numbers: this is what the shuffles carry and the load step stores.
+    The products are joined first, on the numeric key.
     """
     li = lineitem.select(
         "l_orderkey", "l_partkey", "l_linenumber",
         F.col("l_quantity").cast("int").alias("quantity"),
-        F.col("l_extendedprice").cast(S.MONEY_12).alias("price"),
-        F.col("l_discount").cast("decimal(4,2)").alias("disc"),
-        F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "Refunded")
-         .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "Cancelled")
-         .otherwise("Completed").alias("item_status"),
+        _two_places("l_extendedprice", S.MONEY_12).alias("price"),
+        _two_places("l_discount", T.DecimalType(4, 2)).alias("disc"),
+        F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), REFUNDED)
+         .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), CANCELLED)
+         .otherwise(COMPLETED).cast("tinyint").alias("status"),
     )
     rates = bounded_broadcast(products.select(F.col("p_partkey").alias("l_partkey"), "commission_rate", "maintenance_rate"))
-    o = orders.select(F.col("order_id").alias("l_orderkey"), "order_date", "customer_id", "campaign_id",
+    o = orders.select(F.col("order_id").alias("l_orderkey"), "order_date", "o_custkey", "campaign_id",
                       F.lit(True).alias("_has_order"))
+    return li.join(rates, "l_partkey", "left").join(o, "l_orderkey", "left")
+
+
+def item_columns(joined: DataFrame) -> DataFrame:
+    """Order items with the order columns, from :func:`joined_items` (and ``product_campaign_id``, if looked up already)."""
     line_total = F.round(F.col("price") * (F.lit(1) - F.col("disc")), 2).cast(S.MONEY_14)
-    items = li.join(rates, "l_partkey", "left").join(o, "l_orderkey", "left").withColumn("line_total", line_total)
+    items = joined.withColumn("line_total", line_total)
+    looked_up = [c for c in ("product_campaign_id",) if c in joined.columns]
     return items.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
         F.col("l_orderkey").alias("order_id"),
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"),
+        _product_id("l_partkey").alias("product_id"),
         "quantity",
         F.col("price").alias("unit_price"),
         F.round(F.col("price") * (F.lit(1) - F.col("disc")), 2).cast(S.MONEY_12)
@@ -156,9 +167,10 @@ def base_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame) -> D
         .alias("commission_amount"),
         F.round(F.col("line_total") * F.col("maintenance_rate"), 2).cast(S.MONEY_12)
         .alias("maintenance_amount"),
-        "item_status",
+        F.when(F.col("status") == REFUNDED, "Refunded").when(F.col("status") == CANCELLED, "Cancelled")
+         .otherwise("Completed").alias("item_status"),
         F.when(F.col("l_linenumber") == 1, 1).otherwise(0).cast("short").alias("is_campaign"),
-        "order_date", "customer_id", "campaign_id", "_has_order",
+        "order_date", _customer_id("o_custkey").alias("customer_id"), "campaign_id", "_has_order", *looked_up,
     )
 
 
@@ -182,7 +194,7 @@ def map_items(lineitem: DataFrame, orders: DataFrame, products: DataFrame,
     ``persist`` keeps the item x order join (memory, spilling to disk) so
     that writing several outputs from it runs the join once.
     """
-    items = base_items(lineitem, orders, products)
+    items = item_columns(joined_items(lineitem, orders, products))
     if persist:
         items = items.persist(StorageLevel.MEMORY_AND_DISK)
     # Enrolment lookup only for campaign items; the rest keep a NULL id.
@@ -235,6 +247,22 @@ def map_activities(events: DataFrame) -> DataFrame:
     )
 
 
+def _two_places(amount: str, kind: T.DecimalType) -> F.Column:
+    """A double as a 2-place decimal: by way of its cents if they give it back exactly, which spares the cast's detour over a text."""
+    x = F.col(amount)
+    cents = F.floor(x * 100 + 0.5)
+    exact = (F.abs(x) < 1e10) & (cents.cast("double") / F.lit(100.0) == x)
+    return F.when(exact, (cents.cast("decimal(12,0)") * F.lit(Decimal("0.01"))).cast(kind)).otherwise(x.cast(kind))
+
+
+def _customer_id(key) -> F.Column:
+    return F.concat(F.lit("U"), F.col(key).cast("string"))
+
+
+def _product_id(key) -> F.Column:
+    return F.concat(F.lit("P"), (F.col(key) if isinstance(key, str) else key).cast("string"))
+
+
 def _session_id(user, day) -> F.Column:
     user = F.col(user) if isinstance(user, str) else user
     day = F.col(day) if isinstance(day, str) else day
@@ -279,6 +307,7 @@ class StoredTables(Tables):
 
     A query so pays for the tables it reads alone. Order items and the item x order fact are one stored table, split by the campaign
     flag while it is written; it is neither dealt out nor sorted once more, as its rows come in the order of the join by order_id.
+    Stored are the columns of the join; texts and amounts are made from them when they are read, only those a query asks for.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
@@ -321,12 +350,16 @@ class StoredTables(Tables):
 
     @cached_property
     def _items(self) -> DataFrame:
-        base = base_items(self._d["lineitem"], self._mapped_orders, self._mapped_products)
-        split = materialize(base.withColumn(CAMPAIGN_FLAG, F.col("campaign_id").isNotNull()), "raw-items", partition_by=CAMPAIGN_FLAG)
+        joined = joined_items(self._d["lineitem"], self._mapped_orders, self._mapped_products)
+        split = materialize(joined.withColumn(CAMPAIGN_FLAG, F.col("campaign_id").isNotNull()), "raw-items", partition_by=CAMPAIGN_FLAG)
         flag = F.col(CAMPAIGN_FLAG)
-        camp = materialize(enrolled(split.where(flag).drop(CAMPAIGN_FLAG), self._mapped_enrolments), "raw-campaign-items")
+        camp = split.where(flag).drop(CAMPAIGN_FLAG).withColumn("product_id", _product_id("l_partkey"))
+        # Products are a small file that few tasks read, enrolments several rows of each.
+        enrolments = map_product_campaign(self._mapped_products.repartition("p_partkey"), self._mapped_campaigns)
+        camp = materialize(enrolled(camp, enrolments).drop("product_id"), "raw-campaign-items")
         rest = not_enrolled(split.where(~flag).drop(CAMPAIGN_FLAG))
-        return camp.withColumn(CAMPAIGN_FLAG, F.lit(True)).unionByName(rest.withColumn(CAMPAIGN_FLAG, F.lit(False)))
+        return (item_columns(camp).withColumn(CAMPAIGN_FLAG, F.lit(True))
+                .unionByName(item_columns(rest).withColumn(CAMPAIGN_FLAG, F.lit(False))))
 
     @cached_property
     def order_items(self) -> DataFrame:
