@@ -5,7 +5,8 @@ and of pairs around one word, each once for each text, with the value 1. FTRL-pr
 the rest, at most 2**BITS numbers, are sent to the tasks.
 
 The fit uses a bounded sample: the ``TRAIN_DOCS`` labelled rows with the least hash of their doc_id.
-Scoring covers every word of every text.
+The tasks store the sample's features; the driver reads them a partition at a time into a file of its own,
+so it holds a few rows and the weights, however long the texts are. Scoring covers every word of every text.
 
 Nulls: a null text is an empty one; it scores like any text without features, by the bias alone. A row
 without a label, or with a null one, teaches nothing; of repeated labels the largest counts. With no
@@ -16,6 +17,8 @@ of features, and with it the score, is that of the whole text, whatever stands b
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import RangeHash, mix
-from .common import small_batches
+from .common import drop_stored, small_batches, store
 from .suffix_dedup import _texts
 
 BITS = 20
@@ -33,6 +36,8 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 1e-4
 PREFIXES = (4, 5)
 _SLICE = 1 << 20
+#: Coordinates whose weights are computed in one go.
+_BLOCK = 1 << 16
 
 #: Letters and digits as their lower case, all bytes of other scripts as they are, the rest as separators (0).
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 0 for c in range(256)], np.uint8)
@@ -119,8 +124,9 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: i
             n[i] += g * g
     if not len(rows):
         return z[:-1], -20.0
-    w = weights(np.arange(len(z)))
-    return w[:-1], float(w[-1])
+    for i in range(0, len(z), _BLOCK):                      # in z's place, a block at a time: no copies of all coordinates
+        z[i:i + _BLOCK] = weights(slice(i, i + _BLOCK))
+    return z[:-1], float(z[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = TRAIN_DOCS, bits: int = BITS) -> tuple[np.ndarray, float]:
@@ -137,10 +143,26 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, most: int = TRAIN_
             found = [text_features((x.as_py() or "").encode(), ranges, bits) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.astype(np.int32).tobytes() for f in found], pa.binary()), b.column(2)], names=["doc_id", "f", "toxic"])
 
-    rows = sample.mapInArrow(run, "doc_id long, f binary, toxic int").toArrow()
-    # Read where they came, by the order of doc_id: neither a sorted nor a Python copy of the features on the driver.
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    return ftrl([np.frombuffer(rows["f"][i].as_buffer(), np.int32) for i in order.tolist()], rows["toxic"].to_numpy().astype(float)[order], bits)
+    stored = store(sample.mapInArrow(run, "doc_id long, f binary, toxic int"), "features")
+    try:
+        doc_id, toxic, rows = _spilled(stored)
+    finally:
+        drop_stored(stored)
+    order = np.argsort(doc_id, kind="stable")
+    return ftrl([rows[i] for i in order.tolist()], toxic[order], bits)
+
+
+def _spilled(stored: DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """doc_id, toxic and the features of each row, these in a mapped file that goes with the last of them."""
+    doc_id, toxic, ends = [], [], [0]
+    with tempfile.TemporaryFile() as f:
+        for r in stored.toLocalIterator():
+            doc_id.append(r["doc_id"])
+            toxic.append(r["toxic"])
+            ends.append(ends[-1] + f.write(r["f"]) // 4)
+        f.flush()
+        flat = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if ends[-1] else b"", np.int32)
+    return np.array(doc_id, np.int64), np.array(toxic, float), [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _score_texts(text: pa.Array, dense: np.ndarray, bias: float, ranges: RangeHash, bits: int) -> np.ndarray:
