@@ -1,6 +1,7 @@
 """The operators on documents against brute force, and their edge cases."""
 
 import hashlib
+import pathlib
 import random
 import re
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from promolens.llm import lang_id, mixing, pii_bootstrap, sentencepiece_codec, simhash_ball, suffix_dedup, toxicity
+from promolens.llm import common, lang_id, mixing, pii_bootstrap, sentencepiece_codec, simhash_ball, suffix_dedup, toxicity
 from promolens.llm.common import held_out
 from promolens.llm.components import connected
 from promolens.llm.pieces import MODEL, load_pieces
@@ -81,6 +82,32 @@ def test_suffix_dedup_of_a_line_in_many_documents(spark, hot):
     assert sorted((tuple(r) for r in got), key=str) == repeats(rows)
 
 
+def test_suffix_dedup_deletes_stored_anchors_round_by_round(spark, monkeypatch):
+    """Once stored, the anchors of a few hash ranges at a time are shuffled, and none of them stay behind."""
+    sizes, stored = [], []
+
+    def live(df):
+        folders = {f.rsplit("/kind=", 1)[0] for f in df.inputFiles()}
+        return sum(p.stat().st_size for x in folders for p in pathlib.Path(x.removeprefix("file:")).glob("kind=0/**/*.parquet"))
+
+    def store(df, name, *how):
+        if name == "spans":
+            sizes.append(live(stored[0]))
+        out = common.store(df, name, *how)
+        stored.extend([out] * (name == "anchors"))
+        if name == "contexts":
+            sizes.append(live(stored[0]))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "store", store)
+    rows = passages()
+    group_bytes = sum(len((t or "").encode()) for _, t, _ in rows) // 70
+    got = suffix_dedup.remove_repeats(frame(spark, rows), group_bytes=group_bytes, range_rows=500, block=300, heavy=50).collect()
+    assert sorted((tuple(r) for r in got), key=str) == repeats(rows)
+    assert len(sizes) == 6 and sizes[-1] == 0 and sorted(sizes, reverse=True) == sizes
+    assert max(a - b for a, b in zip(sizes, sizes[1:], strict=False)) < sizes[0] / 2
+
+
 def test_settled_anchors_pass_no_hash_range_and_runs_are_counted():
     blanks = np.frombuffer(b" " * 100_000 + b"-=" * 500, np.uint8)
     h, c, at, n, times = suffix_dedup.anchors(blanks, np.array([0, 100_000, 101_000]), 50)
