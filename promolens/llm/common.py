@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import zstandard
@@ -26,6 +28,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def one_row_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of one row each, for the stores inside: rows that hold blocks of vectors."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def store(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` below the session's shared checkpoint folder and read it back (cuts the lineage)."""
     spark = df.sparkSession

@@ -1,19 +1,21 @@
 """Embedding near-duplicates: an exact range join of a metric space, partitioned by pivots.
 
 Cosine >= c is a Euclidean distance of at most ``eps`` between unit vectors. Vectors belong to
-the cell of their nearest pivot. If x lies in cell i and y within ``eps`` of it, then by the triangle
-inequality y is within ``eps`` of cell i's side of the boundary between the pivots p_i and p_j,
-that is (d(y,p_i)^2 - d(y,p_j)^2) / (2 d(p_i,p_j)) <= eps, and within radius(i) + eps of p_i. Vectors
-that satisfy both are copied to cell i (for i < j only, so a pair meets once). Cells are dealt out
-in blocks of a bounded number of vectors and joined independently.
+the cell of their nearest pivot. If x lies in cell i and y within ``eps`` of it in cell j, then by the triangle
+inequality y is within ``eps`` of the boundary between the pivots p_i and p_j, that is
+(d(y,p_i)^2 - d(y,p_j)^2) / (2 d(p_i,p_j)) <= eps, and within radius(i) + eps of p_i; the same holds for x
+and cell j. Only vectors that satisfy both are compared across cells. Cells are packed in blocks of a bounded
+number of vectors, one row each, with a bit for each cell that holds what a vector of it may be linked with. Two
+blocks that reach each other's cells meet once, as rows of a join that reads the stored blocks and shuffles
+nothing: what a cell borrows of another is picked where the two blocks meet, never written.
 
 Equal vectors are one node with a count, so a vector with a million copies is compared once.
-A block emits the number of links of each vector and a spanning forest of its links, never the
-pairs. Candidates come from matrix products; the ones within rounding of the bound are decided
-by the double-precision cosine alone.
+A task emits the number of links of each vector and a spanning forest of its links, never the
+pairs. Candidates come from single-precision matrix products; they are decided by double-precision
+products, the ones within rounding of the bound by the double-precision cosine alone.
 
-With vectors that no pivot separates (high-dimensional noise) the boundary copies approach the
-whole table for each cell: that is the cost of an exact join, and the result stays whole.
+With vectors that no pivot separates (high-dimensional noise) nearly all vectors of two blocks are
+compared: that is the cost of an exact join, quadratic in time but not on disk, and the result stays whole.
 
 Vectors that are null, zero or hold null or non-finite components have no links and are their own
 component. Vectors of different lengths never link. Rows that repeat a vec_id count as rows; they
@@ -23,12 +25,16 @@ them and a null component_id.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import small_batches, store
+from .common import drop_stored, one_row_batches, small_batches, store
 from .components import connected
 from .vectors import matrix, unit, usable
 
@@ -38,41 +44,91 @@ CELL = 4096
 BLOCK = 2048
 #: Bound on pivots, so on what is sent to every task (pivots x dimensions x 8 bytes).
 MOST_PIVOTS = 4096
-#: Slack for rounding in bounds and candidate products; decisions are exact beyond it.
+#: Slack for rounding in bounds and double-precision products; decisions are exact beyond it.
 SLACK = 1e-9
+#: Bytes of one block in double precision at most, and of the blocks that a task has at hand.
+BLOCK_BYTES = 8 << 20
+KEPT_BYTES = 64 << 20
+#: Rows of links that a task holds before it adds them up.
+HELD = 1 << 20
 
 
-def _assign(pivots: dict[int, np.ndarray], radii: dict | None, eps: float):
-    """Without radii: each vector's home cell and distance. With them: all cells it is copied to."""
-    def run(batches):
+def _cells(pivots: dict[int, np.ndarray], blocks: dict[int, np.ndarray] | None):
+    """The home cell of each vector. Without blocks: the vectors of each cell and its radius; with blocks (of each cell, by dimension): the vectors, dealt to them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
-            out = []
+            v = b.column(b.schema.get_field_index("v"))
+            dims = pa.compute.list_value_length(v).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                u = unit(matrix(b.column(1).take(pa.array(rows))))
-                p = pivots[int(dim)]
-                d2 = np.maximum(2.0 - 2.0 * (u @ p.T), 0.0)
-                home = d2.argmin(axis=1)
-                near = d2[np.arange(len(u)), home]
-                if radii is None:
-                    out.append((rows, np.full(len(rows), dim), home, np.ones(len(rows), bool), np.sqrt(near)))
+                rows = pa.array(np.flatnonzero(dims == dim))
+                d = _squares(unit(matrix(v.take(rows)).astype(np.float64)), pivots[int(dim)])
+                cell = d.argmin(axis=1)
+                if blocks is None:
+                    found, at, n = np.unique(cell, return_inverse=True, return_counts=True)
+                    r = np.zeros(len(found))
+                    np.maximum.at(r, at, np.sqrt(d[np.arange(len(d)), cell]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), dim), pa.int32()), pa.array(found, pa.int32()), pa.array(n, pa.int64()), pa.array(r, pa.float64())],
+                                                     names=["dim", "cell", "n", "r"])
                     continue
-                gap = np.sqrt(np.maximum(2.0 - 2.0 * (p @ p.T), 0.0))
-                side = d2 - near[:, None] <= 2.0 * (eps + SLACK) * gap[home] + SLACK
-                reach = np.sqrt(d2) <= radii[int(dim)] + eps + SLACK
-                side &= reach & (np.arange(len(p))[None, :] < home[:, None])
-                side[np.arange(len(u)), home] = True
-                r, cell = np.nonzero(side)
-                out.append((rows[r], np.full(len(r), dim), cell, cell == home[r], np.sqrt(near)[r]))
-            rows, dim, cell, own, dist = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.empty(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), b.column(2).take(pa.array(rows)), pa.array(dim, pa.int32()), pa.array(cell, pa.int32()),
-                 pa.array(own, pa.bool_()), pa.array(dist, pa.float64())], names=["node", "v", "copies", "dim", "cell", "own", "dist"])
+                own = b.take(rows)
+                block = own.column(own.schema.get_field_index("deal")).to_numpy() % blocks[int(dim)][cell]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), dim), pa.int32()), pa.array(cell.astype(np.int64) << 32 | block, pa.int64()),
+                                                  *(own.column(own.schema.get_field_index(c)) for c in ("node", "copies", "v"))], names=["dim", "block", "node", "copies", "v"])
     return run
 
 
-_ASSIGNED = "node long, v array<double>, copies long, dim int, cell int, own boolean, dist double"
+def _squares(u: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances of unit vectors."""
+    return np.maximum(2.0 - 2.0 * (u @ p.T), 0.0)
+
+
+_BLOCK = "dim int, block long, node binary, copies binary, v binary, reach array<long>"
+
+
+def _packed(pivots: dict[int, np.ndarray], radii: dict[int, np.ndarray], eps: float):
+    """The vectors of a block in one row, in single precision if that changes none of them; ``reach``: 64 cells a number."""
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        dim, block = (k.as_py() for k in key)
+        m = matrix(t["v"]).astype(np.float64)
+        p, cell = pivots[dim], block >> 32
+        gap, bits = np.sqrt(_squares(p[cell:cell + 1], p)), np.zeros(-(-len(p) // 64) * 64, bool)
+        for i in range(0, len(m), 512):
+            d = _squares(unit(m[i:i + 512]), p)
+            near = d - d[:, cell:cell + 1] <= 2.0 * (eps + SLACK) * gap + SLACK
+            bits[:len(p)] |= (near & (np.sqrt(d) <= radii[dim] + eps + SLACK)).any(axis=0)
+        bits[cell] = True
+        with np.errstate(over="ignore"):
+            less = m.astype(np.float32)
+        m = less if (less == m).all() else m
+        row = dim, block, *(t[c].to_numpy().astype(np.int64).tobytes() for c in ("node", "copies")), m.tobytes(), np.packbits(bits, bitorder="little").view(np.int64)
+        types = pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64())
+        return pa.table({k: pa.array([x], kind) for k, x, kind in zip(("dim", "block", "node", "copies", "v", "reach"), row, types, strict=True)})
+    return run
+
+
+def _reaches(x: str, y: str):
+    """Whether block ``x`` reaches the cell of block ``y``."""
+    return F.expr(f"shiftright(get({x}_reach, cast(shiftright({y}.block, 38) as int)), cast(shiftright({y}.block, 32) & 63 as int)) & 1") == 1
+
+
+class _Block:
+    """A packed block: its vectors, as they are and of length 1."""
+
+    def __init__(self, dim: int, block: int, node: bytes, copies: bytes, v: bytes) -> None:
+        self.dim, self.id, self.cell = dim, block, block >> 32
+        self.node, self.copies = (np.frombuffer(x, np.int64) for x in (node, copies))
+        self.m = np.frombuffer(v, np.float32 if len(v) == 4 * dim * len(self.node) else np.float64).reshape(-1, dim).astype(np.float64)
+        self.u = unit(self.m)
+        self.less = self.u.astype(np.float32)
+
+    def near(self, other: _Block, p: np.ndarray, eps: float) -> np.ndarray:
+        """The rows that may have a link to a vector of ``other``."""
+        if self.cell == other.cell:
+            return np.arange(len(self.node))
+        own, its = p[self.cell], p[other.cell]
+        d, reach = _squares(self.u, np.stack([own, its])), np.sqrt(_squares(other.u, its[None, :]).max())
+        gap = np.sqrt(_squares(own[None, :], its[None, :])[0, 0])
+        return np.flatnonzero((d[:, 1] - d[:, 0] <= 2.0 * (eps + SLACK) * gap + SLACK) & (np.sqrt(d[:, 1]) <= reach + eps + SLACK))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,44 +140,98 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
-def _join_block(bound: float):
-    """One block against another (or itself): link counts and a spanning forest."""
-    def run(t: pa.Table) -> pa.Table:
-        side = t["side"].to_numpy()
-        node, copies, m = t["node"].to_numpy(), t["copies"].to_numpy(), matrix(t["v"])
-        u = unit(m)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = len(right) == 0                        # the block with itself
+def _linked(x: _Block, y: _Block, bound: float, p: np.ndarray, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``x`` and of ``y`` that are linked, each pair once, for some rows of ``x`` at a time."""
+    same = x.id == y.id
+    left, right = x.near(y, p, eps), y.near(x, p, eps)
+    if not (len(left) and len(right)):
+        return
+    low = np.float32(bound - SLACK - 1.2e-7 * (x.dim + 8))        # a single-precision product is off by less
+    other = y.less[right].T
+    for i in range(0, len(left), 512):
+        li = left[i:i + 512]
+        hit = x.less[li] @ other >= low
+        if not hit.any():
+            continue
+        r, c = np.nonzero(hit)
+        a, b = li[r], right[c]
         if same:
-            right = left
-        count = np.zeros(len(node), np.int64)
-        linked: list[np.ndarray] = []
-        for i in range(0, len(left), 512):
-            li = left[i:i + 512]
-            s = u[li] @ u[right].T
-            r, c = np.nonzero(s >= bound - SLACK)
-            a, b = li[r], right[c]
-            if same:
-                a, b = a[b > a], b[b > a]
-            unsure = np.abs(s[r, c][right[c] > li[r]] if same else s[r, c]) < bound + SLACK
-            ok = np.ones(len(a), bool)
-            ok[unsure] = cosine(m[a[unsure]], m[b[unsure]]) >= bound
-            a, b = a[ok], b[ok]
-            np.add.at(count, a, copies[b])
-            np.add.at(count, b, copies[a])
-            linked.append(np.stack([a, b], 1))
-        pairs = np.concatenate(linked) if linked else np.empty((0, 2), np.int64)
-        root = np.arange(len(node))
-        while len(pairs):                              # least label, with pointer jumping
-            low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
-            before = root.copy()
-            np.minimum.at(root, root[pairs[:, 0]], low)
-            np.minimum.at(root, root[pairs[:, 1]], low)
-            root = root[root]
-            if (root == before).all():
-                break
-        keep = (count > 0) | (root != np.arange(len(node)))
-        return pa.table({"node": pa.array(node[keep]), "links": pa.array(count[keep]), "to": pa.array(node[root[keep]])})
+            r, c, a, b = (z[b > a] for z in (r, c, a, b))
+        if len(a) * x.dim > 1 << 22:
+            s = (x.u[li] @ y.u[right].T)[r, c]
+        else:
+            s = np.einsum("ij,ij->i", x.u[a], y.u[b])
+        ok = s >= bound
+        unsure = np.flatnonzero(np.abs(s - bound) < SLACK)
+        ok[unsure] = cosine(x.m[a[unsure]], y.m[b[unsure]]) >= bound
+        yield a[ok], b[ok]
+
+
+def _forest(n: int, pairs: np.ndarray) -> np.ndarray:
+    """For each of n: the least of those that pairs connect it with."""
+    root = np.arange(n)
+    while len(pairs):                              # least label, with pointer jumping
+        low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
+        before = root.copy()
+        np.minimum.at(root, root[pairs[:, 0]], low)
+        np.minimum.at(root, root[pairs[:, 1]], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root
+
+
+def _summed(rows: list[np.ndarray]) -> np.ndarray:
+    """node, links, to: links added up by node, the edges as a forest."""
+    node, links, to = np.concatenate(rows, axis=1) if rows else np.empty((3, 0), np.int64)
+    names, at = np.unique(np.concatenate([node, to]), return_inverse=True)
+    count = np.zeros(len(names), np.int64)
+    np.add.at(count, at[:len(node)], links)
+    root = _forest(len(names), np.stack([at[:len(node)], at[len(node):]], 1))
+    keep = (count > 0) | (root != np.arange(len(names)))
+    return np.stack([names[keep], count[keep], names[root[keep]]])
+
+
+def _join_blocks(bound: float, pivots: dict[int, np.ndarray]):
+    """Pairs of blocks (or a block and itself): link counts and a spanning forest."""
+    eps = float(np.sqrt(2.0 - 2.0 * bound))
+
+    def batch(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["node", "links", "to"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, int], _Block] = {}
+        found: list[np.ndarray] = []
+        held = 0
+        for row in (r for b in batches for r in b.to_pylist()):
+            sides = []
+            for side in "xy":
+                key = row[side]["dim"], row[side]["block"]
+                if key not in kept:
+                    kept[key] = _Block(**row[side])
+                    while len(kept) > 2 and sum(z.m.nbytes for z in kept.values()) > KEPT_BYTES // 3:
+                        del kept[next(iter(kept))]
+                sides.append(kept[key])
+            x, y = sides
+            count, linked = [np.zeros(len(z.node), np.int64) for z in sides], [np.empty((0, 2), np.int64)]
+            for a, b in _linked(x, y, bound, pivots[x.dim], eps):
+                np.add.at(count[0], a, y.copies[b])
+                np.add.at(count[1], b, x.copies[a])
+                linked.append(np.stack([a, b + (len(x.node) if x.id != y.id else 0)], 1))
+            node = x.node if x.id == y.id else np.concatenate([x.node, y.node])
+            links = count[0] + count[1] if x.id == y.id else np.concatenate(count)
+            root = _forest(len(node), np.concatenate(linked))
+            keep = (links > 0) | (root != np.arange(len(node)))
+            if keep.any():
+                found.append(np.stack([node[keep], links[keep], node[root[keep]]]))
+                held += int(keep.sum())
+            if held > HELD:
+                found = [_summed(found)]
+                held = found[0].shape[1]
+                if held > HELD // 2:
+                    yield batch(found[0])
+                    found, held = [], 0
+        yield batch(_summed(found))
     return run
 
 
@@ -133,59 +243,52 @@ def _pivots(spark: SparkSession, nodes: DataFrame, n: int, cell: int) -> dict[in
             for d in dims}
 
 
+def _key(seed: int):
+    return F.xxhash64(F.lit(seed), "v")
+
+
 def near_duplicates(vectors: DataFrame, bound: float = COSINE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = store(usable(vectors).where("vec_id IS NOT NULL"), "vectors")
+    # Single-precision vectors stay so where they are stored and shuffled; arithmetic is in double precision.
+    kind = "array<float>" if vectors.schema["embedding"].dataType == ArrayType(FloatType()) else "array<double>"
+    rows = usable(vectors).where("vec_id IS NOT NULL").withColumn("v", F.col("v").cast(kind))
     nodes = store(rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).select("node", "v", "copies"), "distinct")
-    n = nodes.count()
+    # A number for each distinct vector, so that rows find their node without carrying vectors: the first hash that no two share.
+    for seed in itertools.count():
+        key = _key(seed)
+        n, keys = nodes.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+        if n == keys:
+            break
     if n:
-        eps = float(np.sqrt(2.0 - 2.0 * bound))
+        names = store(nodes.select(key.alias("key"), "node", "copies"), "names")
         pivots = _pivots(spark, nodes, n, cell)
-        homes = nodes.mapInArrow(_assign(pivots, None, eps), _ASSIGNED)
-        radii = {d: np.full(len(p), -1.0) for d, p in pivots.items()}
-        for r in homes.groupBy("dim", "cell").agg(F.max("dist").alias("r")).collect():    # at most MOST_PIVOTS rows a dimension
-            radii[r["dim"]][r["cell"]] = r["r"]
-        radii = {d: np.where(r < 0, -np.inf, r) for d, r in radii.items()}
-        placed = store(nodes.mapInArrow(_assign(pivots, radii, eps), _ASSIGNED).drop("dist"), "cells")
-        sizes = placed.groupBy("dim", "cell", "own").agg(F.count(F.lit(1)).alias("n"))
-        blocks = sizes.groupBy("dim", "cell").agg(
-            F.ceil(F.coalesce(F.sum(F.when(F.col("own"), F.col("n"))), F.lit(0)) / block).cast("int").alias("homes"),
-            F.ceil(F.coalesce(F.sum(F.when(~F.col("own"), F.col("n"))), F.lit(0)) / block).cast("int").alias("guests"))
-        salted = placed.join(F.broadcast(blocks), ["dim", "cell"]).where("homes > 0").withColumn(
-            "b", F.pmod(F.xxhash64("node", F.lit(11)), F.when(F.col("own"), F.col("homes")).otherwise(F.col("guests"))).cast("int"))
-        # A home block meets itself, the home blocks after it and all guest blocks (numbered after the homes).
-        last = F.col("homes") + F.col("guests") - 1
-        as_left = salted.where("own").withColumn("x", F.col("b")).withColumn("y", F.explode(F.sequence(F.col("b"), last))).withColumn("side", F.lit(0))
-        as_home = salted.where("own AND b > 0").withColumn("y", F.col("b")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).withColumn("side", F.lit(1))
-        as_guest = salted.where("NOT own").withColumn("y", F.col("homes") + F.col("b")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("homes") - 1))).withColumn("side", F.lit(1))
-        dealt = as_left.unionByName(as_home).unionByName(as_guest).select("dim", "cell", "x", "y", "side", "node", "copies", "v")
-        # Blocks without a partner on the right have nothing to compare, except a block with itself.
-        found = store(dealt.groupBy("dim", "cell", "x", "y").applyInArrow(_join_block_of(bound), "node long, links long, to long"), "links")
+        blocks, radii = ({d: np.full(len(p), x) for d, p in pivots.items()} for x in (1, -np.inf))
+        cells = nodes.select("v").mapInArrow(_cells(pivots, None), "dim int, cell int, n long, r double").groupBy("dim", "cell")
+        for r in cells.agg(F.sum("n").alias("n"), F.max("r").alias("r")).collect():    # at most MOST_PIVOTS rows a dimension
+            d = r["dim"]
+            blocks[d][r["cell"]], radii[d][r["cell"]] = -(-r["n"] // max(1, min(block, BLOCK_BYTES // (8 * d)))), r["r"]
+        dealt = nodes.withColumn("deal", F.xxhash64("node", F.lit(11)).bitwiseAND((1 << 62) - 1)).mapInArrow(_cells(pivots, blocks), f"dim int, block long, node long, copies long, v {kind}")
+        packed = store(dealt.groupBy("dim", "block").applyInArrow(_packed(pivots, radii, float(np.sqrt(2.0 - 2.0 * bound))), _BLOCK), "blocks")
+        drop_stored(nodes)
+        x, y = (packed.select(F.struct(*packed.columns[:-1]).alias(k), F.col("reach").alias(f"{k}_reach")) for k in "xy")
+        meet = (F.col("x.dim") == F.col("y.dim")) & (F.col("x.block") <= F.col("y.block")) & _reaches("x", "y") & _reaches("y", "x")
+        pairs = x.join(y.hint("shuffle_replicate_nl"), meet).select("x", "y")
+        with one_row_batches(spark):
+            found = store(pairs.mapInArrow(_join_blocks(bound, pivots), "node long, links long, to long"), "links")
+        drop_stored(packed)
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
         parts = connected(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
-        known = nodes.join(links, "node", "left").join(parts, "node", "left").select(
-            "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-        linked = rows.join(known, "v").select("vec_id", "n_links", "component_id")
+        known = names.join(links, "node", "left").join(parts, "node", "left").select(
+            "key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+        linked = rows.select("vec_id", key.alias("key")).join(known, "key").select("vec_id", "n_links", "component_id")
     else:
         linked = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     rest = _unusable(vectors).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _join_block_of(bound: float):
-    inner = _join_block(bound)
-
-    def run(key, t):
-        if key[2].as_py() != key[3].as_py() and not (t["side"].to_numpy() == 1).any():
-            t = t.slice(0, 0)
-        if not t.num_rows:
-            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "to": pa.array([], pa.int64())})
-        return inner(t)
-    return run
-
-
 def _unusable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

@@ -1,11 +1,14 @@
 """The operators on embeddings and pages, and the pipeline."""
 
+import pathlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from promolens.llm import graph_ann, html_extract, pivot_join, sentencepiece_codec, simhash_ball, toxicity
+from promolens.llm import common, graph_ann, html_extract, pivot_join, sentencepiece_codec, simhash_ball, toxicity
 from promolens.llm.common import read
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +56,52 @@ def test_pivot_join(spark, cell, block):
     assert len(links) > 100 and got == {i: (count[i], up[i], up[i] == i) for i, _ in rows}
 
 
+def test_pivot_join_writes_no_copies_of_vectors(spark, monkeypatch):
+    """Vectors that no pivot separates are stored a bounded number of times, however many cells they are near to."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(1200, 48)).astype(np.float32)
+    m = np.concatenate([m, m[:60] * np.float32(1.001) + rng.normal(size=(60, 48)).astype(np.float32) * np.float32(0.01), m[:9]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>").repartition(3)
+    stored, conf = {}, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def store(df, name, *how):
+        out = common.store(df, name, *how)
+        stored[name] = sum(pathlib.Path(f.removeprefix("file:")).stat().st_size for f in out.inputFiles()), out.count()
+        return out
+
+    monkeypatch.setattr(pivot_join, "store", store)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pivot_join.near_duplicates(rows, cell=50, block=40).collect()}
+    u = m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    assert got == {i: (links[i].sum() - 1, links[i].argmax(), links[i].argmax() == i) for i in range(len(m))} and links.sum() > len(m) + 120
+    plain = m.nbytes
+    assert sum(size for size, _ in stored.values()) < 3 * plain and all(n <= 1260 for _, n in stored.values())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) in (int(conf), common.BATCH_ROWS)
+
+
+def test_pivot_join_of_separated_cells(spark, monkeypatch):
+    """Blocks meet only where their vectors reach each other's cells; keys that collide are made anew."""
+    rng = np.random.default_rng(6)
+    centre = np.repeat(np.eye(16) * 20, 30, axis=0)
+    rows = [(i, v.tolist()) for i, v in enumerate(centre + rng.normal(size=centre.shape) * 0.05)] + [(900, [1.0, 2.0]), (901, [2.0, 4.0]), (7, [-1.0, 2.0])]
+    seeds, key = [], pivot_join._key
+
+    def clash(seed):
+        seeds.append(seed)
+        return key(seed) if seed else F.lit(1)
+
+    monkeypatch.setattr(pivot_join, "_key", clash)
+    got = {(r.vec_id, r.n_links): r.component_id for r in pivot_join.near_duplicates(table(spark, rows), cell=10, block=8).collect()}
+    assert seeds == [0, 1]
+    assert {k: v for k, v in got.items() if k[0] >= 480} == {(900, 1): 900, (901, 1): 900}
+    assert all(got[i, 29] == i // 30 * 30 for i in range(480) if i != 7)
+    # Two blocks of cells that lie apart are no pair of the join.
+    p = {16: pivot_join.unit(centre[::30])}
+    t = pa.table({"node": pa.array([1, 2]), "copies": pa.array([1, 1]), "v": pa.array(centre[:2].tolist(), pa.list_(pa.float64()))})
+    out = pivot_join._packed(p, {16: np.full(16, 0.1)}, 0.3)((pa.scalar(16), pa.scalar(0)), t)
+    assert out["reach"].to_pylist() == [[1]] and len(out["v"][0].as_py()) == 2 * 16 * 4
+
+
 def test_graph_recall(spark):
     rows = vectors(1500, 24, 3)
     usable = [(i, v) for i, v in rows if good(v)]
